@@ -80,17 +80,16 @@ def _coprime(n: Column) -> Column:
 
 
 def permuted(df: DataFrame, x: Column, n: Column, key: Column) -> DataFrame:
-    """df and `block`, a pseudorandom permutation of 0..n-1 at x for each key: affine maps of the whole and of overlapping parts of it in turn, each a bijection."""
+    """df and `block`, a pseudorandom permutation of 0..n-1 at x for each key: affine maps of the whole, affine maps of a part and reversals in turn, each a bijection."""
     m = F.greatest(F.lit(1), F.floor(n * 5 / 8).cast("long"))
-    step = lambda v, size, salt: (v * _coprime(size) + key * 7919 + salt) % size
-    df, b = df.withColumn("block", x), F.col("block")
+    df = df.withColumns({"block": x, "_size": n, "_key": key * 7919, "_part": m, "_by": _coprime(n), "_by_part": _coprime(m)})
+    b, size, part, by, by_part = (F.col(c) for c in ("block", "_size", "_part", "_by", "_by_part"))
     for salt in (SEED * 1009, SEED * 2003):
         # a projection for each step: nested, the expression would double at each
-        df = df.withColumn("block", step(b, n, salt))
-        df = df.withColumn("block", F.when(b < m, step(b, m, salt + 1)).otherwise(b))
-        df = df.withColumn("block", step(b, n, salt + 2))
-        df = df.withColumn("block", F.when(b >= n - m, n - m + step(b - (n - m), m, salt + 3)).otherwise(b))
-    return df
+        df = df.withColumn("block", (b * by + F.col("_key") + salt) % size)
+        df = df.withColumn("block", F.when(b < part, (b * by_part + F.col("_key") + salt) % part).otherwise(b))
+        df = df.withColumn("block", size - 1 - b)
+    return df.drop("_size", "_key", "_part", "_by", "_by_part")
 
 
 def slots(table: DataFrame) -> DataFrame:
