@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, secrets, toxicity
+from pyspark.sql import functions as F
+
+from . import ann, decontaminate, html, language, mixing, secrets, toxicity
 from .common import read
 
 
@@ -11,6 +13,15 @@ def op2_decontaminate(spark, sf_dir):
     return decontaminate.digest(decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")))
 
 
+def op3_nearest(spark, sf_dir):
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
+def op4_html(spark, sf_dir):
+    found = html.extracted(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op5_secrets(spark, sf_dir):
     return secrets.digest(secrets.scanned(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -31,4 +42,4 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.digest(toxicity.scored(docs, model))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op5_secrets, op6_language, op7_mixing, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_nearest, op4_html, op5_secrets, op6_language, op7_mixing, op9_toxicity)}
