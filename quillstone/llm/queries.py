@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html, language, mixing, secrets, toxicity
+from . import ann, decontaminate, html, jaccard, language, mixing, secrets, toxicity
 from .common import read
 
 
@@ -36,10 +36,14 @@ def op7_mixing(spark, sf_dir):
     return mixing.taken(read(spark, sf_dir, "documents")).drop("source")
 
 
+def op8_jaccard(spark, sf_dir):
+    return jaccard.classes(read(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(toxicity.labelled_sample(docs, read(spark, sf_dir, "labels")))
     return toxicity.digest(toxicity.scored(docs, model))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_nearest, op4_html, op5_secrets, op6_language, op7_mixing, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_nearest, op4_html, op5_secrets, op6_language, op7_mixing, op8_jaccard, op9_toxicity)}
