@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html, jaccard, language, mixing, secrets, toxicity
+from . import ann, decontaminate, html, jaccard, language, mixing, secrets, suffixes, toxicity
 from .common import read
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffixes.digest(suffixes.repeats(read(spark, sf_dir, "documents")))
+
+
 def op2_decontaminate(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")))
@@ -46,4 +50,4 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.digest(toxicity.scored(docs, model))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_nearest, op4_html, op5_secrets, op6_language, op7_mixing, op8_jaccard, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_nearest, op4_html, op5_secrets, op6_language, op7_mixing, op8_jaccard, op9_toxicity)}
