@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontaminate, language, mixing, secrets
+from quillstone.llm import decontaminate, jaccard, language, mixing, secrets
 from quillstone.llm.common import read, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,6 +30,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the least id of each class of near duplicates, one row of it; rows without an id stay."""
+    docs = docs.select(*COLUMNS)
+    kept = jaccard.classes(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id").select(*COLUMNS).dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts benchmark passages from texts."""
     found = decontaminate.contaminated(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"))
@@ -48,6 +55,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
     ("benchmark_decontamination", benchmark_decontamination),
     ("secret_scan", secret_scan),
     ("mixing_sources", mixing_sources),

@@ -21,8 +21,8 @@ components are exact.
 
 Tokens travel in blobs, a row for each chunk of documents and bucket of hashes; the
 number of buckets grows with the bytes of text. Null and empty texts have no
-shingles and link with nothing; repeated rows are answered each; an empty table
-gives no rows.
+shingles and link with nothing; repeated rows are answered each; rows without an
+id take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -198,7 +198,7 @@ def _linked(batches):
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach): a row for each document."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
     blobs = docs.mapInArrow(lambda it: _emit(it, "doc_id", "text", k, buckets), "kind int, bucket int, blob binary, runs binary")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html, jaccard, language, mixing, secrets, suffixes, toxicity
+from . import ann, chaining, decontaminate, html, jaccard, language, mixing, secrets, suffixes, toxicity
 from .common import read
 
 
@@ -50,4 +50,8 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.digest(toxicity.scored(docs, model))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_nearest, op4_html, op5_secrets, op6_language, op7_mixing, op8_jaccard, op9_toxicity)}
+def op10_chaining(spark, sf_dir):
+    return chaining.passages(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_nearest, op4_html, op5_secrets, op6_language, op7_mixing, op8_jaccard, op9_toxicity, op10_chaining)}

@@ -23,8 +23,8 @@ Equal pieces are one document with a count. A minimizer with more than HOT piece
 are counted by 128-bit hashes instead, in a join that Spark may split.
 
 Null and empty texts have no bytes; a repeated row is another document, so its
-windows occur twice; rows with equal id are told apart by their text. An empty
-table gives no rows.
+windows occur twice; rows with equal id are told apart by their text. Rows
+without an id take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -228,7 +228,7 @@ def _spans(table: pa.Table) -> pa.Table:
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs (doc_id, text and th, a hash of the text) and removed: array of (start, end) in bytes, in order and apart."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).alias("th"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th")).where("doc_id is not null")
 
     def places(batches):
         table = byte_table(lower=False)
@@ -288,7 +288,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         twice = each.groupBy("a", "b").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
         spans = spans.unionByName(each.join(twice, ["a", "b"]).select("doc_id", "th", "start", (F.col("start") + LENGTH).alias("end")))
     removed = spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
-    return docs.join(removed, (docs["doc_id"].eqNullSafe(removed["doc_id"])) & (docs["th"] == removed["th"]), "left").select(docs["doc_id"], docs["text"], docs["th"], "removed")
+    return docs.join(removed, ["doc_id", "th"], "left")
 
 
 def digest(found: DataFrame) -> DataFrame:
