@@ -150,10 +150,19 @@ class Words:
             sums[0] = 0
             np.cumsum(table[data] * pw[0][:n], out=sums[1:])
             self.hash = mix((sums[self.end] - sums[self.start]) * pw[1][self.start])
+            self._sums, self._back = sums, pw[1]
         else:
             self.hash = np.zeros(0, np.uint64)
         self.range = np.searchsorted(self.start, off)
 
+    def prefixes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of k bytes or more, and hashes of their first k bytes."""
+        long = np.flatnonzero(self.end - self.start >= k)
+        if not len(long):
+            return long, self.hash[:0]
+        at = self.start[long]
+        return long, mix((self._sums[at + k] - self._sums[at]) * self._back[at] + U64(k))
+
     def row(self) -> np.ndarray:
         """The row of each word."""
         return np.repeat(np.arange(len(self.range) - 1), np.diff(self.range))
