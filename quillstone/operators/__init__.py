@@ -1 +1 @@
-
+"""Operators on practice records."""

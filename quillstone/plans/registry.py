@@ -1,13 +1,15 @@
-"""Every registered query with its SQL."""
+"""Every registered query of the practice operators with its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from . import practice, streams
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return practice.QUERIES | streams.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return practice.ORACLE_SQL | streams.ORACLE_SQL
