@@ -1,16 +1,16 @@
 """Near-duplicate join on word shingles: exact links, found by prefix filters under several token orders.
 
 A document's set is its distinct shingles of k words. Two sets link when
-100 * intersection >= 75 * union. Linked sets x, y share at least 3/4 of the larger,
-so under any global order of tokens a prefix of n - ceil(3n/4) + l tokens of each
-shares l of them. Candidates must pass three orders:
+100 * intersection >= 75 * union. A set of n shares ceil(3n/4) or more tokens with
+any set that it links with, all of them tokens that at least two sets have. So of
+its c such tokens, any c - ceil(3n/4) + 1 hold a shared one, under every order of
+tokens. Candidates must pass three orders:
 
-A  by hash, l = n/5: posting lists of these prefixes give each token's frequency;
-   a set with fewer than l tokens that any other set has drops out.
-R  rarest first, among the shared tokens of A: since a pair shares l of them, the
-   c - l + 1 rarest of c are prefix enough. Words that most documents use come
-   last in this order and are hardly ever candidates' only tie.
-B  by hash from the other end, on both sets, just before the sets are compared.
+R  rarest first: the posting lists of these prefixes make the candidate pairs. A
+   set with c below ceil(3n/4) drops out, and words that most documents use come
+   last in this order, so they are hardly ever candidates' only tie.
+A  by hash, and
+B  by hash from the other end: both on the two sets, before they are compared.
 
 Equal sets are one from the start (a 64-bit sum of hashes names them), so copies
 cost nothing and aren't expanded. In each posting list every set is compared with
@@ -20,9 +20,10 @@ that no pair that shares a list, differs in label and could link is uncompared,
 components are exact.
 
 Tokens travel in blobs, a row for each chunk of documents and bucket of hashes; the
-number of buckets grows with the bytes of text. Null and empty texts have no
-shingles and link with nothing; repeated rows are answered each; rows without an
-id take no part; an empty table gives no rows.
+number of buckets grows with the bytes of text. A bucket's frequencies go to the
+sets' buckets for common tokens only. Null and empty texts have no shingles and
+link with nothing; repeated rows are answered each; rows without an id take no
+part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,9 +38,8 @@ from .components import components
 
 K = 5
 LEAST_OF, OUT_OF = 75, 100
-SHARE = 5  # l = n // SHARE
 BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 64
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 POSTINGS = np.dtype([("token", "<u8"), ("key", "<i8"), ("df", "<u4")])
 META = np.dtype([("key", "<i8"), ("n", "<i8")])
 DOCS = np.dtype([("doc", "<i8"), ("key", "<i8"), ("n", "<i8")])
@@ -87,21 +87,16 @@ def _emit(batches, doc_id: str, text: str, k: int, buckets: int):
             meta["key"], meta["n"] = key[one], n[one]
             for b, m in by_bucket(_bucket_of(meta["key"], buckets), meta):
                 out.append((1, b, m.tobytes(), None))
-            size = n[one] - needed(n[one]) + np.maximum(1, n[one] // SHARE)
-            size = np.minimum(size, n[one])
+            size = n[one]
             which = np.repeat(np.arange(len(one)), size)
             inner = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
             token = h[at[:-1][one][which] + inner]
-            b = _token_bucket(token, buckets)
-            for bucket, t, w in by_bucket(b, token, which):
+            for bucket, t, w in by_bucket(_token_bucket(token, buckets), token, which):
                 s, c = groups(w)
-                out.append((0, bucket, np.ascontiguousarray(t.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), key[one][w[s]].tobytes() + c.astype(np.uint16).tobytes() if c.max() < 65536 else None))
-                if out[-1][3] is None:
-                    out.pop()
-                    for x in range(len(s)):
-                        for y in range(0, int(c[x]), 60_000):
-                            part = t[s[x] + y : min(s[x] + c[x], s[x] + y + 60_000)]
-                            out.append((0, bucket, np.ascontiguousarray(part.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), key[one][w[s[x] : s[x] + 1]].tobytes() + np.array([len(part)], np.uint16).tobytes()))
+                for x in range(0, len(s), 4096):
+                    part = slice(s[x], s[x + 4096] if x + 4096 < len(s) else len(t))
+                    six = np.ascontiguousarray(t[part].view(np.uint8).reshape(-1, 8)[:, :6])
+                    out.append((0, bucket, six.tobytes(), key[one][w[s[x : x + 4096]]].tobytes() + c[x : x + 4096].astype(np.uint32).tobytes()))
             kinds, places, blobs, more = zip(*out)
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(places, pa.int32()), pa.array(blobs, pa.binary()), pa.array(more, pa.binary())], names=["kind", "bucket", "blob", "runs"])
 
@@ -111,7 +106,7 @@ def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _token_bucket(token: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(token >> U64(0)) % U64(buckets)).astype(np.int64)
+    return (token >> U64(48)).astype(np.int64) % buckets
 
 
 def _frequencies(table: pa.Table, buckets: int) -> pa.Table:
@@ -127,8 +122,8 @@ def _frequencies(table: pa.Table, buckets: int) -> pa.Table:
             eight = np.zeros((len(six), 8), np.uint8)
             eight[:, :6] = six
             tokens.append(eight.view("<u8").ravel())
-            m = len(runs) // 10
-            keys.append(np.repeat(np.frombuffer(runs[: 8 * m], np.int64), np.frombuffer(runs[8 * m :], np.uint16)))
+            m = len(runs) // 12
+            keys.append(np.repeat(np.frombuffer(runs[: 8 * m], np.int64), np.frombuffer(runs[8 * m :], np.uint32)))
         token, key = np.concatenate(tokens), np.concatenate(keys)
         order = np.argsort(token)
         token, key = token[order], key[order]
@@ -146,53 +141,56 @@ def _frequencies(table: pa.Table, buckets: int) -> pa.Table:
         good = df > 1
         # the bucket keeps tokens of different buckets apart
         post["token"], post["key"], post["df"] = token[good] | (U64(int(mine.column("bucket")[0].as_py()) & 0xFFFF) << U64(48)), key[good], df[good]
+        post = post[np.argsort(post["key"], kind="stable")]
         made = list(by_bucket(_bucket_of(np.ascontiguousarray(post["key"]), buckets), post))
         out.append(pa.table({"kind": pa.array([0] * len(made), pa.int32()), "bucket": pa.array([b for b, _ in made], pa.int32()), "blob": pa.array([p.tobytes() for _, p in made], pa.binary())}))
     return pa.concat_tables([t.cast(out[0].schema) for t in out])
 
 
 def _prefixes(table: pa.Table) -> pa.Table:
-    """A bucket of keys: the rarest shared tokens of each set that may link, and the rows of documents."""
+    """A bucket of keys: the rarest common tokens of each set that may link (kind 0), its common tokens (kind 1), and the rows of documents (kind 2)."""
     kind = table.column("kind").to_numpy()
     blobs = table.column("blob")
     part = lambda k, d: joined(blobs.filter(pa.array(kind == k)), d)
-    post, meta, docs = part(0, POSTINGS), part(1, META), part(2, DOCS)
-    order = np.lexsort((post["token"], post["df"], post["key"]))
-    post = post[order]
-    meta = np.unique(meta)
+    post, meta, docs = part(0, POSTINGS), np.unique(part(1, META)), part(2, DOCS)
+    post = post[np.lexsort((post["token"], post["df"], post["key"]))]
     start, size = groups(post["key"])
     n = meta["n"][np.searchsorted(meta["key"], post["key"][start])] if len(start) else np.zeros(0, np.int64)
-    least = np.maximum(1, needed(n) // SHARE)
-    keep = np.where(size >= least, size - least + 1, 0)
+    live = size >= needed(n)
+    post, start, size, n = post[np.repeat(live, size)], start[live], size[live], n[live]
+    start = np.cumsum(size) - size
     nth = np.arange(len(post)) - np.repeat(start, size)
-    good = nth < np.repeat(keep, size)
-    post, n = post[good], np.repeat(n, size)[good]
-    a, b = len(post), len(docs)
-    col = lambda x, y, t: pa.array(np.concatenate([x, y]), t)
+    rare = nth < np.repeat(size - needed(n) + 1, size)
+    first, wide = post[rare], np.repeat(n, size)[rare]
+    sets = [np.sort(post["token"][s : s + c]).tobytes() for s, c in zip(start, size)]
+    a, b, c = len(first), len(sets), len(docs)
+    col = lambda *x: pa.array(np.concatenate(x), pa.int64())
+    zero = lambda k: np.zeros(k, np.int64)
     return pa.table(
         {
-            "is_doc": col(np.zeros(a, bool), np.ones(b, bool), pa.bool_()),
-            "token": col(post["token"].astype(np.int64), np.zeros(b, np.int64), pa.int64()),
-            "key": col(post["key"], docs["key"], pa.int64()),
-            "n": col(n, docs["n"], pa.int64()),
-            "doc_id": col(np.zeros(a, np.int64), docs["doc"], pa.int64()),
+            "kind": pa.array(np.repeat([0, 1, 2], [a, b, c]).astype(np.int32)),
+            "token": col(first["token"].astype(np.int64), zero(b), zero(c)),
+            "key": col(first["key"], post["key"][start], docs["key"]),
+            "n": col(wide, n, docs["n"]),
+            "doc_id": col(zero(a), zero(b), docs["doc"]),
+            "tokens": pa.array([None] * a + sets + [None] * c, pa.binary()),
         }
     )
 
 
 def _linked(batches):
-    """Pairs with both token sets: those that link, after order B."""
+    """Pairs with both sets' common tokens: those that link, after orders A and B."""
     for batch in batches:
-        left, right = (batch.column(batch.schema.get_field_index(c)) for c in ("tokens_a", "tokens_b"))
+        x, y, nx, ny = (batch.column(batch.schema.get_field_index(c)) for c in ("tokens_a", "tokens_b", "n_a", "n_b"))
         good = []
-        for x, y in zip(left, right):
-            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            p, q = a[needed(len(a)) - 1 :], b[needed(len(b)) - 1 :]
-            if not len(np.intersect1d(p, q, True)):
+        for a, b, m, n in zip(x, y, nx.to_numpy(), ny.to_numpy()):
+            a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            p, q = len(a) - needed(m) + 1, len(b) - needed(n) + 1
+            if not len(np.intersect1d(a[:p], b[:q], True)) or not len(np.intersect1d(a[-p:], b[-q:], True)):
                 good.append(False)
                 continue
             common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-            good.append(OUT_OF * common >= LEAST_OF * (len(a) + len(b) - common))
+            good.append(OUT_OF * common >= LEAST_OF * (m + n - common))
         yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
 
@@ -203,9 +201,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
     blobs = docs.mapInArrow(lambda it: _emit(it, "doc_id", "text", k, buckets), "kind int, bucket int, blob binary, runs binary")
     counted = blobs.groupBy("bucket").applyInArrow(lambda t: _frequencies(t, buckets), "kind int, bucket int, blob binary")
-    rows = written(counted.groupBy("bucket").applyInArrow(_prefixes, "is_doc boolean, token long, key long, n long, doc_id long"), "jaccard-postings")
-    named = rows.where("is_doc").select("doc_id", "key", F.col("n").alias("n_shingles"))
-    lists = rows.where("not is_doc").select("token", "key", "n")
+    rows = written(counted.groupBy("bucket").applyInArrow(_prefixes, "kind int, token long, key long, n long, doc_id long, tokens binary"), "jaccard-postings")
+    named = rows.where("kind = 2").select("doc_id", "key", F.col("n").alias("n_shingles"))
+    lists = rows.where("kind = 0").select("token", "key", "n")
+    sets = rows.where("kind = 1").select("key", "n", "tokens")
 
     by_token = Window.partitionBy("token")
     hubs = lists.withColumn("_hub", F.min(F.struct("key", "n")).over(by_token))
@@ -213,26 +212,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     stars = hubs.where("_hub.key <> key").where(fits(F.col("n"), F.col("_hub.n"))).select(F.col("_hub.key").alias("a"), F.col("key").alias("b")).distinct()
     stars = written(stars, "jaccard-stars")
 
-    # the token sets of every set that shares a list with another
-    wanted = lists.select("key", F.count("*").over(by_token).alias("_size")).where("_size > 1").select("key").distinct()
-    least = named.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.join(least.join(wanted, "key"), "doc_id").select("key", "text")
-
-    def sets_of(batches):
-        power, table = Powers(), byte_table()
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for chunk in chunks(batch.column(1), CHUNK):
-                h, at = token_sets(chunk, power, table, k)
-                found = set_keys(h, at)
-                good = [r for r in range(len(chunk)) if found[r] == keys[chunk.first + r]]
-                yield pa.RecordBatch.from_arrays([pa.array(found[good], pa.int64()), pa.array([h[at[r] : at[r + 1]].tobytes() for r in good], pa.binary())], names=["key", "tokens"])
-
-    sets = written(texts.mapInArrow(sets_of, "key long, tokens binary").dropDuplicates(["key"]), "jaccard-sets")
-
     def verified(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("key").alias("a"), F.col("tokens").alias("tokens_a"))
-        right = sets.select(F.col("key").alias("b"), F.col("tokens").alias("tokens_b"))
+        left = sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
+        right = sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"))
         return pairs.join(right, "b").join(left, "a").mapInArrow(_linked, "a long, b long")
 
     links = written(verified(stars), "jaccard-links")
