@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.scoring import fraction
 
 ROWS = 10
-i = F.col("i")
 
 
 def _pick(values: list, k: Column) -> Column:
@@ -17,6 +16,7 @@ def _pick(values: list, k: Column) -> Column:
 
 def families() -> list[tuple[str, str, int, int, Column]]:
     """(topic, family, difficulty, target seconds, answer as text) by the row number i."""
+    i = F.col("i")
     n = lambda c: c.cast("long").cast("string")
     power = lambda b, e: F.floor(F.pow(b, e) + 0.5).cast("long")
     m = F.when((i % 5) == 2, 3).otherwise(i % 5 - 2)
@@ -59,7 +59,7 @@ def families() -> list[tuple[str, str, int, int, Column]]:
 
 def questions(spark: SparkSession) -> DataFrame:
     """id, grp, topic, type, diff, target, ans_txt, rev of the 280 generated questions."""
-    every = families()
+    every, i = families(), F.col("i")
     arms = F.array(*[F.struct(F.lit(t).alias("topic"), F.lit(f).alias("family"), F.lit(d).alias("diff"), F.lit(s).alias("target"), ans.alias("ans")) for t, f, d, s, ans in every])
     rows = spark.range(ROWS).select(F.col("id").cast("int").alias("i")).select("i", F.explode(arms).alias("f")).select("i", "f.*")
     name = F.concat_ws("-", F.lit("core"), "topic", "family")
