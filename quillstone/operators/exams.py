@@ -78,7 +78,7 @@ def overridden(items: DataFrame, edits: DataFrame, key: DataFrame, at: Column) -
     """items with human edits (run_id, no, status, points): points clamped to the key's, changed rows stamped and manual."""
     e = edits.select("run_id", "no", F.col("status").alias("_s"), F.col("points").alias("_p"))
     j = items.join(e, ["run_id", "no"], "left").join(key.select("no", F.col("points").alias("_full")), "no", "left")
-    s, p = F.coalesce("_s", "status"), F.coalesce(scoring.clamp(F.col("_p"), 0.0, F.col("_full")), "points")
+    s, p = F.coalesce("_s", "status"), F.when(F.col("_p").isNull(), F.col("points")).otherwise(scoring.clamp(F.col("_p"), 0.0, F.col("_full")))
     changed = (s != F.col("status")) | (p != F.col("points"))
     return j.withColumns({"_c": changed, "_ns": s, "_np": p}).withColumns({"status": F.col("_ns"), "points": F.col("_np"), "manual": F.coalesce("manual", F.lit(False)) | F.col("_c"), "mt": F.when(F.col("_c"), at).otherwise(F.col("mt"))}).select(*items.columns)
 
@@ -159,3 +159,21 @@ def transitions(states: DataFrame, allowed: list[tuple[str, str]]) -> DataFrame:
     w = Window.partitionBy("id").orderBy("ts", "seq")
     j = states.withColumn("before", F.lag("status").over(w)).where("before is not null and before <> status")
     return j.where(~F.concat_ws(">", "before", "status").isin([f"{a}>{b}" for a, b in allowed]))
+
+
+def key_rows(sources: DataFrame) -> DataFrame:
+    """A row for each question of a source's answer key (id, key array): no from 1, options counted from 1."""
+    rows = sources.select(F.col("id").alias("source_id"), F.posexplode("key").alias("_p", "k"))
+    return rows.select("source_id", (F.col("_p") + 1).alias("no"), F.col("k.type").alias("type"), F.col("k.points").alias("points"), F.transform("k.ans", lambda a: a + 1).alias("options"))
+
+
+def pending_entries(entries: DataFrame, bank: DataFrame) -> DataFrame:
+    """Open entries whose question the bank still has, in order of their number."""
+    w = Window.partitionBy("user_id", "batch_id").orderBy("examNo", "qid")
+    open_ = entries.where(~F.coalesce("done", F.lit(False))).join(bank.select("qid"), "qid", "left_semi")
+    return open_.withColumn("nth", F.row_number().over(w))
+
+
+def visible_logs(logs: Column) -> Column:
+    """Logs but for those of the detail gate."""
+    return F.filter(logs, lambda x: F.coalesce(x["kind"], F.lit("")) != "detail-gate")

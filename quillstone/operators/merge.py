@@ -288,3 +288,27 @@ def commit_state(spark, path: str, user: str, change, tries: int = 5) -> int:
         out.close()
         return revision + 1
     raise RuntimeError("the state changed at every try")
+
+
+#: How each table of a state is merged; other tables take a's rows, then b's of new keys.
+RULES = {
+    "attempts": merge_attempts, "wrong": merge_wrong, "corrections": merge_corrections, "ext_mocks": merge_ext_mocks, "daily": merge_daily, "vision_queue": merge_vision_queue, "reviews": merge_reviews, "paper_runs": merge_runs,
+    "pack_off": merge_pack_off, "phone_days": merge_phone_days, "cards": merge_cards, "facts": merge_facts, "mocks": union_whole_rows, "drills": union_whole_rows, "packs": merge_packs,
+}
+#: Tables united by a composite key.
+RECORDS = {"side_practice": ["user_id", "ts", "qid"], "outline_attempts": ["user_id", "id", "ts", "unitId"], "concept_attempts": ["user_id", "id", "ts", "conceptId"], "vision_history": ["user_id", "id", "ts", "qid"]}
+
+
+def merge_state(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Two replicas' tables as one state, each table by its rule; a table of one side only is taken as it is."""
+    out = {}
+    for name in sorted({*a, *b}):
+        if name not in a or name not in b:
+            out[name] = a.get(name, b.get(name))
+        elif name in RULES:
+            out[name] = RULES[name](a[name], b[name])
+        elif name in RECORDS:
+            out[name] = union_records(a[name], b[name], RECORDS[name], "ts")
+        else:
+            out[name] = pick(tagged(a[name], b[name]), ["user_id"], [F.col("_side")])
+    return out
