@@ -6,6 +6,7 @@ buffer; a text is never cut, so a chunk holds at least one row however long it i
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -43,16 +44,26 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Like cut(), as Parquet, so later reads need only the columns they use."""
+    """Like cut(), as Parquet, so later reads need only the columns they use.
+
+    Shuffle files that made it are no longer needed once it is there; the collection
+    asked for lets Spark's cleaner remove them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
-def rows_per_bucket(spark: SparkSession, rows: int, each: int, least: int = 1) -> int:
-    """Buckets so that each holds about `each` rows: their number grows with the input."""
-    return max(least, -(-rows // each))
+def discard(df: DataFrame) -> None:
+    """Removes a written() table that nothing will read again."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mix(h: np.ndarray, by: np.uint64 = MIX_1) -> np.ndarray:

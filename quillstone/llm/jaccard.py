@@ -8,13 +8,16 @@ tokens. Candidates must pass three orders:
 
 R  rarest first: the posting lists of these prefixes make the candidate pairs. A
    set with c below ceil(3n/4) drops out, and words that most documents use come
-   last in this order, so they are hardly ever candidates' only tie.
+   last in this order, so they are hardly ever candidates' only tie. A token's
+   place in a set's order bounds what a pair that meets there can share, and so
+   the other set's size; both sets must be within the other's bound.
 A  by hash, and
 B  by hash from the other end: both on the two sets, before they are compared.
 
 Equal sets are one from the start (a 64-bit sum of hashes names them), so copies
-cost nothing and aren't expanded. In each posting list every set is compared with
-the list's least one; sets so linked share a label. In lists that then hold several
+cost nothing and aren't expanded. In each posting list every set is compared with the
+one that has fewest tokens of its own (a text that others were made from has none);
+sets so linked share a label. In lists that then hold several
 labels, all sets but those of the commonest label are compared with the rest. After
 that no pair that shares a list, differs in label and could link is uncompared, so
 components are exact.
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, U64, Powers, Words, by_bucket, byte_table, chunks, groups, joined, mix, shingles, written
+from .common import SPACE, U64, Powers, Words, by_bucket, byte_table, chunks, discard, groups, joined, mix, shingles, written
 from .components import components
 
 K = 5
@@ -161,7 +164,9 @@ def _prefixes(table: pa.Table) -> pa.Table:
     start = np.cumsum(size) - size
     nth = np.arange(len(post)) - np.repeat(start, size)
     rare = nth < np.repeat(size - needed(n) + 1, size)
-    first, wide = post[rare], np.repeat(n, size)[rare]
+    first, wide, own = post[rare], np.repeat(n, size)[rare], np.repeat(n - size, size)[rare]
+    # a pair whose first shared token is this one shares no more than the tokens from it on, so the other set's size has a bound
+    cap = ((LEAST_OF + OUT_OF) * (np.repeat(size, size) - nth)[rare] - LEAST_OF * wide) // LEAST_OF
     sets = [np.sort(post["token"][s : s + c]).tobytes() for s, c in zip(start, size)]
     a, b, c = len(first), len(sets), len(docs)
     col = lambda *x: pa.array(np.concatenate(x), pa.int64())
@@ -172,6 +177,8 @@ def _prefixes(table: pa.Table) -> pa.Table:
             "token": col(first["token"].astype(np.int64), zero(b), zero(c)),
             "key": col(first["key"], post["key"][start], docs["key"]),
             "n": col(wide, n, docs["n"]),
+            "own": col(own, zero(b), zero(c)),
+            "cap": col(cap, zero(b), zero(c)),
             "doc_id": col(zero(a), zero(b), docs["doc"]),
             "tokens": pa.array([None] * a + sets + [None] * c, pa.binary()),
         }
@@ -201,15 +208,16 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
     blobs = docs.mapInArrow(lambda it: _emit(it, "doc_id", "text", k, buckets), "kind int, bucket int, blob binary, runs binary")
     counted = blobs.groupBy("bucket").applyInArrow(lambda t: _frequencies(t, buckets), "kind int, bucket int, blob binary")
-    rows = written(counted.groupBy("bucket").applyInArrow(_prefixes, "kind int, token long, key long, n long, doc_id long, tokens binary"), "jaccard-postings")
+    rows = written(counted.groupBy("bucket").applyInArrow(_prefixes, "kind int, token long, key long, n long, own long, cap long, doc_id long, tokens binary"), "jaccard-postings")
     named = rows.where("kind = 2").select("doc_id", "key", F.col("n").alias("n_shingles"))
-    lists = rows.where("kind = 0").select("token", "key", "n")
+    by_token = Window.partitionBy("token")
+    lists = rows.where("kind = 0").select("token", "key", "n", "own", "cap")
     sets = rows.where("kind = 1").select("key", "n", "tokens")
 
-    by_token = Window.partitionBy("token")
-    hubs = lists.withColumn("_hub", F.min(F.struct("key", "n")).over(by_token))
-    fits = lambda x, y: (F.least(x, y) * OUT_OF >= F.greatest(x, y) * LEAST_OF)
-    stars = hubs.where("_hub.key <> key").where(fits(F.col("n"), F.col("_hub.n"))).select(F.col("_hub.key").alias("a"), F.col("key").alias("b")).distinct()
+    # a text that copies were made from has the fewest tokens of its own: it links with most of them
+    lists = lists.withColumn("_least", F.min("n").over(by_token)).where("cap >= _least")
+    hubs = lists.withColumn("_hub", F.min(F.struct("own", "key", "n", "cap")).over(by_token))
+    stars = hubs.where("_hub.key <> key and n <= _hub.cap and _hub.n <= cap").select(F.col("_hub.key").alias("a"), F.col("key").alias("b")).distinct()
     stars = written(stars, "jaccard-stars")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -219,16 +227,21 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
 
     links = written(verified(stars), "jaccard-links")
     labels = components(links)
-    labelled = lists.join(labels, lists["key"] == labels["node"], "left").select("token", "key", "n", F.coalesce("label", "key").alias("label"))
+    labelled = lists.join(labels, lists["key"] == labels["node"], "left").select("token", "key", "n", "cap", F.coalesce("label", "key").alias("label"))
     mixed = labelled.withColumn("_several", F.min("label").over(by_token) < F.max("label").over(by_token)).where("_several")
     mixed = mixed.withColumn("_same", F.count("*").over(Window.partitionBy("token", "label")))
-    mixed = written(mixed.withColumn("_most", F.max(F.struct("_same", "label")).over(by_token)).select("token", "key", "n", "label", (F.col("label") == F.col("_most.label")).alias("common")), "jaccard-mixed")
-    few = mixed.where("not common").select("token", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    rest = mixed.select("token", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), "common")
-    pairs = few.join(rest, "token").where("label_a <> label_b and (common or a < b)").where(fits(F.col("n_a"), F.col("n_b")))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    mixed = written(mixed.withColumn("_most", F.max(F.struct("_same", "label")).over(by_token)).select("token", "key", "n", "cap", "label", (F.col("label") == F.col("_most.label")).alias("common")), "jaccard-mixed")
+    few = mixed.where("not common").select("token", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("cap").alias("cap_a"), F.col("label").alias("label_a"))
+    rest = mixed.select("token", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("cap").alias("cap_b"), F.col("label").alias("label_b"), "common")
+    could = (few["token"] == rest["token"]) & (F.col("n_a") <= F.col("cap_b")) & (F.col("n_b") <= F.col("cap_a")) & (F.col("label_a") != F.col("label_b")) & (F.col("common") | (F.col("a") < F.col("b")))
+    pairs = few.join(rest, could)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = pairs.join(tried, ["a", "b"], "left_anti")
     links = written(links.unionByName(verified(pairs)), "jaccard-all-links")
 
+    discard(mixed)
+    discard(stars)
     labels = components(links)
     least = named.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("_least"))
     of_key = least.join(labels, least["key"] == labels["node"], "left").select("key", "_least", F.coalesce("label", "key").alias("label"))
