@@ -238,11 +238,16 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    links = written(links.unionByName(verified(pairs)), "jaccard-all-links")
-
+    more = written(verified(pairs), "jaccard-more-links")
+    if not more.isEmpty():
+        # later links join whole components: an edge between their labels is enough
+        name = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+        joins = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+        top = components(joins)
+        labels = labels.unionByName(joins.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("label"))).distinct()
+        labels = labels.join(top.select(F.col("node").alias("label"), F.col("label").alias("_top")), "label", "left").select("node", F.coalesce("_top", "label").alias("label"))
     discard(mixed)
     discard(stars)
-    labels = components(links)
     least = named.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("_least"))
     of_key = least.join(labels, least["key"] == labels["node"], "left").select("key", "_least", F.coalesce("label", "key").alias("label"))
     of_label = of_key.groupBy("label").agg(F.min("_least").alias("component_id"))
