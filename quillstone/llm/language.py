@@ -5,9 +5,9 @@ Texts are cut into windows of WINDOW bytes, one beside the other over the whole
 filter's largest response goes to a softmax over the learned languages. A text's
 probabilities are the mean of its windows', weighted by their letters' bytes.
 
-Training uses a bounded sample: at most `sample` documents (by the hash of their
-id) and `windows` windows of each, evenly spread over the whole text. A row of the
-first layer is a table of responses to one byte at one place of a filter, so a
+Training uses a bounded sample: at most `sample` documents' ids (by their hash) and
+`windows` windows of each, evenly spread over the whole text. A row of the first
+layer is a table of responses to one byte at one place of a filter, so a
 convolution over one-hot bytes is a sum of table rows; pairs of places share one
 table of 65,536 rows when the model is applied.
 
@@ -133,29 +133,48 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(rows: list[tuple[str, str]], windows: int = WINDOWS) -> ByteNet | None:
-    """A network from (text, language); None if no text has a letter."""
-    texts = [(t.encode(), lang) for t, lang in rows if t and any(c.isalpha() for c in t)]
-    if not texts:
-        return None
-    labels = sorted({lang for _, lang in texts})
-    off = np.concatenate(([0], np.cumsum([len(t) for t, _ in texts])))
-    data = np.frombuffer(b"".join(t for t, _ in texts), np.uint8)
+def spread(off: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and first bytes of at most `windows` windows of each text, evenly over the whole of it."""
     row, start = place_windows(off)
     count = -(-np.diff(off) // WINDOW)
     nth = (start - off[:-1][row]) // WINDOW
-    pick = (nth * windows) // count[row] != ((nth - 1) * windows) // count[row]
-    row, start = row[pick | (count[row] <= windows)], start[pick | (count[row] <= windows)]
-    y = np.array([labels.index(lang) for _, lang in texts])[row]
+    pick = (count[row] <= windows) | ((nth * windows) // count[row] != ((nth - 1) * windows) // count[row])
+    return row[pick], start[pick]
+
+
+def train(rows: list[tuple[str | bytes, str]], windows: int = WINDOWS) -> ByteNet | None:
+    """A network from (text or UTF-8 bytes, language); None if none has a letter."""
+    raw = [(t if isinstance(t, bytes) else (t or "").encode(), lang) for t, lang in rows]
+    raw = [(t, lang) for t, lang in raw if any(c.isalpha() for c in t.decode("utf-8", "ignore"))]
+    if not raw:
+        return None
+    labels = sorted({lang for _, lang in raw})
+    off = np.concatenate(([0], np.cumsum([len(t) for t, _ in raw])))
+    data = np.frombuffer(b"".join(t for t, _ in raw), np.uint8)
+    row, start = spread(off, windows)
     net = ByteNet(labels)
-    net.fit(bytes_of(data, off, row, start), y)
+    net.fit(bytes_of(data, off, row, start), np.array([labels.index(lang) for _, lang in raw])[row])
     return net
 
 
-def labelled_sample(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """Text and lang of at most `sample` rows that training may see, by the hash of their id."""
-    good = docs.where("text is not null and lang is not null").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    return [(r[0], r[1]) for r in good.orderBy(F.xxhash64(F.lit(41), "doc_id"), "doc_id").select("text", "lang").limit(sample).collect()]
+def labelled_sample(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS) -> list[tuple[bytes, str]]:
+    """(window, lang) of at most `sample` documents that training may see, by the hash of their id. Only windows go to the driver, however long the texts."""
+    good = docs.where("doc_id is not null and text is not null and lang is not null").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    ids = good.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(41), "doc_id"), "doc_id").limit(sample)
+    rows = good.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id")  # bounded by sample
+
+    def cut(batches):
+        for batch in batches:
+            lang = batch.column(batch.schema.get_field_index("lang"))
+            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            for chunk in chunks(batch.column(batch.schema.get_field_index("text"))):
+                row, start = spread(chunk.off, windows)
+                at = pa.array(chunk.first + row)
+                ends = np.minimum(start + WINDOW, chunk.off[1:][row])
+                yield pa.RecordBatch.from_arrays([ids.take(at), pa.array([chunk.data[a:b].tobytes() for a, b in zip(start, ends)], pa.binary()), lang.take(at)], names=["doc_id", "w", "lang"])
+
+    found = rows.mapInArrow(cut, "doc_id long, w binary, lang string").collect()
+    return sorted((bytes(r[1]), r[2]) for r in found)
 
 
 def identified(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFrame:
