@@ -31,7 +31,7 @@ WEIGHTS = (5, 2, 1)
 FACTOR, MOST = 1.5, 2
 SEED = 17
 CELLS = 4096
-ROWS_PER_PREFIX = 20_000
+ROWS_PER_PREFIX = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 #: Primes above 2**20: below 2**40 blocks, no number has both as factors.
 PRIMES = (1_048_583, 2_097_169)
