@@ -37,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Powers, annotated, byte_table, chunks, groups, mix, written
+from .common import U64, Powers, annotated, byte_table, chunks, discard, groups, mix, written
 
 LENGTH = 400
-SEED = 32
-HOT = 20_000
+SEED = 128
+HOT = 100_000
 BUCKET = 12_288
 SEGMENT = (1 << 20) - 2 * LENGTH
 POSITION = U64((1 << 20) - 1)
@@ -196,7 +196,9 @@ def _spans(table: pa.Table) -> pa.Table:
     docs, hashes, starts = (table.column(c).to_pylist() for c in ("doc_id", "th", "start"))
     one: dict[tuple, int] = {}
     owners: list[list[int]] = []
-    for k, key in enumerate(zip(mins, lefts, table.column("piece").to_pylist())):
+    names = table.column("name").to_pylist()
+    texts = {n: p for n, p in zip(names, table.column("piece").to_pylist()) if p is not None}
+    for k, key in enumerate(zip(mins, lefts, names)):
         t = one.setdefault(key, len(one))
         if t == len(owners):
             owners.append([])
@@ -208,10 +210,10 @@ def _spans(table: pa.Table) -> pa.Table:
     # a document alone in its group, or one that counts twice, needs no order
     several = [t for t, k in enumerate(keys) if shared[k[0]] > 1]
     number = {g: n for n, g in enumerate(sorted({keys[t][0] for t in several}))}
-    found = dict(zip(several, repeated([keys[t][2] for t in several], np.array([keys[t][1] for t in several], np.int64), np.array([number[keys[t][0]] for t in several], np.int64)))) if several else {}
+    found = dict(zip(several, repeated([texts[keys[t][2]] for t in several], np.array([keys[t][1] for t in several], np.int64), np.array([number[keys[t][0]] for t in several], np.int64)))) if several else {}
     out: list[tuple] = []
     for t, k in enumerate(keys):
-        windows = len(k[2]) - LENGTH + 1
+        windows = len(texts[k[2]]) - LENGTH + 1
         if len(owners[t]) > 1:
             runs = [(0, windows)]
         elif t in found and len(found[t]):
@@ -245,6 +247,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     counts = listed.groupBy("minimizer").agg(F.count("*").alias("_n")).where("_n > 1")
     marked = listed.join(counts, "minimizer").groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", (F.col("_n") > HOT).alias("hot"))).alias("marks"))
     marked = written(marked, "suffix-marked")
+    discard(listed)
     sums = marked.agg(F.sum(F.size("marks")), F.max(F.exists("marks", lambda x: x["hot"]).cast("int"))).first()
     buckets = max(64, -(-(sums[0] or 0) // BUCKET))
     wanted = docs.where(F.octet_length("text") >= LENGTH).join(marked, ["doc_id", "th"])
@@ -256,14 +259,18 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             marks = batch.column(3).to_pylist()
             for chunk in chunks(batch.column(2), SEGMENT):
                 mine = [{x["start"] for x in marks[chunk.first + r] if not x["hot"]} for r in range(len(chunk))]
-                rows = []
+                rows, sent = [], set()
                 for r, s, n, p, h in pieces(chunk.data, chunk.off, table):
                     at = s - int(chunk.off[r])
                     if at in mine[r]:
-                        rows.append((h % buckets, h, p - s, chunk.data[s : s + n + LENGTH - 1].tobytes(), ids[chunk.first + r], ths[chunk.first + r], at))
+                        piece = chunk.data[s : s + n + LENGTH - 1].tobytes()
+                        name = hashlib.blake2b(piece, digest_size=16).digest()
+                        # equal pieces of a chunk travel once
+                        rows.append((h % buckets, h, p - s, name, None if (h, name) in sent else piece, ids[chunk.first + r], ths[chunk.first + r], at))
+                        sent.add((h, name))
                 for k in range(0, len(rows), 4096):
                     cols = zip(*rows[k : k + 4096])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["bucket", "minimizer", "left", "piece", "doc_id", "th", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["bucket", "minimizer", "left", "name", "piece", "doc_id", "th", "start"])
 
     def windows(batches):
         tables, power = (byte_table(lower=False), byte_table(lower=False, seed=8)), Powers()
@@ -281,12 +288,13 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, ids[chunk.first + r]), pa.int64()), pa.array(np.full(n, ths[chunk.first + r]), pa.int64()), pa.array(k - int(chunk.off[r]), pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "th", "start", "a", "b"])
 
     wanted = wanted.select("doc_id", "th", "text", "marks")
-    rows = wanted.mapInArrow(gathered, "bucket int, minimizer long, left int, piece binary, doc_id long, th long, start long")
+    rows = wanted.mapInArrow(gathered, "bucket int, minimizer long, left int, name binary, piece binary, doc_id long, th long, start long")
     spans = rows.groupBy("bucket").applyInArrow(_spans, SPAN)
     if sums[1]:
         each = written(wanted.where(F.exists("marks", lambda x: x["hot"])).mapInArrow(windows, "doc_id long, th long, start long, a long, b long"), "suffix-windows")
         twice = each.groupBy("a", "b").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
         spans = spans.unionByName(each.join(twice, ["a", "b"]).select("doc_id", "th", "start", (F.col("start") + LENGTH).alias("end")))
+    spans = written(spans, "suffix-spans")
     removed = spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
     return docs.join(removed, ["doc_id", "th"], "left")
 

@@ -28,7 +28,7 @@ def brute_repeats(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [20_000, 3])
+@pytest.mark.parametrize("hot", [100_000, 3])
 def test_suffix_dedup_is_exact(spark, monkeypatch, hot):
     monkeypatch.setattr(suffixes, "HOT", hot)
     rows = corpus()
