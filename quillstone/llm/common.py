@@ -18,6 +18,7 @@ from pyspark.sql.types import DataType, StructType
 
 U64 = np.uint64
 CHUNK_BYTES = 2 << 20
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 MIX_1, MIX_2 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 
 
@@ -51,7 +52,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # texts of some kB: Arrow's usual 10,000 rows a batch would take tens of MB in each task, on both sides
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, min(int(before), 1000) if int(before) > 0 else 1000)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
     gc.collect()

@@ -42,7 +42,7 @@ from .components import components
 K = 5
 LEAST_OF, OUT_OF = 75, 100
 BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 64
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 POSTINGS = np.dtype([("token", "<u8"), ("key", "<i8"), ("df", "<u4")])
 META = np.dtype([("key", "<i8"), ("n", "<i8")])
 DOCS = np.dtype([("doc", "<i8"), ("key", "<i8"), ("n", "<i8")])
