@@ -44,6 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """At most 1,000 rows in an Arrow batch of this session: with texts of some kB the usual 10,000 take tens of MB in each task, on both sides."""
+    now = int(spark.conf.get(BATCH_ROWS))
+    if not 0 < now <= 1000:
+        spark.conf.set(BATCH_ROWS, 1000)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Like cut(), as Parquet, so later reads need only the columns they use.
 
@@ -52,13 +59,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    # texts of some kB: Arrow's usual 10,000 rows a batch would take tens of MB in each task, on both sides
-    before = spark.conf.get(BATCH_ROWS)
-    spark.conf.set(BATCH_ROWS, min(int(before), 1000) if int(before) > 0 else 1000)
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH_ROWS, before)
+    small_batches(spark)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
     gc.collect()
@@ -232,6 +234,7 @@ def annotated(df: DataFrame, make, fields: list[tuple[str, pa.DataType, str]]) -
     that has such a name gives way. make() runs once a task and returns a
     function from a batch to the arrays of the new columns.
     """
+    small_batches(df.sparkSession)
     names = [f[0] for f in fields]
     taken = {x.lower() for x in names}
     keep = [c for c in df.columns if c.lower() not in taken]

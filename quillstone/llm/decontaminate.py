@@ -31,7 +31,7 @@ from .common import PUNCT, U64, Powers, Words, annotated, byte_table, chunks, gr
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 SAMPLE_EVERY = 8
 
 
