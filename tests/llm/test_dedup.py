@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -7,7 +8,7 @@ import pytest
 
 from quillstone.llm import chaining, components, jaccard, suffixes
 
-from .data import corpus, frame
+from .data import corpus, frame, words
 
 
 def brute_repeats(rows, length):
@@ -110,6 +111,32 @@ def test_passages(spark):
     assert all(r["doc_id"] != r["other_id"] and r["similarity"] >= 0.75 and r["end"] - r["start"] >= 50 for r in got)
 
 
+def found_in(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = defaultdict(set)
+    for r in chaining.passages(df).collect():
+        out[r["doc_id"]].add((r["start"], r["end"]))
+    return out
+
+
+def test_passage_that_a_hub_holds_in_part(spark):
+    # every third text holds the first 40 to 49 of 60 words that the next two share
+    rng = random.Random(4)
+    texts = []
+    for k in range(60):
+        passage = words(rng, 60).split()
+        texts += [" ".join([words(rng, 30), *passage[: 40 + k % 10], words(rng, 40)]), " ".join([words(rng, 20), *passage, words(rng, 25)]), " ".join([words(rng, 10), *passage, words(rng, 35)])]
+    got = found_in(spark, texts)
+    for d in range(len(texts)):
+        at = {1: 20, 2: 10}.get(d % 3)
+        assert at is None or any(s <= at and e >= at + 60 for s, e in got[d]), d
+
+
+def test_reach_keeps_to_the_threshold():
+    assert chaining.reach(np.array([True] * 40 + [False] + [True] * 4)) == 45
+    assert chaining.reach(np.array([True] * 40 + [False] + [True] * 2)) == 40
+
+
 def test_chain_and_alignment():
     # brute force over all chains of a few matches
     rng = np.random.default_rng(1)
