@@ -132,6 +132,19 @@ def test_passage_that_a_hub_holds_in_part(spark):
         assert at is None or any(s <= at and e >= at + 60 for s, e in got[d]), d
 
 
+def test_passages_of_repeated_words_and_copies_in_one_text(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        passage, one = words(rng, 60), words(rng, 1)
+        texts += [" ".join([words(rng, 20), passage, words(rng, 10), passage, words(rng, 5)]), " ".join([words(rng, 12), passage, words(rng, 30)])]
+        texts += [" ".join([words(rng, 20), *[one] * 60, words(rng, 10), *[one] * 60]), " ".join([words(rng, 12), *[one] * 60, words(rng, 30)])]
+    got = found_in(spark, texts)
+    for d in range(len(texts)):
+        for at in (20, 90) if d % 2 == 0 else (12,):
+            assert any(s < at + 60 and e > at and e - s >= 50 for s, e in got[d]), (d, at)
+
+
 def test_reach_keeps_to_the_threshold():
     assert chaining.reach(np.array([True] * 40 + [False] + [True] * 4)) == 45
     assert chaining.reach(np.array([True] * 40 + [False] + [True] * 2)) == 40
