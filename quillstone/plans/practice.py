@@ -412,6 +412,13 @@ def rate_limiter(spark, sf_dir):
     return r.select("user_id", "seq", "allowed", F.col("requests").cast("long").alias("requests"), F.col("weight_used").cast("long").alias("weight_used"))
 
 
+@query()
+def rate_limiter_all(spark, sf_dir):
+    """rate_limiter for every user; without SQL, as its recursion is too slow for all events."""
+    r = limiter.limited(attempts(spark, sf_dir).select("user_id", "ts", "seq", (F.col("qid") % 25).alias("weight")))
+    return r.select("user_id", "seq", "allowed", F.col("requests").cast("long").alias("requests"), F.col("weight_used").cast("long").alias("weight_used"))
+
+
 @query()
 def greedy_dedupe(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select((F.col("page_id") % 5).alias("list"), F.col("page_id").alias("pos"), F.col("page_id").cast("string").alias("id"), F.col("url").alias("q"), F.lit(None).cast("string").alias("src"), F.substring_index("url", "/", 3).alias("grp"))
