@@ -247,6 +247,7 @@ def due_items(dimension: DataFrame, log: DataFrame, key: str, today: Column, ord
     w = Window.partitionBy("user_id", key).orderBy(*[F.desc(c) for c in order])
     last = log.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("user_id", key, "due")
     users = log.select("user_id").distinct()
-    # items are a bounded dimension: a row for each user and item is the result's own size
-    grid = users.crossJoin(F.broadcast(dimension.select(key)))
-    return grid.join(last.withColumn("_has", F.lit(True)), ["user_id", key], "left").where(F.col("_has").isNull() | dates.is_due(F.col("due"), today)).select("user_id", key, "due")
+    # a row for each user and item never done is the result's own size; those done are left out by an equi-join
+    never = users.crossJoin(dimension.select(key)).join(last, ["user_id", key], "left_anti").withColumn("due", F.lit(None).cast(last.schema["due"].dataType))
+    come = last.where(dates.is_due(F.col("due"), today)).join(dimension.select(key).distinct(), key, "left_semi")
+    return never.unionByName(come.select("user_id", key, "due")).select("user_id", key, "due")

@@ -25,3 +25,8 @@ def test_rate_limiter_all(spark):
             want[seq] = (user, ok, requests, used)
     got = {r["seq"]: (r["user_id"], r["allowed"], r["requests"], r["weight_used"]) for r in practice.QUERIES["rate_limiter_all"](spark, SF).collect()}
     assert got == want and len(got) == len(a)
+
+
+def test_due_queue_all(spark):
+    qids = {r["qid"] for r in practice.QUERIES["due_queue_all"](spark, SF).select("qid").distinct().collect()}
+    assert qids == {r["qid"] for r in practice.bank(spark, SF).collect()}
