@@ -434,7 +434,7 @@ def greedy_dedupe(spark, sf_dir):
 
 @query()
 def build_paper(spark, sf_dir):
-    b = bank(spark, sf_dir).where("qid < 2000")
+    b = bank(spark, sf_dir)
     kind = F.element_at(F.array(F.lit("single"), F.lit("multi"), F.lit("fill")), (F.col("qid") % 3 + 1).cast("int"))
     b = b.select(F.col("qid").alias("id"), kind.alias("type"), F.col("diff").cast("int").alias("diff"), "topic", F.lit(None).cast("string").cast("long").alias("grp0")).withColumn("grp", F.concat(F.lit("g"), (F.col("id") / 2).cast("int"))).drop("grp0")
     users = read(spark, sf_dir, "events").select("user_id").distinct()

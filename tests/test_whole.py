@@ -2,6 +2,8 @@
 
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from quillstone.operators import limiter
 from quillstone.plans import practice
 
@@ -30,3 +32,10 @@ def test_rate_limiter_all(spark):
 def test_due_queue_all(spark):
     qids = {r["qid"] for r in practice.QUERIES["due_queue_all"](spark, SF).select("qid").distinct().collect()}
     assert qids == {r["qid"] for r in practice.bank(spark, SF).collect()}
+
+
+def test_build_paper_uses_every_id(spark, tmp_path):
+    spark.read.parquet(f"{SF}/part.parquet").withColumn("p_partkey", F.col("p_partkey") + 5000).write.parquet(f"{tmp_path}/part.parquet")
+    spark.read.parquet(f"{SF}/events.parquet").where("user_id < 3").write.parquet(f"{tmp_path}/events.parquet")
+    got = practice.QUERIES["build_paper"](spark, str(tmp_path)).collect()
+    assert got and all(int(r["qid"]) >= 5000 for r in got)
