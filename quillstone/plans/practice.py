@@ -324,6 +324,15 @@ def grid_candidates(spark, sf_dir):
     return joins.grid_candidates(boxes, points, "radius").select("box_id", "point_id")
 
 
+@query(ORACLE_SQL["grid_candidates"].replace(" where a.vec_id % 7 = 0", ""))
+def grid_candidates_all(spark, sf_dir):
+    """grid_candidates with every vector as a box."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    p = e.select("vec_id", ((F.get("e", F.lit(0)) + 1) / 2).alias("x"), ((F.get("e", F.lit(1)) + 1) / 2).alias("y"))
+    points = p.select(F.col("vec_id").alias("point_id"), F.col("x").alias("px"), F.col("y").alias("py"))
+    return joins.grid_candidates(p.select(F.col("vec_id").alias("box_id"), "x", "y", F.lit(0.01).alias("radius")), points, "radius").select("box_id", "point_id")
+
+
 def _halves(spark, sf_dir):
     e = attempts(spark, sf_dir).withColumn("mt", _epoch_ms(F.col("ts")))
     return e.where("seq % 2 = 0"), e.where("seq % 2 = 1")
@@ -349,6 +358,15 @@ def merge_tombstone(spark, sf_dir):
     return merge.merge_strokes(rows, ["user_id"])[0].select("user_id", "id", "seq")
 
 
+@query(ORACLE_SQL["merge_tombstone"].replace(" where seq % 2 = 0 or seq % 3 = 0", ""))
+def merge_tombstone_all(spark, sf_dir):
+    """merge_tombstone over two replicas that together hold every row."""
+    a, b = _halves(spark, sf_dir)
+    e, t = a.unionByName(b), F.col("mt")
+    rows = e.select("user_id", F.col("qid").alias("id"), t.alias("t0"), t.alias("t1"), F.lit(None).cast("long").alias("dead"), (~F.col("ok") & (F.col("seq") % 5 == 0)).alias("deleted"), "seq")
+    return merge.merge_strokes(rows, ["user_id"])[0].select("user_id", "id", "seq")
+
+
 @query(A + ", c as (select qid as id, max(seq) as rev from a where seq % 2 = 0 group by qid), i as (select qid + 3 as id, max(seq) as rev from a where seq % 2 = 1 group by qid) select count(*) filter (where c.id is null) as added, count(*) filter (where c.id is not null and i.rev > c.rev) as updated, count(*) filter (where c.id is not null and i.rev <= c.rev) as skipped from i left join c using (id)")
 def union_by_id_stats(spark, sf_dir):
     a, b = _halves(spark, sf_dir)
@@ -523,6 +541,13 @@ def union_distinct(spark, sf_dir):
     return u.groupBy("mode").agg(F.count("*").alias("n"))
 
 
+@query(ORACLE_SQL["union_distinct"].replace("seq % 3 = 0", "seq % 2 = 1"))
+def union_distinct_all(spark, sf_dir):
+    """union_distinct of two replicas that together hold every row."""
+    a, b = (h.select("user_id", "qid", "mode") for h in _halves(spark, sf_dir))
+    return a.unionByName(b).distinct().groupBy("mode").agg(F.count("*").alias("n"))
+
+
 @query("select c_custkey, case when abs(c_acctbal) < 3000 then 'start' when abs(c_acctbal) > 7000 then 'end' else 'middle' end as part, (60000 * pow(0, 0) + 0)::bigint as one, least(30000, 1200 * pow(2, least(5, greatest(0, c_custkey % 9 - 1))))::bigint as backoff from customer")
 def backoff(spark, sf_dir):
     c = read(spark, sf_dir, "customer")

@@ -39,3 +39,11 @@ def test_build_paper_uses_every_id(spark, tmp_path):
     spark.read.parquet(f"{SF}/events.parquet").where("user_id < 3").write.parquet(f"{tmp_path}/events.parquet")
     got = practice.QUERIES["build_paper"](spark, str(tmp_path)).collect()
     assert got and all(int(r["qid"]) >= 5000 for r in got)
+
+
+def test_whole_replicas_and_boxes(spark):
+    a = practice.attempts(spark, SF)
+    assert {r["box_id"] for r in practice.QUERIES["grid_candidates_all"](spark, SF).collect()} == {r["vec_id"] for r in practice.read(spark, SF, "embeddings").select("vec_id").collect()}
+    n = sum(r["n"] for r in practice.QUERIES["union_distinct_all"](spark, SF).collect())
+    assert n == a.select("user_id", "qid", "mode").distinct().count()
+    assert any(r["seq"] % 2 and r["seq"] % 3 for r in practice.QUERIES["merge_tombstone_all"](spark, SF).collect())
