@@ -50,20 +50,23 @@ def judged(items: DataFrame, builtin: DataFrame, pos: str = "pos", topics: list[
     """items cleaned, with reason (the first check failed, null for accepted) and had_pictograph.
 
     Two window stages, since a row later refused still blocks its id, and a text
-    counts as taken only by rows that passed every earlier check.
+    counts as taken only by rows that passed every earlier check. What each check
+    needs is taken from the texts before the windows, texts by a 128-bit hash: a
+    report, which wants no texts, shuffles none.
     """
+    c = F.col
     d = items.withColumn("had_pictograph", text.has_pictograph(shown_text())).withColumn("_risky", text.risky_markup(shown_text()))
-    d = cleaned(d).withColumn("_bad", violation(topics).isNotNull())
-    nth = F.row_number().over(Window.partitionBy("id", "_bad").orderBy(pos))
-    d = d.withColumn("_nth", nth).withColumn("_text", text.normalize_question(F.col("q")))
-    known = builtin.select(text.normalize_question(F.col("q")).alias("_text")).distinct().withColumn("_known", F.lit(True))
-    d = d.join(known, "_text", "left")
-    reason = F.when(F.col("_bad"), "schema").when(F.col("_nth") > 1, "duplicateId").when(F.coalesce("needsFigure", F.lit(False)) & F.coalesce(F.col("fig") == "", F.lit(True)), "missingFigure")
-    reason = reason.when(text.out_of_scope(F.col("q")), "outOfRange").when(F.col("_risky"), "suspiciousHtml").when(F.col("_known"), "duplicateBuiltin")
+    hashed = F.md5(text.normalize_question(c("q")))
+    figure = F.coalesce("needsFigure", F.lit(False)) & F.coalesce(c("fig") == "", F.lit(True))
+    d = cleaned(d).withColumns({"_bad": violation(topics).isNotNull(), "_hash": hashed, "_scope": text.out_of_scope(c("q")), "_figure": figure})
+    d = d.withColumn("_nth", F.row_number().over(Window.partitionBy("id", "_bad").orderBy(pos)))
+    d = d.join(builtin.select(hashed.alias("_hash")).distinct().withColumn("_known", F.lit(True)), "_hash", "left")
+    reason = F.when(c("_bad"), "schema").when(c("_nth") > 1, "duplicateId").when(c("_figure"), "missingFigure")
+    reason = reason.when(c("_scope"), "outOfRange").when(c("_risky"), "suspiciousHtml").when(c("_known"), "duplicateBuiltin")
     d = d.withColumn("reason", reason)
-    seen = F.row_number().over(Window.partitionBy("_text", F.col("reason").isNull()).orderBy(pos))
-    d = d.withColumn("_seen", seen).withColumn("reason", F.when(F.col("reason").isNull() & (F.col("_seen") > 1), "duplicateLegacy").otherwise(F.col("reason")))
-    return d.drop("_risky", "_bad", "_nth", "_text", "_known", "_seen")
+    seen = F.row_number().over(Window.partitionBy("_hash", c("reason").isNull()).orderBy(pos))
+    d = d.withColumn("_seen", seen).withColumn("reason", F.when(c("reason").isNull() & (c("_seen") > 1), "duplicateLegacy").otherwise(c("reason")))
+    return d.drop("_risky", "_bad", "_nth", "_hash", "_known", "_seen", "_scope", "_figure")
 
 
 def report(judged_items: DataFrame) -> DataFrame:
