@@ -82,7 +82,7 @@ def _summed(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     out = np.zeros(len(off) - 1)
     full = np.flatnonzero(np.diff(off))
     if len(full):
-        out[full] = np.add.reduceat(values, off[:-1][full], dtype=np.float64)
+        out[full] = np.add.reduceat(values, off[:-1][full])
     return out
 
 
@@ -173,7 +173,8 @@ def fit(sample: Sample, rows: np.ndarray, fairness: float, decay: float, steps:
     copies = np.flatnonzero(np.isin(sample.changed, rows))
     whole = len(rows) == len(sample.y)
     x = sample.x if whole else sample.x.part(rows)
-    mine, other = sample.x.part(sample.changed[copies]), sample.other if whole else sample.other.part(copies)
+    other = sample.other if whole else sample.other.part(copies)
+    mine = np.searchsorted(rows, sample.changed[copies])  # both in order
     pos = y.mean()
     bias = np.log(pos / (1 - pos))
     cost = np.where(y > 0, 0.5 / pos, 0.5 / (1 - pos))
@@ -182,11 +183,13 @@ def fit(sample: Sample, rows: np.ndarray, fairness: float, decay: float, steps:
     for step in range(1, steps + 1):
         s = x.scores(weight)
         d = cost * (sigmoid(s + bias) - y) / n
-        g = x.back(d) + decay * weight
-        if len(copies):
-            gap = 2 * fairness * (mine.scores(weight) - other.scores(weight)) / n
-            g += mine.back(gap) - other.back(gap)
         bias -= 0.05 * d.sum()
+        g = decay * weight
+        if len(copies):
+            gap = 2 * fairness * (s[mine] - other.scores(weight)) / n
+            d[mine] += gap
+            g -= other.back(gap)
+        g += x.back(d)
         m += 0.1 * (g - m)
         v += 0.001 * (g * g - v)
         weight -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
