@@ -23,7 +23,10 @@ that no pair that shares a list, differs in label and could link is uncompared,
 components are exact.
 
 Tokens travel in blobs, a row for each chunk of documents and bucket of hashes; the
-number of buckets grows with the bytes of text. A bucket's frequencies go to the
+number of buckets grows with the bytes of text, without an upper bound. Tokens are
+64-bit hashes: their bucket, taken from all 64 bits, and 48 of the bits, so two of a
+corpus of n different shingles are taken for one with a chance of about n * n / 2**65
+or, below 65,536 buckets, n * n / (2**49 * buckets); sets are named by 64-bit sums. A bucket's frequencies go to the
 sets' buckets for common tokens only. Null and empty texts have no shingles and
 link with nothing; repeated rows are answered each; rows without an id take no
 part; an empty table gives no rows.
@@ -109,7 +112,7 @@ def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _token_bucket(token: np.ndarray, buckets: int) -> np.ndarray:
-    return (token >> U64(48)).astype(np.int64) % buckets
+    return (mix(token ^ U64(0x7F4A7C159E3779B9)) % U64(buckets)).astype(np.int64)
 
 
 def _frequencies(table: pa.Table, buckets: int) -> pa.Table:

@@ -13,7 +13,7 @@ with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, '
  n as (select r, sum(e - a)::bigint as n_removed, count(*) as n_spans from u group by r),
  k as (select r, e as a, lead(a) over (partition by r order by a) as e from u union all select r, 0, min(a) from u group by r),
  p as (select k.r, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(e, length(h) // 2) - a)), '' order by a) as kept from k join d using (r) group by k.r)
-select doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
+select doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256, coalesce(n_removed, 0) / greatest(1, length(h) // 2) as removed_share, coalesce(n_removed, 0) > 0 as has_repeats
 from d left join n using (r) left join p using (r)"""
 
 WORDS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

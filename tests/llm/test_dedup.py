@@ -25,7 +25,7 @@ def brute_repeats(rows, length):
                 edge[k + length] -= 1
         r = np.cumsum(edge)[:-1] > 0
         spans = int((np.diff(np.concatenate(([0], r.astype(int)))) == 1).sum())
-        out.append((i, len(b), int(r.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~r].tobytes()).hexdigest()))
+        out.append((i, len(b), int(r.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~r].tobytes()).hexdigest(), int(r.sum()) / max(1, len(b)), bool(r.any())))
     return sorted(out)
 
 
@@ -145,6 +145,30 @@ def test_passages_of_repeated_words_and_copies_in_one_text(spark):
             assert any(s < at + 60 and e > at and e - s >= 50 for s, e in got[d]), (d, at)
 
 
+@pytest.mark.parametrize("share", [0.1, 0.15, 0.2])
+def test_recall_of_passages_with_words_changed(spark, share):
+    # brute force knows the truth: pairs of 60 words, 78 % or more of them equal in their places
+    rng = random.Random(int(100 * share))
+    some = words(rng, 4000).split()
+    rows, pairs = [], []
+    while len(pairs) < 80:
+        p = rng.choices(some, k=60)
+        q = [rng.choice(some) if rng.random() < share else w for w in p]
+        if sum(a == b for a, b in zip(p, q)) >= 0.78 * 60:
+            pairs.append(len(rows))
+            rows += [" ".join(rng.choices(some, k=30) + p + rng.choices(some, k=25)), " ".join(rng.choices(some, k=12) + q + rng.choices(some, k=44))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["other_id"]) for r in chaining.passages(df).collect()}
+    assert sum((a, a + 1) in got for a in pairs) >= 0.9 * len(pairs)
+    assert all(abs(a - b) == 1 and min(a, b) % 2 == 0 for a, b in got)
+
+
+def test_token_buckets_have_no_upper_bound():
+    token = np.random.default_rng(0).integers(0, 2**63, 400_000).astype(np.uint64)
+    bucket = jaccard._token_bucket(token, 200_000)
+    assert bucket.min() >= 0 and bucket.max() > 190_000 and len(np.unique(bucket)) > 150_000
+
+
 def test_reach_keeps_to_the_threshold():
     assert chaining.reach(np.array([True] * 40 + [False] + [True] * 4)) == 45
     assert chaining.reach(np.array([True] * 40 + [False] + [True] * 2)) == 40
