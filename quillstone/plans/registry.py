@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import more, practice, streams
+from . import each, more, practice, streams
 
 
 def queries() -> dict[str, Callable]:
-    return practice.QUERIES | more.QUERIES | streams.QUERIES
+    return practice.QUERIES | more.QUERIES | each.QUERIES | streams.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return practice.ORACLE_SQL | more.ORACLE_SQL | streams.ORACLE_SQL
+    return practice.ORACLE_SQL | more.ORACLE_SQL | each.ORACLE_SQL | streams.ORACLE_SQL
