@@ -242,12 +242,25 @@ def pending_batches(entries: DataFrame, today: Column | None = None) -> DataFram
     return open_.groupBy("user_id", "batch_id").agg(F.count("*").alias("open"))
 
 
-def due_items(dimension: DataFrame, log: DataFrame, key: str, today: Column, order: list[str]) -> DataFrame:
-    """Items of a dimension never done, or whose latest row's due day has come (none: due)."""
+def _last_due(dimension: DataFrame, log: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """user_id, key, due of each user's latest row of each item that the dimension has."""
     w = Window.partitionBy("user_id", key).orderBy(*[F.desc(c) for c in order])
     last = log.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("user_id", key, "due")
-    users = log.select("user_id").distinct()
-    # a row for each user and item never done is the result's own size; those done are left out by an equi-join
-    never = users.crossJoin(dimension.select(key)).join(last, ["user_id", key], "left_anti").withColumn("due", F.lit(None).cast(last.schema["due"].dataType))
-    come = last.where(dates.is_due(F.col("due"), today)).join(dimension.select(key).distinct(), key, "left_semi")
-    return never.unionByName(come.select("user_id", key, "due")).select("user_id", key, "due")
+    return last.join(dimension.select(key).distinct(), key, "left_semi").select("user_id", key, "due")
+
+
+def due_items(dimension: DataFrame, log: DataFrame, key: str, today: Column, order: list[str]) -> DataFrame:
+    """Items of a user's log whose latest row's due day has come (none: due). Items never done are counted by due_counts() and listed for one user by never_done()."""
+    return _last_due(dimension, log, key, order).where(dates.is_due(F.col("due"), today))
+
+
+def due_counts(dimension: DataFrame, log: DataFrame, key: str, today: Column, order: list[str]) -> DataFrame:
+    """user_id, due (items done before that are due), never (items of the dimension never done): a badge is their sum."""
+    done = _last_due(dimension, log, key, order).groupBy("user_id").agg(F.count_if(dates.is_due(F.col("due"), today)).alias("due"), F.count("*").alias("_done"))
+    whole = dimension.agg(F.count_distinct(key).alias("_all"))  # one row
+    return done.crossJoin(F.broadcast(whole)).select("user_id", "due", (F.col("_all") - F.col("_done")).alias("never"))
+
+
+def never_done(dimension: DataFrame, own_log: DataFrame, key: str) -> DataFrame:
+    """Items of the dimension that one user's log lacks."""
+    return dimension.join(own_log.select(key), key, "left_anti")

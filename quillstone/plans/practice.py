@@ -128,19 +128,22 @@ def next_action(spark, sf_dir):
     return analytics.next_action(f)
 
 
-@query(A + f", dim as (select p_partkey as qid from part where p_partkey < 12), us as (select distinct user_id from a where qid < 12), l as (select * from (select user_id, qid, case when seq % 4 = 0 then null else d + 2 end as due, row_number() over (partition by user_id, qid order by ts desc, seq desc) as n from a where qid < 12) where n = 1) select us.user_id, dim.qid, cast(l.due as varchar) as due from us cross join dim left join l on l.user_id = us.user_id and l.qid = dim.qid where l.n is null or l.due is null or l.due <= date '{TODAY}'")
+DUE = "l as (select * from (select user_id, qid, case when seq % 4 = 0 then null else d + 2 end as due, row_number() over (partition by user_id, qid order by ts desc, seq desc) as n from a) where n = 1)"
+
+
+def _due_log(spark, sf_dir):
+    return attempts(spark, sf_dir).select("user_id", "qid", "ts", "seq", F.when(F.col("seq") % 4 != 0, F.date_add("d", 2)).alias("due"))
+
+
+@query(A + f", {DUE} select user_id, qid, cast(due as varchar) as due from l where (due is null or due <= date '{TODAY}') and qid in (select qid from b)")
 def due_queue(spark, sf_dir):
-    a = attempts(spark, sf_dir).where("qid < 12")
-    log = a.select("user_id", "qid", "ts", "seq", F.when(F.col("seq") % 4 != 0, F.date_add("d", 2)).alias("due"))
-    dim = bank(spark, sf_dir).where("qid < 12").select("qid")
-    return analytics.due_items(dim, log, "qid", F.lit(TODAY).cast("date"), ["ts", "seq"]).withColumn("due", F.col("due").cast("string"))
+    due = analytics.due_items(bank(spark, sf_dir), _due_log(spark, sf_dir), "qid", F.lit(TODAY).cast("date"), ["ts", "seq"])
+    return due.withColumn("due", F.col("due").cast("string"))
 
 
-@query(ORACLE_SQL["due_queue"].replace(" where p_partkey < 12", "").replace(" where qid < 12", ""))
-def due_queue_all(spark, sf_dir):
-    """due_queue over the whole bank and log."""
-    log = attempts(spark, sf_dir).select("user_id", "qid", "ts", "seq", F.when(F.col("seq") % 4 != 0, F.date_add("d", 2)).alias("due"))
-    return analytics.due_items(bank(spark, sf_dir).select("qid"), log, "qid", F.lit(TODAY).cast("date"), ["ts", "seq"]).withColumn("due", F.col("due").cast("string"))
+@query(A + f", {DUE}, k as (select * from l where qid in (select qid from b)) select user_id, count(*) filter (where due is null or due <= date '{TODAY}') as due, (select count(*) from b) - count(*) as never from k group by user_id")
+def due_badges(spark, sf_dir):
+    return analytics.due_counts(bank(spark, sf_dir), _due_log(spark, sf_dir), "qid", F.lit(TODAY).cast("date"), ["ts", "seq"])
 
 
 STATUS = "case flag when 'A' then 'correct' when 'N' then 'incorrect' else 'unanswered' end"
@@ -315,18 +318,8 @@ def bbox(spark, sf_dir):
     return b.select("label", *[micro(F.col(c)).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
-@query("with p as (select vec_id, (embedding[1]::double + 1) / 2 as x, (embedding[2]::double + 1) / 2 as y from embeddings) select a.vec_id as box_id, b.vec_id as point_id from p a join p b on sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.01 where a.vec_id % 7 = 0")
+@query('with p as (select vec_id, (embedding[1]::double + 1) / 2 as x, (embedding[2]::double + 1) / 2 as y from embeddings) select a.vec_id as box_id, b.vec_id as point_id from p a join p b on sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.01')
 def grid_candidates(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    p = e.select("vec_id", ((F.get("e", F.lit(0)) + 1) / 2).alias("x"), ((F.get("e", F.lit(1)) + 1) / 2).alias("y"))
-    boxes = p.where("vec_id % 7 = 0").select(F.col("vec_id").alias("box_id"), "x", "y", F.lit(0.01).alias("radius"))
-    points = p.select(F.col("vec_id").alias("point_id"), F.col("x").alias("px"), F.col("y").alias("py"))
-    return joins.grid_candidates(boxes, points, "radius").select("box_id", "point_id")
-
-
-@query(ORACLE_SQL["grid_candidates"].replace(" where a.vec_id % 7 = 0", ""))
-def grid_candidates_all(spark, sf_dir):
-    """grid_candidates with every vector as a box."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     p = e.select("vec_id", ((F.get("e", F.lit(0)) + 1) / 2).alias("x"), ((F.get("e", F.lit(1)) + 1) / 2).alias("y"))
     points = p.select(F.col("vec_id").alias("point_id"), F.col("x").alias("px"), F.col("y").alias("py"))
@@ -350,17 +343,8 @@ def merge_union(spark, sf_dir):
     return merge.merge_attempts(e.where("seq % 2 = 0 or seq % 3 = 0"), e.where("seq % 2 = 1 or seq % 3 = 0"), "seq").select("user_id", "qid", "seq")
 
 
-@query(A + ", s as (select user_id, qid as id, (epoch_us(ts) // 1000) as t1, seq, ok from a where seq % 2 = 0 or seq % 3 = 0), gone as (select distinct user_id, id from s where not ok and seq % 5 = 0), l as (select *, row_number() over (partition by user_id, id order by t1 desc, seq desc) as n from s where ok or seq % 5 <> 0) select l.user_id, l.id, l.seq from l anti join gone on gone.user_id = l.user_id and gone.id = l.id where n = 1")
+@query(A + ", s as (select user_id, qid as id, (epoch_us(ts) // 1000) as t1, seq, ok from a), gone as (select distinct user_id, id from s where not ok and seq % 5 = 0), l as (select *, row_number() over (partition by user_id, id order by t1 desc, seq desc) as n from s where ok or seq % 5 <> 0) select l.user_id, l.id, l.seq from l anti join gone on gone.user_id = l.user_id and gone.id = l.id where n = 1")
 def merge_tombstone(spark, sf_dir):
-    e = attempts(spark, sf_dir).where("seq % 2 = 0 or seq % 3 = 0")
-    t = _epoch_ms(F.col("ts"))
-    rows = e.select("user_id", F.col("qid").alias("id"), t.alias("t0"), t.alias("t1"), F.lit(None).cast("long").alias("dead"), (~F.col("ok") & (F.col("seq") % 5 == 0)).alias("deleted"), "seq")
-    return merge.merge_strokes(rows, ["user_id"])[0].select("user_id", "id", "seq")
-
-
-@query(ORACLE_SQL["merge_tombstone"].replace(" where seq % 2 = 0 or seq % 3 = 0", ""))
-def merge_tombstone_all(spark, sf_dir):
-    """merge_tombstone over two replicas that together hold every row."""
     a, b = _halves(spark, sf_dir)
     e, t = a.unionByName(b), F.col("mt")
     rows = e.select("user_id", F.col("qid").alias("id"), t.alias("t0"), t.alias("t1"), F.lit(None).cast("long").alias("dead"), (~F.col("ok") & (F.col("seq") % 5 == 0)).alias("deleted"), "seq")
@@ -428,22 +412,15 @@ def refund_floor(spark, sf_dir):
 
 
 @query(
-    A + ", e as (select user_id, d, (epoch_us(ts) // 1000) as ms, seq, greatest(1, least(qid % 25, 20)) as w, row_number() over (partition by user_id, d order by (epoch_us(ts) // 1000), seq) as k from a where user_id < 40),"
+    A + ", e as (select user_id, d, (epoch_us(ts) // 1000) as ms, seq, greatest(1, least(qid % 25, 20)) as w, row_number() over (partition by user_id, d order by (epoch_us(ts) // 1000), seq) as k from a),"
     " f as (with recursive r as (select user_id, d, k, seq, ms, true as allowed, 1::bigint as requests, w::bigint as used, ms as last from e where k = 1 union all select e.user_id, e.d, e.k, e.seq, e.ms, e.ms - r.last >= 4000 and r.requests < 60 and r.used + e.w <= 120, r.requests + (e.ms - r.last >= 4000 and r.requests < 60 and r.used + e.w <= 120)::int, r.used + case when e.ms - r.last >= 4000 and r.requests < 60 and r.used + e.w <= 120 then e.w else 0 end, case when e.ms - r.last >= 4000 and r.requests < 60 and r.used + e.w <= 120 then e.ms else r.last end from r join e on e.user_id = r.user_id and e.d = r.d and e.k = r.k + 1) select * from r) select user_id, seq, allowed, requests, used as weight_used from f"
 )
 def rate_limiter(spark, sf_dir):
-    a = attempts(spark, sf_dir).where("user_id < 40")
+    a = attempts(spark, sf_dir)
     r = limiter.limited(a.select("user_id", "ts", "seq", (F.col("qid") % 25).alias("weight")))
     return r.select("user_id", "seq", "allowed", F.col("requests").cast("long").alias("requests"), F.col("weight_used").cast("long").alias("weight_used"))
 
 
-@query()
-def rate_limiter_all(spark, sf_dir):
-    """rate_limiter for every user; without SQL, as its recursion is too slow for all events."""
-    r = limiter.limited(attempts(spark, sf_dir).select("user_id", "ts", "seq", (F.col("qid") % 25).alias("weight")))
-    return r.select("user_id", "seq", "allowed", F.col("requests").cast("long").alias("requests"), F.col("weight_used").cast("long").alias("weight_used"))
-
-
 @query()
 def greedy_dedupe(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select((F.col("page_id") % 5).alias("list"), F.col("page_id").alias("pos"), F.col("page_id").cast("string").alias("id"), F.col("url").alias("q"), F.lit(None).cast("string").alias("src"), F.substring_index("url", "/", 3).alias("grp"))
@@ -534,16 +511,8 @@ def never_asked(spark, sf_dir):
     return joins.without(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("qid")), attempts(spark, sf_dir).select("qid"), "qid").select(F.col("qid").alias("p_partkey"))
 
 
-@query(A + ", u as (select user_id, qid, mode from a where seq % 2 = 0 union select user_id, qid, mode from a where seq % 3 = 0) select mode, count(*) as n from u group by mode")
+@query(A + ", u as (select user_id, qid, mode from a where seq % 2 = 0 union select user_id, qid, mode from a where seq % 2 = 1) select mode, count(*) as n from u group by mode")
 def union_distinct(spark, sf_dir):
-    e = attempts(spark, sf_dir)
-    u = e.where("seq % 2 = 0").select("user_id", "qid", "mode").unionByName(e.where("seq % 3 = 0").select("user_id", "qid", "mode")).distinct()
-    return u.groupBy("mode").agg(F.count("*").alias("n"))
-
-
-@query(ORACLE_SQL["union_distinct"].replace("seq % 3 = 0", "seq % 2 = 1"))
-def union_distinct_all(spark, sf_dir):
-    """union_distinct of two replicas that together hold every row."""
     a, b = (h.select("user_id", "qid", "mode") for h in _halves(spark, sf_dir))
     return a.unionByName(b).distinct().groupBy("mode").agg(F.count("*").alias("n"))
 
@@ -564,3 +533,8 @@ def local_days(spark, sf_dir):
 def batch_levels(spark, sf_dir):
     i = graded_items(spark, sf_dir).select("run_id", (F.col("flag") == "A").alias("done"), (F.col("no") % 3 + 1).alias("level"))
     return analytics.level_counts(i, ["run_id"])
+
+
+#: Names by which the same queries were known while the plain names read a part.
+for _name in ("due_queue", "rate_limiter", "merge_tombstone", "union_distinct", "grid_candidates"):
+    QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"] = QUERIES[_name], ORACLE_SQL[_name]

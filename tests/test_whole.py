@@ -30,8 +30,16 @@ def test_rate_limiter_all(spark):
 
 
 def test_due_queue_all(spark):
-    qids = {r["qid"] for r in practice.QUERIES["due_queue_all"](spark, SF).select("qid").distinct().collect()}
-    assert qids == {r["qid"] for r in practice.bank(spark, SF).collect()}
+    """Brute force: every user and item, done or not."""
+    bank = {r["qid"] for r in practice.bank(spark, SF).collect()}
+    last = {}
+    for r in sorted(practice._due_log(spark, SF).collect(), key=lambda r: (r["ts"], r["seq"])):
+        last[r["user_id"], r["qid"]] = r["due"]
+    due = {(u, q) for (u, q), d in last.items() if q in bank and (d is None or str(d) <= practice.TODAY)}
+    assert {(r["user_id"], r["qid"]) for r in practice.QUERIES["due_queue_all"](spark, SF).collect()} == due
+    for r in practice.QUERIES["due_badges"](spark, SF).collect():
+        u = r["user_id"]
+        assert r["due"] == sum(x == u for x, _ in due) and r["never"] == sum((u, q) not in last for q in bank)
 
 
 def test_build_paper_uses_every_id(spark, tmp_path):
