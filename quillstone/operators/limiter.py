@@ -31,8 +31,8 @@ def decide(rows: list[tuple[int, int]], state: tuple[int, int, int] = (0, 0, -1)
 def limited(events: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """events (user_id, ts, seq, weight) and usage_date, allowed, reason, requests, weight_used.
 
-    A rejection leaves the state as it was, so each user's day is folded in order; a
-    day is one group, bounded by what a user can ask in a day.
+    A rejection leaves the state as it was, so each user's day is folded in order: rows
+    are dealt by user and day and sorted, and a task passes over its days batch by batch.
     """
     e = events.withColumn("usage_date", dates.local_day(F.col("ts"))).withColumn("_ms", F.unix_millis(F.col("ts").cast("timestamp")))
     if members is not None:
@@ -40,17 +40,27 @@ def limited(events: DataFrame, members: DataFrame | None = None) -> DataFrame:
     else:
         e = e.withColumn("_member", F.lit(True))
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["_ms", "seq"])
-        if not p["_member"].fillna(False).iloc[0]:
-            done = [(False, "not_allowed", 0, 0)] * len(p)
-        else:
-            done, _ = decide(list(zip(p["_ms"], p["weight"])))
-        allowed, reason, requests, used = zip(*done)
-        return pd.DataFrame({"user_id": p["user_id"], "seq": p["seq"], "usage_date": p["usage_date"], "allowed": allowed, "reason": reason, "requests": requests, "weight_used": used})
-
     kinds = dict(e.dtypes)
-    return e.groupBy("user_id", "usage_date").applyInPandas(fold, f"user_id {kinds['user_id']}, seq {kinds['seq']}, usage_date date, allowed boolean, reason string, requests int, weight_used int")
+    e = e.select("user_id", "usage_date", "_ms", "seq", "weight", F.coalesce("_member", F.lit(False)).alias("_member"))
+    e = e.repartition("user_id", "usage_date").sortWithinPartitions("user_id", "usage_date", "_ms", "seq")
+
+    def fold(batches):
+        # a partition's rows come day by day in order; what a day has used goes on from batch to batch
+        day, state = None, (0, 0, -1)
+        for p in batches:
+            out = []
+            for key, rows in p.groupby(["user_id", "usage_date"], sort=False, dropna=False):
+                if key != day:
+                    day, state = key, (0, 0, -1)
+                if rows["_member"].iloc[0]:
+                    done, state = decide(list(zip(rows["_ms"], rows["weight"])), state)
+                    out += done
+                else:
+                    out += [(False, "not_allowed", 0, 0)] * len(rows)
+            allowed, reason, requests, used = zip(*out) if out else ([], [], [], [])
+            yield pd.DataFrame({"user_id": p["user_id"], "seq": p["seq"], "usage_date": p["usage_date"], "allowed": allowed, "reason": reason, "requests": requests, "weight_used": used})
+
+    return e.mapInPandas(fold, f"user_id {kinds['user_id']}, seq {kinds['seq']}, usage_date date, allowed boolean, reason string, requests int, weight_used int")
 
 
 def with_refunds(entries: DataFrame) -> DataFrame:
