@@ -11,7 +11,10 @@ its siblings that score alike or are plain paragraphs, and all of their blocks a
 returned in page order.
 
 A null or empty page gives an empty text; a page cut off inside a tag loses that
-tag only; repeated rows are answered each; no text is capped.
+tag only, and an element never closed (a script, a button) itself only; of containers
+with equal scores the first in the page is the best; repeated rows are answered each;
+no text is capped, however long; an empty table gives no rows; a column of pages named
+main_text gives way to the result.
 """
 
 from __future__ import annotations
@@ -129,7 +132,9 @@ class Tree:
                 if end:
                     at = end.end()
                 elif not m[3].endswith("/"):
-                    at = n
+                    # never closed: what stands up to the next tag goes with it, not the rest of the page
+                    at = page.find("<", at)
+                    at = n if at < 0 else at
                 continue
             if tag == "br":
                 pieces.append(" ")
