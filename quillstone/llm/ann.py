@@ -8,16 +8,21 @@ subspaces share a table of 256, so a scan of coded vectors is one look-up and
 addition for each byte. The best `rerank` of a shard by that sum are scored again
 on the original vectors in double precision.
 
-The quantiser is fitted on a bounded sample (by the hash of the id); every row is
-coded and searched. Coded shards and blocks of queries of fixed size meet in
-groups: work and memory of a group don't grow with the input, and nothing is
-broadcast. Equal vectors are coded once and share a place in the ranking, so ties
-go to the smaller ids.
+The quantiser is fitted on a bounded sample (by the hash of the id), and so are
+CELLS coarse centres; every row is coded once, for the cell of its nearest centre.
+A query scans the coded vectors of the `probes` cells whose centres have the largest
+inner products with it (probes = CELLS: all of them). Codes and blocks of queries meet
+in groups of bounded size, cells of many rows in several; only codes (a byte for four
+components), ids and hashes travel there, and nothing is broadcast but codebooks and
+centres, whose size is fixed. Each query's `rerank` best of all its groups are then
+joined with the original vectors by id. Equal vectors of a group share a place in its
+ranking, so ties go to the smaller ids.
 
 Vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part; rows with a null id neither. A query's own id
-is no candidate of it, repeated rows of that id included. With fewer than k
-candidates all come back; an empty table gives no rows.
+is no candidate of it, repeated rows of that id included (the first of their vectors
+counts). With fewer than k candidates all come back; an empty table gives no rows;
+other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -27,12 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 K, EVERY = 20, 20
-SHARD, QUERIES = 16_384, 4_096
+SHARD, QUERIES = 131_072, 16_384
+CELLS, PROBES = 64, 52
 SAMPLE, ROUNDS = 8_192, 8
 PER_SUBSPACE, CENTRES = 2, 16
 WEIGHT = 4.0
-RERANK = 240
+RERANK = 160
 
 
 class Quantiser:
@@ -121,46 +129,49 @@ def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(model: Quantiser, q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: int, rerank: int):
-    """The k best of one shard for each query: query ids, vector ids, scores."""
-    order = np.argsort(v_id, kind="stable")
-    v_id, v = v_id[order], v[order]
-    keep = np.concatenate(([True], v_id[1:] != v_id[:-1])) if len(v_id) else np.zeros(0, bool)
-    v_id, v = v_id[keep], v[keep]
-    view = np.ascontiguousarray(v).view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel()
-    _, first, same = np.unique(view, return_index=True, return_inverse=True)
-    one = v[first]
+def centres_of(x: np.ndarray, cells: int = CELLS, rounds: int = 10, seed: int = 5) -> np.ndarray:
+    """Directions of k-means clusters on the sphere."""
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    rng = np.random.default_rng(seed)
+    c = u[rng.choice(len(u), cells, replace=len(u) < cells)]
+    for _ in range(rounds):
+        near = (u @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, u)
+        size = np.linalg.norm(sums, axis=1)
+        c = np.where(size[:, None] > 0, sums / np.maximum(size, 1e-12)[:, None], u[rng.choice(len(u), cells)])
+    return c
+
+
+def search(model: Quantiser, q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, code: np.ndarray, name: np.ndarray, k: int, rerank: int):
+    """The `rerank` best of one group by the tables, for each query: query ids, vector ids, approximate scores."""
+    order = np.lexsort((v_id, name))
+    v_id, code, name = v_id[order], code[order], name[order]
+    start = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1]))) if len(name) else np.zeros(0, np.int64)
     # ids of each distinct vector, smallest first; more than k + 1 can't be among the k nearest
-    by = np.argsort(same, kind="stable")
-    start = np.searchsorted(same[by], np.arange(len(one)))
-    size = np.minimum(np.diff(np.append(start, len(by))), k + 1)
-    coded = np.ascontiguousarray(model.bytes_of(model.encode(one)).T)
-    top = min(rerank, len(one))
+    size = np.minimum(np.diff(np.append(start, len(name))), k + 1)
+    coded = np.ascontiguousarray(code[start].T)
+    top = min(rerank, len(start))
     out = []
-    for s in range(0, len(q), 128):
-        ids, x = q_id[s : s + 128], q[s : s + 128]
+    step = max(1, min(128, (8 << 20) // max(1, len(start))))
+    for s in range(0, len(q), step):
+        ids, x = q_id[s : s + step], q[s : s + step]
         near = scan(model.tables(x), coded)
-        pick = np.argpartition(-near, top - 1, 1)[:, :top] if top < len(one) else np.broadcast_to(np.arange(len(one)), (len(x), len(one)))
+        pick = np.argpartition(-near, top - 1, 1)[:, :top] if top < len(start) else np.broadcast_to(np.arange(len(start)), (len(x), len(start)))
         row = np.repeat(np.arange(len(x)), pick.shape[1])
         vec = pick.ravel()
-        score = exact(x[row], one[vec])
-        # k + 1 distinct vectors hold the k nearest whatever is left out
-        rank = np.lexsort((vec, -score, row))
-        nth = np.arange(len(rank)) - np.repeat(np.searchsorted(row[rank], np.arange(len(x))), pick.shape[1])
-        rank = rank[nth <= k]
-        row, vec, score = row[rank], vec[rank], score[rank]
-        many = size[vec]
+        score, many = near[row, vec], size[vec]
         inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        cand = v_id[by[np.repeat(start[vec], many) + inner]]
+        cand = v_id[np.repeat(start[vec], many) + inner]
         row, score = np.repeat(row, many), np.repeat(score, many)
         other = cand != ids[row]
         row, cand, score = row[other], cand[other], score[other]
         rank = np.lexsort((cand, -score, row))
         row, cand, score = row[rank], cand[rank], score[rank]
         nth = np.arange(len(row)) - np.searchsorted(row, row)
-        good = nth < k
+        good = nth < rerank
         out.append((ids[row[good]], cand[good], score[good]))
-    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
 
 
 def usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -171,40 +182,73 @@ def usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return df.where(~bad).where(F.exists("vec", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, rerank: int = RERANK) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, rerank: int = RERANK, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id `every` divides."""
     spark = vectors.sparkSession
     good = usable(vectors, vec_id, embedding)
     sizes = {r[0]: r[1] for r in good.groupBy(F.size("vec")).count().collect()}
-    schema = "query_id long, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = max(sizes, key=lambda d: (sizes[d], d))
     good = good.where(F.size("vec") == dim)
-    rows = good.select("id", "vec").orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(sample).collect()
-    books = Quantiser(dim).fit(np.array([r[1] for r in rows])).books
-    shards = -(-sizes[dim] // SHARD)
+    rows = np.array([r[0] for r in good.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(sample).select("vec").collect()])
+    books, centres = Quantiser(dim).fit(rows).books, centres_of(rows)
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+    def coded(batches):
+        model = Quantiser(dim, books)
+        for batch in batches:
+            if len(batch):
+                x = matrix(batch.column(1))
+                code = model.bytes_of(model.encode(x))
+                cell = ((x / np.linalg.norm(x, axis=1)[:, None]) @ centres.T).argmax(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), batch.column(2)], names=["id", "cell", "code", "name"])
+
+    codes = written(good.select("id", "vec", F.xxhash64("vec").alias("name")).mapInArrow(coded, "id long, cell int, code binary, name long"), "ann-codes")
+    counts = {r[0]: r[1] for r in codes.groupBy("cell").count().collect()}  # CELLS rows at most
     queries = good.where(F.col("id") % every == 0).dropDuplicates(["id"])
     blocks = -(-max(1, queries.count()) // QUERIES)
-    # one group for each block of queries and shard of vectors; salted ids keep groups of one size
-    place = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("int")
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    v = good.select("id", "vec", place(shards, 1).alias("shard")).withColumn("block", numbers(blocks))
-    q = queries.select("id", "vec", place(blocks, 2).alias("block")).withColumn("shard", numbers(shards))
-
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        flat = t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return t.column("id").to_numpy(), flat.reshape(-1, dim)
+    # cells of many rows are dealt to several groups by the id's hash
+    parts = F.element_at(F.create_map(*[F.lit(int(x)) for c, n in counts.items() for x in (c, -(-n // SHARD))]), F.col("cell"))
+    place = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), n).cast("int")
+    v = codes.withColumn("part", place(parts, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def probed(batches):
+        for batch in batches:
+            if len(batch):
+                x = matrix(batch.column(1))
+                near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], names=["id", "vec", "cells"])
+
+    q = queries.select("id", "vec").mapInArrow(probed, "id long, vec array<float>, cells array<int>")
+    q = q.withColumn("block", place(F.lit(blocks), 2)).withColumn("cell", F.explode("cells")).drop("cells").where(F.col("cell").isin(list(counts)))
+    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         else:
-            (q_id, x), (v_id, y) = matrix(left), matrix(right)
-            out = search(Quantiser(dim, books), q_id, x, v_id, y, k, rerank)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    found = q.groupBy("block", "shard").cogroup(v.groupBy("block", "shard")).applyInArrow(join, schema)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+            code = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(right), -1)
+            out = search(Quantiser(dim, books), left.column("id").to_numpy(), matrix(left.column("vec")).astype(float), right.column("id").to_numpy(), code, right.column("name").to_numpy(), k, rerank)
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "near": pa.array(out[2], pa.float64())})
+
+    on = ["block", "cell", "part"]
+    found = q.select("id", "vec", *on).groupBy(*on).cogroup(v.select("id", "code", "name", *on).groupBy(*on)).applyInArrow(join, "query_id long, id long, near double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "id")
+    found = found.dropDuplicates(["query_id", "id"]).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= rerank).select("query_id", "id")
+    # exact scores: the candidates' vectors by id, then the queries' by theirs
+    vecs = good.groupBy("id").agg(F.min("vec").alias("vec"))
+    found = found.join(vecs, "id").join(queries.select(F.col("id").alias("query_id"), F.col("vec").alias("query")), "query_id")
+
+    def scored(batches):
+        for batch in batches:
+            score = exact(matrix(batch.column(2)), matrix(batch.column(3))) if len(batch) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    found = found.select("query_id", "id", "query", "vec").mapInArrow(scored, "query_id long, vec_id long, score double")
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
