@@ -19,8 +19,8 @@ from pyspark.sql.types import DataType, StructType
 
 U64 = np.uint64
 CHUNK_BYTES = 2 << 20
-#: Seconds between a write and the collection that lets its shuffle files go.
-SETTLE = 0.5
+#: Collections after a write, and seconds before each: one alone finds its shuffle files still held.
+COLLECTIONS, SETTLE = 3, 0.3
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 MIX_1, MIX_2 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 
@@ -66,9 +66,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
-    time.sleep(SETTLE)  # until its end is known everywhere, a job's shuffles are held
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(COLLECTIONS):
+        time.sleep(SETTLE)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return out
 
 
