@@ -10,11 +10,13 @@ backward search at once, located through the samples, and merged into spans.
 Words that no phrase has can't be part of an occurrence, so the index keeps one
 separator for a run of them, and no run of known words shorter than the shortest
 phrase. There is no shuffle. The benchmark is read in blocks of at most
-`block_words` words, each the size of one broadcast; a larger benchmark takes
-one pass for each block.
+`block_words` words (and an item), each the size of one broadcast, one at a time; a
+larger benchmark takes one pass for each block, written before the next begins.
 
-Null or empty texts have no words and no hits; repeated rows are answered each;
-null items are ignored; an empty benchmark hits nothing.
+Null or empty texts have no words and no hits; a very long text is a shard of its
+own; repeated rows are answered each; null items are ignored; an empty benchmark hits
+nothing; an empty table of documents gives no rows. Columns of docs named n_words,
+hit_spans or hit_items give way to the results.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCT, U64, Powers, Words, annotated, byte_table, chunks, groups
+from .common import PUNCT, U64, Powers, Words, annotated, byte_table, chunks, discard, groups, written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -278,11 +280,18 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10, block_words: int = 2_000_000) -> DataFrame:
     """docs and n_words, hit_spans (in words, end exclusive), hit_items (sorted ids of items with occurring phrases)."""
     context = docs.sparkSession.sparkContext
-    out, first = docs, True
+    out, shared, kept = docs, None, None
     for phrases in _blocks(benchmark, item_id, item_text, n, block_words):
-        out = _pass(out, text, context.broadcast(vars(phrases)), first)
-        first = False
-    return _pass(out, text, context.broadcast(vars(Phrases([], n))), True) if first else out
+        if shared:
+            # one block's phrases are held at a time: what they found is written before the next are sent
+            done = written(out, "leaks")
+            shared.unpersist()
+            if kept:
+                discard(kept)
+            out = kept = done
+        first, shared = shared is None, context.broadcast(vars(phrases))
+        out = _pass(out, text, shared, first)
+    return out if shared else _pass(out, text, context.broadcast(vars(Phrases([], n))), True)
 
 
 def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -13,8 +13,9 @@ within a block. A source's j-th slot takes block P(j mod blocks) of epoch
 j div blocks, P a pseudorandom permutation of the source and epoch; slots and
 blocks are joined by that index. No block is taken more than `most` times.
 
-Prefix sums run within (source, md5 prefix) and then over the prefixes' totals, so
-a source with a third of all rows is no single task. Null texts have 0 words and
+Prefix sums run within (source, md5 prefix), or within ranges of shards, and then over
+their totals, so neither a source with a third of all rows nor the shards of the whole
+output are a single task. Null texts have 0 words and
 nothing taken; repeated rows are streamed each; an empty table gives no rows.
 """
 
@@ -32,6 +33,8 @@ FACTOR, MOST = 1.5, 2
 SEED = 17
 CELLS = 4096
 ROWS_PER_PREFIX = 2_000
+#: Slots drawn by a task, shards of a range of prefix sums, and numbers that are spread at once.
+DRAWS, RANGE, RUN = 500_000, 4_096, 65_536
 WORD = r"[^\x20\x09-\x0D]+"
 #: Primes above 2**20: below 2**40 blocks, no number has both as factors.
 PRIMES = (1_048_583, 2_097_169)
@@ -92,31 +95,48 @@ def permuted(df: DataFrame, x: Column, n: Column, key: Column) -> DataFrame:
     return df.drop("_size", "_key", "_part", "_by", "_by_part")
 
 
+def _before(counts: DataFrame, by: list[str], at: str, n: str, name: str) -> DataFrame:
+    """counts and `name`, the sum of n in rows of the same `by` (none: all) with a smaller `at`: within ranges of RANGE values, and then over the ranges' totals."""
+    d = counts.withColumn("_range", F.floor(F.col(at) / RANGE))
+    inside = Window.partitionBy(*by, "_range").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_inside", F.coalesce(F.sum(n).over(inside), F.lit(0)))
+    totals = counts.groupBy(*by, F.floor(F.col(at) / RANGE).alias("_range")).agg(F.sum(n).alias("_sum"))
+    # a row for every RANGE shards of SLOTS slots of BLOCK words: 2**31 words
+    over = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_under", F.coalesce(F.sum("_sum").over(over), F.lit(0))).drop("_sum")
+    return d.join(totals, [*by, "_range"]).withColumn(name, F.col("_under") + F.col("_inside")).drop("_range", "_inside", "_under")
+
+
+def _numbered(df: DataFrame, first: str, n: str, name: str) -> DataFrame:
+    """A row for each number from `first` on, n of them: in runs of RUN numbers that are dealt out before they are spread."""
+    runs = df.where(F.col(n) > 0).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / RUN))))
+    runs = runs.withColumn("_from", F.col(first) + F.col("_run") * RUN).withColumn("_to", F.least(F.col("_from") + RUN, F.col(first) + F.col(n)) - 1)
+    return runs.repartition(F.col("_from"), F.col("_run")).withColumn(name, F.explode(F.sequence("_from", "_to"))).drop("_run", "_from", "_to")
+
+
 def slots(table: DataFrame) -> DataFrame:
     """out_shard, rank, block, epoch: a row for each slot of the output."""
     spark = table.sparkSession
     total = table.agg(F.sum("quota")).first()[0] or 0
     mine = table.where("quota > 0").select("rank", "quota", "blocks")
-    upto = F.sum("quota").over(Window.orderBy("rank"))
+    upto = F.sum("quota").over(Window.orderBy("rank"))  # a row for each source
     bounds = mine.withColumn("_hi", upto / F.lit(float(max(total, 1)))).withColumn("_lo", (upto - F.col("quota")) / F.lit(float(max(total, 1))))
     bounds = bounds.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") * CELLS), F.least(F.floor(F.col("_hi") * CELLS), F.lit(CELLS - 1)))))
     hashed = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "id"), 11) / F.lit(float(2**53))
-    drawn = spark.range(0, total, 1, max(1, min(200, -(-total // 500_000)))).select(F.floor(F.col("id") / SLOTS).alias("out_shard"), hashed.alias("_u"))
+    drawn = spark.range(0, total, 1, max(1, -(-total // DRAWS))).select(F.floor(F.col("id") / SLOTS).alias("out_shard"), hashed.alias("_u"))
     drawn = drawn.withColumn("_cell", F.floor(F.col("_u") * CELLS)).join(bounds, "_cell").where("_u >= _lo and _u < _hi")
     counts = cut(drawn.groupBy("out_shard", "rank").agg(F.count("*").alias("_n")))
-    over = Window.partitionBy("rank").orderBy("out_shard")
-    counts = counts.withColumn("_base", F.sum("_n").over(over) - F.col("_n")).join(mine, "rank")
+    counts = _before(counts, ["rank"], "out_shard", "_n", "_base").join(mine, "rank")
     kept = counts.withColumn("_n_kept", F.greatest(F.lit(0), F.least(F.col("_n"), F.col("quota") - F.col("_base"))))
     some = F.col("_n_kept") > 0
     taken = kept.where(some).withColumn("_j", F.explode(F.sequence(F.col("_base"), F.col("_base") + F.col("_n_kept") - 1))).select("out_shard", "rank", "blocks", "_j")
     # draws beyond a quota, numbered over the shards, meet the missing slots of the other sources, numbered over the sources
     over_quota = kept.groupBy("out_shard").agg(F.sum(F.col("_n") - F.col("_n_kept")).alias("_e")).where("_e > 0")
-    over_quota = over_quota.withColumn("_to", F.sum("_e").over(Window.orderBy("out_shard")))
-    over_quota = over_quota.select("out_shard", F.explode(F.sequence(F.col("_to") - F.col("_e"), F.col("_to") - 1)).alias("_k"))
+    over_quota = _numbered(_before(over_quota, [], "out_shard", "_e", "_first"), "_first", "_e", "_k").select("out_shard", "_k")
     short = mine.join(counts.groupBy("rank").agg(F.sum("_n").alias("_drawn")), "rank", "left").withColumn("_drawn", F.coalesce("_drawn", F.lit(0)))
-    short = short.withColumn("_e", F.col("quota") - F.col("_drawn")).where("_e > 0").withColumn("_to", F.sum("_e").over(Window.orderBy("rank")))
-    short = short.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_e") - 1)))
-    short = short.select("rank", "blocks", (F.col("_drawn") + F.col("_i")).alias("_j"), (F.col("_to") - F.col("_e") + F.col("_i")).alias("_k"))
+    short = short.withColumn("_e", F.col("quota") - F.col("_drawn")).where("_e > 0")
+    short = short.withColumn("_first", F.sum("_e").over(Window.orderBy("rank")) - F.col("_e"))  # a row for each source
+    short = _numbered(short, "_first", "_e", "_k").select("rank", "blocks", (F.col("_drawn") + F.col("_k") - F.col("_first")).alias("_j"), "_k")
     filled = short.join(over_quota, "_k", "left").select(F.coalesce("out_shard", F.lit(0)).alias("out_shard"), "rank", "blocks", "_j")
     out = taken.unionByName(filled).withColumn("epoch", F.floor(F.col("_j") / F.col("blocks")))
     out = permuted(out, F.col("_j") % F.col("blocks"), F.col("blocks"), F.col("rank") * MOST + F.col("epoch"))
