@@ -4,15 +4,17 @@ Base kinds, leftmost non-overlapping for each: assign, access, hex (see BASE).
 Further spans of kind `format` come from the automata. Prefix trees of labelled
 credentials, one for each format, are folded into probabilistic automata by
 merging states whose futures are statistically compatible (a Hoeffding bound on
-the frequencies of ending and of each next symbol, recursively). One more
-automaton is inferred from labelled harmless tokens. Every candidate (a run of
-`[A-Za-z0-9+/_=-]`, 20 characters or more) is scored: the best log-likelihood a
-character under a credential format less that under the harmless one. Candidates
+the frequencies of ending and of each next symbol, recursively). Symbols are the
+characters themselves, so a format's fixed prefix becomes states of its own. More
+automata are inferred from kinds of labelled harmless tokens. Every candidate (a run
+of `[A-Za-z0-9+/_=-]`, 20 characters or more) is scored: the best log-likelihood a
+character under a credential format less the best under a harmless kind. Candidates
 at or above the threshold that no base span overlaps are added.
 
 The labelled tokens are made by rule from publicly documented credential formats
 (a fixed seed, `labelled()`); another labelled set is a parameter. Null or empty
-texts have no spans; repeated rows are answered each; no text is cut.
+texts have no spans; repeated rows are answered each; no text is cut, however long; an
+empty table gives no rows; a column of docs named secret_spans gives way to the result.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ KEYWORDS = [b"password", b"passwd", b"secret", b"token", b"api"]
 
 LEAST_CANDIDATE = 20
 ALPHA = 0.05
-THRESHOLD = 1.5
+THRESHOLD = 0.3
 
 HEX = np.zeros(256, bool)
 HEX[48:58] = HEX[97:103] = True
@@ -47,13 +49,11 @@ TOKEN = np.zeros(256, bool)
 TOKEN[48:58] = TOKEN[65:91] = TOKEN[97:123] = True
 TOKEN[[43, 47, 95, 61, 45]] = True
 
-#: Symbols of the automata: letters that begin known prefixes matter only through their class and place.
-CLASSES = [string.digits, "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", "=", "-"]
-SYMBOL = np.full(256, len(CLASSES), np.int64)
-for _k, _chars in enumerate(CLASSES):
-    SYMBOL[[ord(c) for c in _chars]] = _k
-N_SYMBOLS = len(CLASSES) + 1
-WIDTH = np.log([*[len(c) for c in CLASSES], 256 - sum(map(len, CLASSES))])
+#: Symbols of the automata: each character of a token by itself, so that a format's prefix can be learned; one for all others.
+CHARACTERS = string.digits + string.ascii_letters + "+/_=-"
+SYMBOL = np.full(256, len(CHARACTERS), np.int64)
+SYMBOL[[ord(c) for c in CHARACTERS]] = np.arange(len(CHARACTERS))
+N_SYMBOLS = len(CHARACTERS) + 1
 
 
 def labelled(each: int = 300, seed: int = 11) -> list[tuple[str, str]]:
@@ -70,14 +70,16 @@ def labelled(each: int = 300, seed: int = 11) -> list[tuple[str, str]]:
             ("live", rng.choice(["sk_live_", "rk_live_", "pk_live_"]) + pick(alnum, 24)),
             ("base64", pick(base64, rng.choice([40, 43, 44]))),
             ("signed", "eyJ" + pick(alnum + "_-", rng.randint(30, 60))),
-            ("harmless", "".join(pick(lower, rng.randint(2, 9)) + rng.choice(["-", "_", "/", ""]) for _ in range(rng.randint(3, 6)))),
-            ("harmless", pick(lower, rng.randint(20, 60))),
-            ("harmless", pick(lower, 1).upper() + pick(lower, rng.randint(19, 40))),
-            ("harmless", "".join(pick(lower, rng.randint(3, 8)).capitalize() for _ in range(rng.randint(3, 6)))),
-            ("harmless", pick(string.ascii_uppercase, rng.randint(20, 40))),
-            ("harmless", pick(string.digits, rng.randint(20, 30))),
-            ("harmless", f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}/" + pick(lower, rng.randint(8, 20))),
-            ("harmless", rng.choice("-=_") * rng.randint(20, 70)),
+            ("harmless words", "".join(pick(lower, rng.randint(2, 9)) + rng.choice(["-", "_", "/", ""]) for _ in range(rng.randint(3, 6)))),
+            ("harmless words", "".join(pick(lower, rng.randint(2, 9)) + rng.choice("-_/") for _ in range(rng.randint(3, 5))) + pick(string.digits, rng.randint(1, 5))),
+            ("harmless letters", pick(lower, rng.randint(20, 60))),
+            ("harmless letters", pick(lower, 1).upper() + pick(lower, rng.randint(19, 40))),
+            ("harmless names", "".join(pick(lower, rng.randint(3, 8)).capitalize() for _ in range(rng.randint(3, 6)))),
+            ("harmless capitals", pick(string.ascii_uppercase, rng.randint(20, 40))),
+            ("harmless capitals", "_".join(pick(string.ascii_uppercase, rng.randint(2, 9)) for _ in range(rng.randint(3, 6)))),
+            ("harmless digits", pick(string.digits, rng.randint(20, 30))),
+            ("harmless dates", f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}/" + pick(lower, rng.randint(8, 20))),
+            ("harmless rules", rng.choice("-=_") * rng.randint(20, 70)),
         ]
     return out
 
@@ -95,7 +97,7 @@ class Automaton:
         red = [0]
         while edge := next(((p, s) for p in red for s in sorted(self.child[p]) if self.child[p][s] not in red), None):
             q = self.child[edge[0]][edge[1]]
-            for r in red:
+            for r in reversed(red):  # the newest first: a rare state goes with its neighbourhood, not with the start
                 if self._compatible(r, q):
                     self.child[edge[0]][edge[1]] = r
                     self._fold(r, q)
@@ -104,15 +106,15 @@ class Automaton:
                 red.append(q)
         number = {q: k for k, q in enumerate(red)}
         self.states = n = len(red)
+        # a symbol that a state has never seen leads to a state where all are alike and dear
         self.next = np.full((n + 1, N_SYMBOLS), n, np.int64)
-        self.cost = np.full((n + 1, N_SYMBOLS), -math.log(N_SYMBOLS) - 3.0)
+        self.cost = np.full((n + 1, N_SYMBOLS), -math.log(N_SYMBOLS) - 1.0)
         for q in red:
             whole = self.total[q] + 0.05 * N_SYMBOLS
             for s in range(N_SYMBOLS):
                 self.cost[number[q], s] = math.log((self.flow[q].get(s, 0) + 0.05) / whole)
                 if s in self.child[q]:
                     self.next[number[q], s] = number[self.child[q][s]]
-        self.cost -= WIDTH[None, :]
 
     def _add(self, symbols: list[int]) -> None:
         at = 0
@@ -174,18 +176,19 @@ class Automaton:
         return total / np.maximum(length, 1)
 
 
-def train(tokens: list[tuple[str, str]] | None = None, alpha: float = ALPHA) -> tuple[list[Automaton], Automaton]:
-    """Automata of the credential formats, and that of harmless tokens."""
+def train(tokens: list[tuple[str, str]] | None = None, alpha: float = ALPHA) -> tuple[list[Automaton], list[Automaton]]:
+    """Automata of the credential formats, and those of the kinds of harmless tokens (labels that begin with `harmless`)."""
     by: dict[str, list[str]] = {}
     for label, token in tokens or labelled():
         by.setdefault(label, []).append(token)
-    return [Automaton(v, alpha) for k, v in sorted(by.items()) if k != "harmless"], Automaton(by["harmless"], alpha)
+    made = [(k.startswith("harmless"), Automaton(v, alpha)) for k, v in sorted(by.items())]
+    return [a for harmless, a in made if not harmless], [a for harmless, a in made if harmless]
 
 
 def likelihood(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, model) -> np.ndarray:
     """Best format less harmless, a character."""
-    formats, harmless = model
-    return np.max([a.score(symbols, start, length) for a in formats], axis=0) - harmless.score(symbols, start, length)
+    best = lambda automata: np.max([a.score(symbols, start, length) for a in automata], axis=0)
+    return best(model[0]) - best(model[1])
 
 
 def runs(inside: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
