@@ -38,7 +38,10 @@ def micro(c):
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
+    return attempts_of(read(spark, sf_dir, "events"))
+
+
+def attempts_of(e: DataFrame) -> DataFrame:
     return e.select("user_id", F.col("event_id").alias("seq"), "ts", (F.col("event_type") != "error").alias("ok"), F.floor(F.col("value") * 1000).alias("ms"), F.get_json_object("props", "$.k").cast("long").alias("qid"), dates.local_day(F.col("ts")).alias("d"), F.col("event_type").alias("mode"))
 
 

@@ -9,49 +9,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming import journal
-from .practice import A, attempts
+from .practice import A, attempts_of
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/quillstone-streams-{os.getpid()}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one; a session without one is taken for a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(base or f'/tmp/quillstone-streams-{os.getpid()}').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _stream(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """The table as a stream of files in the shared folder."""
-    path = _scratch(spark, "events")
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table as a stream of its files. A pattern names it, as a stream's path may not be one file."""
+    path = f"{sf_dir}/{table}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/[{table[0]}]{table[1:]}.parquet")
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    # the stored time has no zone; it is taken as UTC whatever the session's zone
-    return e.select("event_id", F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()).alias("ts"), "user_id", "event_type", "value")
+def _run(spark: SparkSession, stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
+    return journal.run_available(stream, _scratch(spark, "stream"), mode, _scratch(spark, "checkpoint"), key)
 
 
-def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    return journal.run_available(stream, "t" + uuid.uuid4().hex, mode, _scratch(spark, "checkpoint"))
+def _utc(ts: str):
+    # the stored time has no zone; it is taken as UTC whatever the session's zone
+    return F.to_utc_timestamp(F.col(ts).cast("timestamp"), F.current_timezone())
 
 
 def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _stream(spark, _events(spark, sf_dir)).select(F.from_utc_timestamp("ts", F.current_timezone()).alias("ts"), "event_type", "value")
+    s = _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     return _run(spark, journal.daily(s, ["event_type"]).select(F.col("d").cast("string").alias("d"), "event_type", "n"), "complete")
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _stream(spark, _events(spark, sf_dir)).select("user_id", "event_type", "ts")
+    s = _stream(spark, sf_dir, "events")
     return _run(spark, journal.first_seen(s.select("user_id", "event_type"), ["user_id", "event_type"]), "append")
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _stream(spark, _events(spark, sf_dir)).select("user_id", "ts")
+    s = _stream(spark, sf_dir, "events").select("user_id", _utc("ts").alias("ts"))
     return _run(spark, journal.sessions(s, ["user_id"], "6 hours", "365 days"), "complete").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
 
 
 def stream_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = attempts(spark, sf_dir).select(F.col("user_id").cast("string").alias("qid"), F.col("qid").cast("string").alias("id"), F.col("ms").alias("t1"), "seq", (~F.col("ok") & (F.col("seq") % 5 == 0)).alias("deleted"))
-    return _run(spark, journal.latest_strokes(_stream(spark, e)), "update").where("not deleted").select("qid", "id", "t1", "seq")
+    e = attempts_of(_stream(spark, sf_dir, "events")).select(F.col("user_id").cast("string").alias("qid"), F.col("qid").cast("string").alias("id"), F.col("ms").alias("t1"), "seq", (~F.col("ok") & (F.col("seq") % 5 == 0)).alias("deleted"))
+    return _run(spark, journal.latest_strokes(e), "update", ["qid", "id"]).where("not deleted").select("qid", "id", "t1", "seq")
 
 
 QUERIES = {f.__name__: f for f in (stream_daily, stream_dedup, stream_sessions, stream_strokes)}

@@ -98,10 +98,11 @@ def segments_stateful(stream: DataFrame, gap_ms: int) -> DataFrame:
 
 
 def upsert_sink(path: str, key: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that is safe to repeat: a batch's folder is overwritten by its number; latest_of() reads the union's last rows."""
+    """A foreachBatch sink that is safe to repeat: the last row of each key of a batch, in a folder that its number names; latest_of() reads the last rows of all."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last = batch.groupBy(*key).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in key]), order).alias("_r")).select(*key, "_r.*")
+        last.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
@@ -140,8 +141,26 @@ def recovered(a: DataFrame, b: DataFrame) -> DataFrame:
     return d.where("status not in ('closed', 'completed', 'discarded')").withColumn("left_ms", F.greatest(F.lit(0), F.col("base_ms") - (F.col("beat") - F.col("resumed"))))
 
 
-def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what there is into a table in memory (tests and bounded jobs) and returns it."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, path: str, mode: str, checkpoint: str, key: list[str] | None = None) -> DataFrame:
+    """Runs a stream over what there is, into files of the shared folder, and returns them as a table.
+
+    A batch's folder is named by its number, so a repeated batch replaces itself. A
+    complete output replaces the one before; of an updated one the last row of each
+    key counts.
+    """
+    spark, done = stream.sparkSession, []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/whole" if mode == "complete" else f"{path}/batch={number}")
+        done.append(number)
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{path}/whole")
+    rows = spark.read.parquet(path)
+    if mode == "update":
+        rows = rows.groupBy(*key).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in key]), "batch").alias("_r")).select(*key, "_r.*")
+    return rows.select(*stream.columns)

@@ -9,14 +9,14 @@ def stream(spark, tmp_path, df):
     return spark.readStream.schema(df.schema).parquet(path)
 
 
-def run(spark, tmp_path, s, mode):
-    return journal.run_available(s, "t" + uuid.uuid4().hex, mode, str(tmp_path / uuid.uuid4().hex))
+def run(spark, tmp_path, s, mode, key=None):
+    return journal.run_available(s, str(tmp_path / uuid.uuid4().hex), mode, str(tmp_path / uuid.uuid4().hex), key)
 
 
 def test_strokes(spark, tmp_path):
     rows = [("p", "a", 5, 1, False), ("p", "a", 3, 2, False), ("p", "b", 1, 3, False), ("p", "b", -1, 4, True), ("p", "b", 9, 5, False)]
     s = stream(spark, tmp_path, spark.createDataFrame(rows, "qid string, id string, t1 long, seq long, deleted boolean"))
-    got = {r["id"]: (r["t1"], r["seq"], r["deleted"]) for r in run(spark, tmp_path, journal.latest_strokes(s), "update").collect()}
+    got = {r["id"]: (r["t1"], r["seq"], r["deleted"]) for r in run(spark, tmp_path, journal.latest_strokes(s), "update", ["qid", "id"]).collect()}
     assert got == {"a": (5, 1, False), "b": (9, 5, True)}
 
 
