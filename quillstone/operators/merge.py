@@ -7,6 +7,8 @@ however many replicas' rows meet. MERGE INTO isn't needed.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -270,22 +272,27 @@ def migrate_packs(rows: DataFrame) -> DataFrame:
 
 
 def commit_state(spark, path: str, user: str, change, tries: int = 5) -> int:
-    """Optimistic commit of a user's state in a folder of versions: reads the last revision, applies change(text), writes the next one under a name that must not exist; on a clash reads and merges again."""
-    jvm = spark.sparkContext._jvm
+    """Optimistic commit of a user's state in a folder of versions: reads the last revision, applies change(text), writes a file of its own and renames it to the next one's name, which must not exist; on a clash reads and merges again. A writer lost in between leaves no revision."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
     folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{user}")
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs = folder.getFileSystem(conf)
     fs.mkdirs(folder)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
     for _ in range(tries):
         names = [s.getPath().getName() for s in fs.listStatus(folder)]
         revision = max([int(n) for n in names if n.isdigit()], default=0)
         old = spark.read.text(f"{path}/{user}/{revision}", wholetext=True).first()[0] if revision else None
         new = change(old)
+        own = jvm.org.apache.hadoop.fs.Path(folder, f"_writing-{uuid.uuid4().hex}")
+        out = fs.create(own, False)
+        out.write(bytearray(new.encode()))
+        out.close()
         try:
-            out = fs.create(jvm.org.apache.hadoop.fs.Path(folder, str(revision + 1)), False)
+            files.rename(fs.makeQualified(own), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(folder, str(revision + 1))), gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
         except Exception:  # another writer has taken this revision
+            fs.delete(own, False)
             continue
-        out.write(bytearray(new.encode()))
-        out.close()
         return revision + 1
     raise RuntimeError("the state changed at every try")
 

@@ -51,10 +51,23 @@ def group_key() -> Column:
 def deduped(lists: DataFrame, by: list[str], n: int, pos: str = "pos") -> DataFrame:
     """The first n of each list, at most one for a group and one for a skeleton of 12 characters or more; then filled up in order.
 
-    Which of a row's keys count depends on whether the row was taken, so each list
-    is folded in order. Lists are short (a round's pool), one array a key.
+    Which of a row's keys count depends on whether the row was taken, so a list's
+    candidates are folded in order. Before that all rows that can't be taken are left
+    out: repeats of a (group, skeleton), as what bars the first bars them too; rows
+    after the first n of a group or of a skeleton, as fewer than n others are barred by
+    the other key; and of what is left those after the first n (2 n - 1), as each row
+    taken bars at most 2 n - 2. So no list, however long, is one array.
     """
-    item = F.struct(F.col(pos).alias("pos"), group_key().alias("k"), text.skeleton(F.col("q")).alias("s"))
+    d = lists.withColumns({"_k": group_key(), "_s": text.skeleton(F.col("q"))}).select(*by, F.col(pos).cast("long").alias("_pos"), "_k", "_s")
+    long = F.when(F.length("_s") >= 12, F.col("_s"))
+    nth = lambda d, *key: d.withColumn("_n", F.row_number().over(Window.partitionBy(*by, *key).orderBy("_pos")))
+    could = nth(d, "_k", F.coalesce(long, F.col("_pos").cast("string"))).where("_n = 1")
+    could = nth(could, "_k").where(F.col("_n") <= n)
+    could = nth(could, F.coalesce(long, F.concat(F.lit("#"), F.col("_pos").cast("string")))).where(F.col("_n") <= n)
+    could = nth(could).where(F.col("_n") <= n * (2 * n - 1)).withColumn("_fill", F.lit(False))
+    # what fills up a list is among its first 2 n rows
+    first = nth(d).where(F.col("_n") <= 2 * n).withColumn("_fill", F.lit(True))
+    item = F.struct(F.col("_pos").alias("pos"), F.col("_k").alias("k"), F.col("_s").alias("s"))
     none = F.array().cast("array<string>")
     start = F.struct(none.alias("k"), none.alias("s"), F.array().cast("array<long>").alias("taken"))
 
@@ -63,9 +76,9 @@ def deduped(lists: DataFrame, by: list[str], n: int, pos: str = "pos") -> DataFr
         more = F.struct(F.array_append(a["k"], x["k"]).alias("k"), F.array_append(a["s"], x["s"]).alias("s"), F.array_append(a["taken"], x["pos"].cast("long")).alias("taken"))
         return F.when(seen, a).otherwise(more)
 
-    g = lists.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    g = could.unionByName(first).groupBy(*by).agg(F.array_sort(F.collect_list(F.when(~F.col("_fill"), item))).alias("_items"), F.array_sort(F.collect_list(F.when(F.col("_fill"), F.col("_pos")))).alias("_first"))
     g = g.withColumn("_taken", F.aggregate("_items", start, step)["taken"])
-    rest = F.filter(F.transform("_items", lambda x: x["pos"].cast("long")), lambda p: ~F.array_contains(F.col("_taken"), p))
+    rest = F.array_except("_first", "_taken")
     return g.select(*by, F.posexplode(F.slice(F.concat("_taken", rest), 1, n)).alias("rank", pos))
 
 

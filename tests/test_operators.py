@@ -1,5 +1,7 @@
 import datetime
 
+import re
+
 from pyspark.sql import functions as F
 
 from quillstone.operators import analytics, exams, joins, limiter, merge, quality, select, windows
@@ -165,3 +167,23 @@ def test_joins(spark):
     ev = spark.createDataFrame([("k", 10_000)], "k string, at long")
     logs = spark.createDataFrame([("k", 8_500, 1), ("k", 11_500, 2), ("k", 20_000, 3)], "k string, t long, i int")
     assert [r["i"] for r in joins.nearest_within(ev, logs, ["k"], "at", "t", 2000, "i").collect()] == [1]
+
+
+def test_deduped_matches_a_plain_fold(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(l, p, f"i{p}", f"question about {'abcdefgh'[rng.randrange(8)]} number x{rng.randrange(3)}" if rng.random() < 0.8 else "short", None, f"g{rng.randrange(6)}" if rng.random() < 0.7 else "") for l in range(8) for p in rng.sample(range(500), 90)]
+    got = {}
+    for r in select.deduped(spark.createDataFrame(rows, "list int, pos long, id string, q string, src string, grp string"), ["list"], 7).orderBy("list", "rank").collect():
+        got.setdefault(r["list"], []).append(r["pos"])
+    for l in range(8):
+        mine = sorted(r for r in rows if r[0] == l)
+        taken, keys, forms = [], set(), set()
+        for _, p, i, q, _, g in mine:
+            k, s = g or i, re.sub(r"\s+", "", re.sub("[0-9]+", "#", q)).lower()
+            if len(taken) < 7 and k not in keys and not (len(s) >= 12 and s in forms):
+                taken.append(p)
+                keys.add(k)
+                forms.add(s)
+        assert got[l] == (taken + [p for _, p, *_ in mine if p not in taken])[:7]
