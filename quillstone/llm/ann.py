@@ -40,7 +40,8 @@ CELLS, PROBES = 64, 52
 SAMPLE, ROUNDS = 8_192, 8
 PER_SUBSPACE, CENTRES = 2, 16
 WEIGHT = 4.0
-RERANK = 160
+#: Candidates of a query that are scored on vectors; a group of its NEAREST cells may give as many, one of the others GROUP.
+RERANK, NEAREST, GROUP = 240, 4, 40
 
 
 class Quantiser:
@@ -143,15 +144,15 @@ def centres_of(x: np.ndarray, cells: int = CELLS, rounds: int = 10, seed: int =
     return c
 
 
-def search(model: Quantiser, q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, code: np.ndarray, name: np.ndarray, k: int, rerank: int):
-    """The `rerank` best of one group by the tables, for each query: query ids, vector ids, approximate scores."""
+def search(model: Quantiser, q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, code: np.ndarray, name: np.ndarray, k: int, most: np.ndarray):
+    """The best of one group by the tables, as many as `most` allows each query: query ids, vector ids, approximate scores."""
     order = np.lexsort((v_id, name))
     v_id, code, name = v_id[order], code[order], name[order]
     start = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1]))) if len(name) else np.zeros(0, np.int64)
     # ids of each distinct vector, smallest first; more than k + 1 can't be among the k nearest
     size = np.minimum(np.diff(np.append(start, len(name))), k + 1)
     coded = np.ascontiguousarray(code[start].T)
-    top = min(rerank, len(start))
+    top = min(int(most.max()), len(start))
     out = []
     step = max(1, min(128, (8 << 20) // max(1, len(start))))
     for s in range(0, len(q), step):
@@ -169,7 +170,7 @@ def search(model: Quantiser, q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray,
         rank = np.lexsort((cand, -score, row))
         row, cand, score = row[rank], cand[rank], score[rank]
         nth = np.arange(len(row)) - np.searchsorted(row, row)
-        good = nth < rerank
+        good = nth < most[s : s + step][row]
         out.append((ids[row[good]], cand[good], score[good]))
     return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
 
@@ -224,7 +225,7 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "v
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], names=["id", "vec", "cells"])
 
     q = queries.select("id", "vec").mapInArrow(probed, "id long, vec array<float>, cells array<int>")
-    q = q.withColumn("block", place(F.lit(blocks), 2)).withColumn("cell", F.explode("cells")).drop("cells").where(F.col("cell").isin(list(counts)))
+    q = q.withColumn("block", place(F.lit(blocks), 2)).select("id", "vec", "block", F.posexplode("cells").alias("nth", "cell")).where(F.col("cell").isin(list(counts)))
     q = q.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -232,13 +233,13 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "v
             out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         else:
             code = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(right), -1)
-            out = search(Quantiser(dim, books), left.column("id").to_numpy(), matrix(left.column("vec")).astype(float), right.column("id").to_numpy(), code, right.column("name").to_numpy(), k, rerank)
+            out = search(Quantiser(dim, books), left.column("id").to_numpy(), matrix(left.column("vec")).astype(float), right.column("id").to_numpy(), code, right.column("name").to_numpy(), k, np.where(left.column("nth").to_numpy() < NEAREST, rerank, max(2 * k, GROUP)))
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "near": pa.array(out[2], pa.float64())})
 
     on = ["block", "cell", "part"]
-    found = q.select("id", "vec", *on).groupBy(*on).cogroup(v.select("id", "code", "name", *on).groupBy(*on)).applyInArrow(join, "query_id long, id long, near double")
+    found = q.select("id", "vec", "nth", *on).groupBy(*on).cogroup(v.select("id", "code", "name", *on).groupBy(*on)).applyInArrow(join, "query_id long, id long, near double")
     best = Window.partitionBy("query_id").orderBy(F.desc("near"), "id")
-    found = found.dropDuplicates(["query_id", "id"]).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= rerank).select("query_id", "id")
+    found = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= rerank).select("query_id", "id").dropDuplicates()
     # exact scores: the candidates' vectors by id, then the queries' by theirs
     vecs = good.groupBy("id").agg(F.min("vec").alias("vec"))
     found = found.join(vecs, "id").join(queries.select(F.col("id").alias("query_id"), F.col("vec").alias("query")), "query_id")
