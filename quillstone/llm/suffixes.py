@@ -290,12 +290,15 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
     wanted = wanted.select("doc_id", "th", "text", "marks")
     rows = wanted.mapInArrow(gathered, "bucket int, minimizer long, left int, name binary, piece binary, doc_id long, th long, start long")
-    spans = rows.groupBy("bucket").applyInArrow(_spans, SPAN)
+    spans, each = rows.groupBy("bucket").applyInArrow(_spans, SPAN), None
     if sums[1]:
         each = written(wanted.where(F.exists("marks", lambda x: x["hot"])).mapInArrow(windows, "doc_id long, th long, start long, a long, b long"), "suffix-windows")
         twice = each.groupBy("a", "b").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
         spans = spans.unionByName(each.join(twice, ["a", "b"]).select("doc_id", "th", "start", (F.col("start") + LENGTH).alias("end")))
     spans = written(spans, "suffix-spans")
+    discard(marked)
+    if each is not None:
+        discard(each)
     removed = spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
     return docs.join(removed, ["doc_id", "th"], "left")
 
