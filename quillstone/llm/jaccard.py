@@ -28,8 +28,9 @@ number of buckets grows with the bytes of text, without an upper bound. Tokens a
 corpus of n different shingles are taken for one with a chance of about n * n / 2**65
 or, below 65,536 buckets, n * n / (2**49 * buckets); sets are named by 64-bit sums. A bucket's frequencies go to the
 sets' buckets for common tokens only. Null and empty texts have no shingles and
-link with nothing; repeated rows are answered each; rows without an id take no
-part; an empty table gives no rows.
+link with nothing; a very long text is a chunk of its own; repeated rows are answered
+each; rows without an id take no part; other columns, whatever their names, are not
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,8 +11,11 @@ layer is a table of responses to one byte at one place of a filter, so a
 convolution over one-hot bytes is a sum of table rows; pairs of places share one
 table of 65,536 rows when the model is applied.
 
-A null text, or one without letters, is `und` with score 0. Repeated rows are
-answered each. With no labelled row everything is `und`.
+A null text, or one without letters, is `und` with score 0. A very long text is
+windows of one row, none left out. Repeated rows are answered each; ids with equal
+hashes are taken in order of the id; of equally likely languages the first by name is
+said. With no labelled row everything is `und`; an empty table gives no rows. Columns
+of docs named lang_pred or lang_score give way to the results.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ blocks are joined by that index. No block is taken more than `most` times.
 Prefix sums run within (source, md5 prefix), or within ranges of shards, and then over
 their totals, so neither a source with a third of all rows nor the shards of the whole
 output are a single task. Null texts have 0 words and
-nothing taken; repeated rows are streamed each; an empty table gives no rows.
+nothing taken; repeated rows are streamed each (ties of md5 by id and size); other
+columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
