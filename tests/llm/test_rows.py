@@ -235,3 +235,34 @@ def test_html(spark):
     got = {r["page_id"]: r["main_text"] for r in html.extracted(df).collect()}
     assert [got[k] for k in range(len(cases))] == list(cases.values())
     assert html.extracted(df.where("false")).count() == 0
+
+
+def test_empty_tables(spark):
+    none = frame(spark, [], extra=True)
+    labels = spark.createDataFrame([], "doc_id long, quality long, toxic long")
+    assert secrets.digest(secrets.scanned(none)).count() == 0
+    assert language.digest(language.identified(none, language.train(language.labelled_sample(none)))).count() == 0
+    assert toxicity.digest(toxicity.scored(none, toxicity.train(toxicity.labelled_sample(none, labels)))).count() == 0
+    assert decontaminate.digest(decontaminate.contaminated(none, spark.createDataFrame([(1, "some words")], "item_id long, text string"))).count() == 0
+    assert html.extracted(spark.createDataFrame([], "page_id long, html string, main_text string")).count() == 0
+    assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_nearest_with_other_columns_and_every_cell(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6))
+    x[200:230] = x[7]  # copies: ties go to the smaller ids
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    names = ["id", "vec", "cell", "code", "name", "part", "block", "near", "rank", "score", "query_id", "nth", "cells"]
+    got = {}
+    for r in ann.nearest(df.withColumns({c: F.lit("x") for c in names}), probes=ann.CELLS).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert sorted(got) == list(range(0, 400, 20))
+    hits = 0
+    for q, found in got.items():
+        assert sorted(found) == list(range(1, 21)) and all(abs(x[q] @ x[v] - s) < 1e-9 for v, s in found.values())
+        order = [v for v in np.lexsort((np.arange(400), -ann.exact(np.repeat(x[q : q + 1], 400, 0), x))) if v != q][:20]
+        hits += len(set(order) & {v for v, _ in found.values()})
+        ranked = [found[k] for k in range(1, 21)]
+        assert ranked == sorted(ranked, key=lambda r: (-r[1], r[0]))
+    assert hits >= 0.95 * 20 * len(got)
