@@ -34,8 +34,8 @@ FACTOR, MOST = 1.5, 2
 SEED = 17
 CELLS = 4096
 ROWS_PER_PREFIX = 2_000
-#: Slots drawn by a task, shards of a range of prefix sums, and numbers that are spread at once.
-DRAWS, RANGE, RUN = 500_000, 4_096, 65_536
+#: Slots drawn by a task at most, and at least where there are tasks enough; shards of a range of prefix sums; numbers that are spread at once.
+DRAWS, LEAST_DRAWS, RANGE, RUN = 1_000_000, 50_000, 4_096, 65_536
 WORD = r"[^\x20\x09-\x0D]+"
 #: Primes above 2**20: below 2**40 blocks, no number has both as factors.
 PRIMES = (1_048_583, 2_097_169)
@@ -108,11 +108,16 @@ def _before(counts: DataFrame, by: list[str], at: str, n: str, name: str) -> Dat
     return d.join(totals, [*by, "_range"]).withColumn(name, F.col("_under") + F.col("_inside")).drop("_range", "_inside", "_under")
 
 
-def _numbered(df: DataFrame, first: str, n: str, name: str) -> DataFrame:
-    """A row for each number from `first` on, n of them: in runs of RUN numbers that are dealt out before they are spread."""
+def _tasks(df: DataFrame, total: int) -> int:
+    """Tasks for rows that are spread to `total`: DRAWS each, but as many as run at once where that leaves each enough."""
+    return max(1, -(-total // DRAWS), min(df.sparkSession.sparkContext.defaultParallelism, -(-total // LEAST_DRAWS)))
+
+
+def _numbered(df: DataFrame, first: str, n: str, name: str, tasks: int) -> DataFrame:
+    """A row for each number from `first` on, n of them: in runs of RUN numbers that are dealt to so many tasks before they are spread."""
     runs = df.where(F.col(n) > 0).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / RUN))))
     runs = runs.withColumn("_from", F.col(first) + F.col("_run") * RUN).withColumn("_to", F.least(F.col("_from") + RUN, F.col(first) + F.col(n)) - 1)
-    return runs.repartition(F.col("_from"), F.col("_run")).withColumn(name, F.explode(F.sequence("_from", "_to"))).drop("_run", "_from", "_to")
+    return runs.repartition(tasks, F.col("_from"), F.col("_run")).withColumn(name, F.explode(F.sequence("_from", "_to"))).drop("_run", "_from", "_to")
 
 
 def slots(table: DataFrame) -> DataFrame:
@@ -124,20 +129,20 @@ def slots(table: DataFrame) -> DataFrame:
     bounds = mine.withColumn("_hi", upto / F.lit(float(max(total, 1)))).withColumn("_lo", (upto - F.col("quota")) / F.lit(float(max(total, 1))))
     bounds = bounds.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") * CELLS), F.least(F.floor(F.col("_hi") * CELLS), F.lit(CELLS - 1)))))
     hashed = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "id"), 11) / F.lit(float(2**53))
-    drawn = spark.range(0, total, 1, max(1, -(-total // DRAWS))).select(F.floor(F.col("id") / SLOTS).alias("out_shard"), hashed.alias("_u"))
+    tasks = _tasks(table, total)
+    drawn = spark.range(0, total, 1, tasks).select(F.floor(F.col("id") / SLOTS).alias("out_shard"), hashed.alias("_u"))
     drawn = drawn.withColumn("_cell", F.floor(F.col("_u") * CELLS)).join(bounds, "_cell").where("_u >= _lo and _u < _hi")
     counts = cut(drawn.groupBy("out_shard", "rank").agg(F.count("*").alias("_n")))
     counts = _before(counts, ["rank"], "out_shard", "_n", "_base").join(mine, "rank")
     kept = counts.withColumn("_n_kept", F.greatest(F.lit(0), F.least(F.col("_n"), F.col("quota") - F.col("_base"))))
-    some = F.col("_n_kept") > 0
-    taken = kept.where(some).withColumn("_j", F.explode(F.sequence(F.col("_base"), F.col("_base") + F.col("_n_kept") - 1))).select("out_shard", "rank", "blocks", "_j")
+    taken = _numbered(kept, "_base", "_n_kept", "_j", tasks).select("out_shard", "rank", "blocks", "_j")
     # draws beyond a quota, numbered over the shards, meet the missing slots of the other sources, numbered over the sources
     over_quota = kept.groupBy("out_shard").agg(F.sum(F.col("_n") - F.col("_n_kept")).alias("_e")).where("_e > 0")
-    over_quota = _numbered(_before(over_quota, [], "out_shard", "_e", "_first"), "_first", "_e", "_k").select("out_shard", "_k")
+    over_quota = _numbered(_before(over_quota, [], "out_shard", "_e", "_first"), "_first", "_e", "_k", tasks).select("out_shard", "_k")
     short = mine.join(counts.groupBy("rank").agg(F.sum("_n").alias("_drawn")), "rank", "left").withColumn("_drawn", F.coalesce("_drawn", F.lit(0)))
     short = short.withColumn("_e", F.col("quota") - F.col("_drawn")).where("_e > 0")
     short = short.withColumn("_first", F.sum("_e").over(Window.orderBy("rank")) - F.col("_e"))  # a row for each source
-    short = _numbered(short, "_first", "_e", "_k").select("rank", "blocks", (F.col("_drawn") + F.col("_k") - F.col("_first")).alias("_j"), "_k")
+    short = _numbered(short, "_first", "_e", "_k", tasks).select("rank", "blocks", (F.col("_drawn") + F.col("_k") - F.col("_first")).alias("_j"), "_k")
     filled = short.join(over_quota, "_k", "left").select(F.coalesce("out_shard", F.lit(0)).alias("out_shard"), "rank", "blocks", "_j")
     out = taken.unionByName(filled).withColumn("epoch", F.floor(F.col("_j") / F.col("blocks")))
     out = permuted(out, F.col("_j") % F.col("blocks"), F.col("blocks"), F.col("rank") * MOST + F.col("epoch"))
