@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, chaining, decontaminate, html, jaccard, language, mixing, secrets, suffixes, toxicity
+from . import ann, chaining, decontaminate, html, jaccard, language, mixing, packing, secrets, suffixes, toxicity
 from .common import read
 
+#: The vocabulary that op12 packs with; packing.packed() takes any byte-level one.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op1_suffix_dedup(spark, sf_dir):
     return suffixes.digest(suffixes.repeats(read(spark, sf_dir, "documents")))
@@ -54,4 +58,8 @@ def op10_chaining(spark, sf_dir):
     return chaining.passages(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_nearest, op4_html, op5_secrets, op6_language, op7_mixing, op8_jaccard, op9_toxicity, op10_chaining)}
+def op12_packing(spark, sf_dir):
+    return packing.digest(packing.packed(read(spark, sf_dir, "documents"), TOKENIZER, keep_ids=False))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_nearest, op4_html, op5_secrets, op6_language, op7_mixing, op8_jaccard, op9_toxicity, op10_chaining, op12_packing)}
