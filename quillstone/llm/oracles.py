@@ -78,4 +78,16 @@ with recursive d as (select doc_id, regexp_extract_all({LOWER.format('text')}, '
  m as (select a as doc_id, min(b) as component_id from r group by a)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, component_id from d join m using (doc_id) left join n using (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": OP1, "op2_decontaminate": OP2, "op3_nearest": OP3, "op7_mixing": OP7, "op8_jaccard": OP8}
+OP13 = f"""
+with d as (select coalesce(lang, 'und') as lang, {LOWER.format('text')} as t from documents),
+ p as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) as piece from d)),
+ g as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as g, count(*) as f from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from p, (values (1), (2), (3), (4)) s(k) where len(w) >= k) group by all),
+ n as (select lang, sum(f) as n from g where k = 1 group by lang),
+ c as (select lang, k as size, g as phrase, string_split(g, ' ') as w, f as a from g where k > 1 and f >= 30),
+ x as (select c.lang, c.phrase, c.a, c.k, l.f as l, r.f as r, (2000000::hugeint * c.a) // (l.f::hugeint + r.f) as s from (select *, unnest(range(1, size)) as k from c) c join g l on l.lang = c.lang and l.k = c.k and l.g = array_to_string(c.w[1:c.k], ' ') join g r on r.lang = c.lang and r.k = c.size - c.k and r.g = array_to_string(c.w[c.k + 1:], ' ')),
+ b as (select * from (select *, row_number() over (partition by lang, phrase order by s, k) as nth from x) where nth = 1),
+ o as (select lang, array_to_string(w[i:i + j - 1], ' ') as phrase, max(a) as most from (select *, unnest(range(1, size - j + 2)) as i from (select *, unnest(range(2, size)) as j from c)) group by all),
+ f as (select b.*, row_number() over (partition by b.lang order by s desc, a desc, b.phrase) as rank from b left join o on o.lang = b.lang and o.phrase = b.phrase where most is null or 100::hugeint * most < 80::hugeint * a)
+select lang, rank, phrase, a, l, r, n::bigint as n, s::bigint as score from f join n using (lang) where rank <= 2000"""
+
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": OP1, "op2_decontaminate": OP2, "op3_nearest": OP3, "op7_mixing": OP7, "op8_jaccard": OP8, "op13_collocations": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, chaining, decontaminate, html, jaccard, language, mixing, packing, secrets, spelling, suffixes, toxicity
+from . import ann, chaining, collocations, decontaminate, html, jaccard, language, mixing, packing, secrets, spelling, suffixes, toxicity
 from .common import read
 
 #: The vocabulary that op12 packs with; packing.packed() takes any byte-level one.
@@ -66,4 +66,8 @@ def op12_packing(spark, sf_dir):
     return packing.digest(packing.packed(read(spark, sf_dir, "documents"), TOKENIZER, keep_ids=False))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_nearest, op4_html, op5_secrets, op6_language, op7_mixing, op8_jaccard, op9_toxicity, op10_chaining, op11_spelling, op12_packing)}
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_nearest, op4_html, op5_secrets, op6_language, op7_mixing, op8_jaccard, op9_toxicity, op10_chaining, op11_spelling, op12_packing, op13_collocations)}
