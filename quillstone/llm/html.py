@@ -2,13 +2,16 @@
 
 Pages are parsed into a tree of block elements with text blocks at its nodes.
 Subtrees that are no part of an article (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments: by tag, role, hidden
-attribute, or a word of class or id) are left out. Each remaining paragraph earns
-points for its length and commas and passes them to its ancestors, less the
+notices, adverts, forms, scripts, styles, reader comments) are left out: by tag, role or
+hidden attribute always; by a word of class or id as evidence that much text outweighs:
+such a subtree stays if it holds most of the page's paragraph text (STAYS), and words
+that say what a holder has or lacks (has-sidebar, no-comments) are none. Each remaining
+paragraph earns points for its length and commas and passes them to its ancestors, less the
 farther away; a container's points are discounted by its link density. The best
 container, raised to the article or main element around it, is kept with those of
 its siblings that score alike or are plain paragraphs, and all of their blocks are
-returned in page order.
+returned in page order. A list, table, quotation or preformatted text is a part of what
+holds it, never the whole article.
 
 A null or empty page gives an empty text; a page cut off inside a tag loses that
 tag only, and an element never closed (a script, a button) itself only; of containers
@@ -36,6 +39,7 @@ BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
     "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
+STARTS = re.compile("<(" + "|".join(sorted(BLOCK)) + r")\b", re.IGNORECASE)
 OUTSIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head", "search", "fieldset"}
 OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 OUTSIDE_WORDS = {
@@ -44,30 +48,54 @@ OUTSIDE_WORDS = {
     "recommended", "related", "replies", "reply", "respond", "share", "sharing", "sidebar", "signin", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget",
 }
 NEVER_OUTSIDE = {"html", "body", "article", "main"}
+#: Words after these in a name say what its holder has or lacks.
+ABOUT = {"has", "have", "no", "not", "with", "without", "hide", "hidden", "show", "is", "toggle"}
+COMMENTS = {"comment", "comments", "discussion", "disqus", "replies", "reply", "respond"}
+#: How sure a name is (an outside word amid others, at an end or alone, of comments), and the share of the page's paragraph text from which it is ignored.
+AMID, AT_END, OF_COMMENTS = 1, 2, 3
+STAYS = {AMID: 0.4, AT_END: 0.9, OF_COMMENTS: 1.0}
+#: Never an article alone: what holds them is.
+PARTS = {"ul", "ol", "dl", "menu", "blockquote", "pre", "table", "thead", "tbody", "tfoot", "tr"}
+#: In a script or style never closed, a block's start tag that is in no string ends it.
+CODE = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|<(" + "|".join(sorted(BLOCK)) + r")\b", re.IGNORECASE | re.DOTALL)
 CLOSES_ITSELF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 SIBLING_SHARE, LEAST_SCORED, LEAST_SIBLING = 0.2, 25, 80
 
 
-def is_outside(tag: str, attributes: str) -> bool:
+def name_says(value: str) -> int:
+    """How sure a class or id is that its element is no article: 0, AMID, AT_END or OF_COMMENTS."""
+    sure = 0
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+        words = words[: next((k for k, w in enumerate(words) if w in ABOUT), len(words))]
+        for k, w in enumerate(words):
+            if w in OUTSIDE_WORDS:
+                sure = max(sure, AMID if 0 < k < len(words) - 1 else OF_COMMENTS if w in COMMENTS else AT_END)
+    return sure
+
+
+def outside(tag: str, attributes: str) -> tuple[bool, int]:
+    """Whether an element is no article for certain, and how sure its name is of it."""
     if tag in OUTSIDE:
-        return True
-    if not attributes or tag in NEVER_OUTSIDE:
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = (m[1] or m[5]).lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id"):
-            if OUTSIDE_WORDS.intersection(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", m[2] or m[3] or m[4] or "").lower())):
-                return True
-        elif name == "role" and value in OUTSIDE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+        return True, 0
+    sure = 0
+    if attributes and tag not in NEVER_OUTSIDE:
+        for m in ATTRIBUTE.finditer(attributes):
+            name, value = (m[1] or m[5]).lower(), m[2] or m[3] or m[4] or ""
+            if name in ("class", "id"):
+                sure = max(sure, name_says(value))
+                continue
+            value = value.lower()
+            if name == "role" and value in OUTSIDE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                return True, sure
+    return False, sure
 
 
 class Tree:
     """Block elements by number (parents before children), and text blocks (node, text, letters in links)."""
 
     def __init__(self, page: str):
-        self.parent, self.tag, self.outside = [-1], ["#"], [False]
+        self.parent, self.tag, self.outside, self.sure = [-1], ["#"], [False], [0]
         self.blocks: list[tuple[int, str, int]] = []
         stack, open_tags = [0], {}
         inline_outside: list[str] = []  # inline elements that are left out, and what is open inside them
@@ -132,9 +160,9 @@ class Tree:
                 if end:
                     at = end.end()
                 elif not m[3].endswith("/"):
-                    # never closed: what stands up to the next tag goes with it, not the rest of the page
-                    at = page.find("<", at)
-                    at = n if at < 0 else at
+                    # never closed: what stands up to the next block goes with it, not the rest of the page
+                    block = next((x for x in (CODE if tag in ("script", "style") else STARTS).finditer(page, at) if x[1]), None)
+                    at = block.start() if block else n
                 continue
             if tag == "br":
                 pieces.append(" ")
@@ -158,12 +186,31 @@ class Tree:
                             break
                 self.parent.append(stack[-1])
                 self.tag.append(tag)
-                self.outside.append(self.outside[stack[-1]] or is_outside(tag, m[3]))
+                certain, sure = outside(tag, m[3])
+                self.outside.append(self.outside[stack[-1]] or certain)
+                self.sure.append(sure)
                 stack.append(len(self.tag) - 1)
                 open_tags[tag] = open_tags.get(tag, 0) + 1
-            elif m[3] and not m[3].endswith("/") and (inline_outside and tag == inline_outside[-1] or is_outside(tag, m[3])):
+            elif m[3] and not m[3].endswith("/") and (inline_outside and tag == inline_outside[-1] or any(outside(tag, m[3]))):
                 inline_outside.append(tag)
         flush()
+        self._weigh()
+
+    def _weigh(self) -> None:
+        """Leaves out the blocks of subtrees whose name says they are no article, but those that hold most of the page's text."""
+        if not any(self.sure):
+            return
+        n = len(self.tag)
+        held = [0.0] * n
+        for node, text, links in self.blocks:
+            if len(text) >= LEAST_SCORED:
+                held[node] += len(text) - links
+        for k in range(n - 1, 0, -1):
+            held[self.parent[k]] += held[k]
+        gone = [False] * n
+        for k in range(1, n):
+            gone[k] = gone[self.parent[k]] or self.sure[k] > 0 and held[k] < STAYS[self.sure[k]] * max(held[0], 1)
+        self.blocks = [b for b in self.blocks if not gone[b[0]]]
 
 
 def main_text(page: str | None) -> str:
@@ -199,6 +246,8 @@ def main_text(page: str | None) -> str:
         if up > 0:
             best = up
             break
+    while tree.tag[best] in PARTS and tree.tag[tree.parent[best]] not in ("#", "body", "html") and linked[tree.parent[best]] * 2 < letters[tree.parent[best]]:
+        best = tree.parent[best]
     kept = {best}
     if best and tree.tag[best] not in ("body", "html"):
         least = max(SIBLING_SHARE * score[best], 1e-9)

@@ -64,3 +64,37 @@ def test_equal_scores_take_the_first():
     a = sentence(rng, 40)
     assert main_text(f"<body><section><div><p>{a}</p></div></section><section><div><p>{a}</p></div></section></body>") in (a, f"{a} {a}")
     assert main_text("") == "" and main_text(None) == ""
+
+
+@pytest.mark.parametrize("attributes", ["class='content has-sidebar'", "class='main no-comments'", "id='article-share-page'", "class='page with-nav without-header'", "class='postWidgetArea'", "class='sidebar'", "id='is-modal'", "class='hide-menu post'"])
+@pytest.mark.parametrize("inside", ["<p>{}</p><p>{}</p><p>{}</p>", "<ul><li>{}</li><li>{}</li></ul><p>{}</p>", "<p>{}</p><pre>{}</pre><blockquote>{}</blockquote>", "<div><p>{}</p></div><p>{}</p><ol><li>{}</li></ol>"])
+def test_names_are_evidence_that_text_outweighs(attributes, inside):
+    rng = random.Random(attributes + inside)
+    said = [sentence(rng, n) for n in (60, 50, 40)]
+    page = f"<body><ul>{links(rng)}</ul><div {attributes}>{inside.format(*said)}</div><div class='footer'><p>{sentence(rng, 8)}</p></div></body>"
+    assert main_text(page) == " ".join(said)
+
+
+@pytest.mark.parametrize("holder", ["<div class='comments'>{}</div>", "<section id='comment-list'>{}</section>", "<div class='post-replies'>{}</div>", "<ol class='commentlist comments'><li>{}</li></ol>"])
+def test_long_comments_are_none_of_the_article(holder):
+    rng = random.Random(holder)
+    a, b = sentence(rng, 40), sentence(rng, 30)
+    junk = "".join(f"<p>{sentence(rng, 40)}</p>" for _ in range(6))
+    assert main_text(f"<body><div><p>{a}</p><p>{b}</p></div>{holder.format(junk)}</body>") == f"{a} {b}"
+
+
+@pytest.mark.parametrize("inside", ["<ul><li>{}</li><li>{}</li></ul><p>{}</p>", "<p>{}</p><ol><li>{}</li><li>{}</li></ol>", "<blockquote><p>{}</p><p>{}</p></blockquote><p>{}</p>", "<p>{}</p><table><tr><td>{}</td></tr><tr><td>{}</td></tr></table>", "<pre>{}</pre><p>{}</p><dl><dd>{}</dd></dl>"])
+@pytest.mark.parametrize("sizes", [(60, 60, 8), (8, 60, 60), (30, 8, 60)])
+def test_lists_and_quotations_are_parts(inside, sizes):
+    rng = random.Random(inside)
+    said = [sentence(rng, n) for n in sizes]
+    assert main_text(f"<body><div><ul>{links(rng)}</ul></div><div class='post'>{inside.format(*said)}</div></body>") == " ".join(said)
+
+
+@pytest.mark.parametrize("code", ["var a=1; if (a<2) { x(\"</p>\") }", "var x='</p>'", "document.write('<p>no</p><div>no</div>')", "x = \"<div class='a'>\" + `<p>\n</p>`", "// it's fine", "a < b && c > d"])
+def test_code_never_closed_is_no_text(code):
+    rng = random.Random(8)
+    a, b = sentence(rng, 40), sentence(rng, 40)
+    assert main_text(f"<article><p>{a}</p><p>{b}</p></article><script>{code}") == f"{a} {b}"
+    assert main_text(f"<article><p>{a}</p><script>{code}\n<p>{b}</p></article>") == f"{a} {b}"
+    assert main_text(f"<script>{code}") == ""
