@@ -4,7 +4,7 @@ Pages are parsed into a tree of block elements with text blocks at its nodes.
 Subtrees that are no part of an article (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments) are left out: by tag, role or
 hidden attribute always; by a word of class or id as evidence that much text outweighs:
-such a subtree stays if it holds most of the page's paragraph text (STAYS), and words
+such a subtree stays if it holds most of the page's text (STAYS) and no article element stands outside, and words
 that say what a holder has or lacks (has-sidebar, no-comments) are none. Each remaining
 paragraph earns points for its length and commas and passes them to its ancestors, less the
 farther away; a container's points are discounted by its link density. The best
@@ -50,10 +50,11 @@ OUTSIDE_WORDS = {
 NEVER_OUTSIDE = {"html", "body", "article", "main"}
 #: Words after these in a name say what its holder has or lacks.
 ABOUT = {"has", "have", "no", "not", "with", "without", "hide", "hidden", "show", "is", "toggle"}
-COMMENTS = {"comment", "comments", "discussion", "disqus", "replies", "reply", "respond"}
-#: How sure a name is (an outside word amid others, at an end or alone, of comments), and the share of the page's paragraph text from which it is ignored.
-AMID, AT_END, OF_COMMENTS = 1, 2, 3
-STAYS = {AMID: 0.4, AT_END: 0.9, OF_COMMENTS: 1.0}
+#: Words that name what readers or advertisers write.
+OF_OTHERS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "comment", "comments", "cookie", "cookies", "discussion", "disqus", "promoted", "replies", "reply", "respond", "sponsor", "sponsored"}
+#: How sure a name is (an outside word amid others, at an end or alone, one of others), and the share of the page's own text from which it is ignored.
+AMID, AT_END, BY_OTHERS = 1, 2, 3
+STAYS = {AMID: 0.4, AT_END: 0.9, BY_OTHERS: 1.0}
 #: Never an article alone: what holds them is.
 PARTS = {"ul", "ol", "dl", "menu", "blockquote", "pre", "table", "thead", "tbody", "tfoot", "tr"}
 #: In a script or style never closed, a block's start tag that is in no string ends it.
@@ -63,14 +64,14 @@ SIBLING_SHARE, LEAST_SCORED, LEAST_SIBLING = 0.2, 25, 80
 
 
 def name_says(value: str) -> int:
-    """How sure a class or id is that its element is no article: 0, AMID, AT_END or OF_COMMENTS."""
+    """How sure a class or id is that its element is no article: 0, AMID, AT_END or BY_OTHERS."""
     sure = 0
     for name in value.split():
         words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
         words = words[: next((k for k, w in enumerate(words) if w in ABOUT), len(words))]
         for k, w in enumerate(words):
             if w in OUTSIDE_WORDS:
-                sure = max(sure, AMID if 0 < k < len(words) - 1 else OF_COMMENTS if w in COMMENTS else AT_END)
+                sure = max(sure, AMID if 0 < k < len(words) - 1 else BY_OTHERS if w in OF_OTHERS else AT_END)
     return sure
 
 
@@ -203,13 +204,21 @@ class Tree:
         n = len(self.tag)
         held = [0.0] * n
         for node, text, links in self.blocks:
-            if len(text) >= LEAST_SCORED:
-                held[node] += len(text) - links
+            held[node] += len(text) - links
         for k in range(n - 1, 0, -1):
             held[self.parent[k]] += held[k]
+        # text of article and main elements outweighs any name outside of them
+        inside, marked = [False] * n, [0.0] * n
+        for k in range(1, n):
+            named = self.tag[k] in ("article", "main")
+            inside[k] = inside[self.parent[k]] or named
+            marked[k] = held[k] if named and not inside[self.parent[k]] else 0.0
+        for k in range(n - 1, 0, -1):
+            marked[self.parent[k]] += marked[k]
         gone = [False] * n
         for k in range(1, n):
-            gone[k] = gone[self.parent[k]] or self.sure[k] > 0 and held[k] < STAYS[self.sure[k]] * max(held[0], 1)
+            share = held[k] / max(held[0], 1) if inside[k] or marked[k] == marked[0] else 0.0
+            gone[k] = gone[self.parent[k]] or self.sure[k] > 0 and share < STAYS[self.sure[k]]
         self.blocks = [b for b in self.blocks if not gone[b[0]]]
 
 
