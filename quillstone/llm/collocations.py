@@ -6,7 +6,8 @@
    length. Windows are dealt by a hash of their first two words, so all counts of such a
    phrase meet in one part. Pairs (and triples) that hold more than a THOUSANDTH share
    of all places are few; windows that begin with one are dealt by one word more, and the
-   pair's own count goes apart, once a chunk.
+   pair's own count goes apart, once a chunk. A sketch of a fixed size tells which phrases
+   can't be frequent; windows end before those.
 3. Each part counts weighted phrases out of core in duckdb: first by 64-bit hashes, which
    loses no frequent phrase, then the texts of those that could be frequent, exactly.
 4. Each candidate asks for the counts of its parts; requests are shuffled to where the
@@ -37,6 +38,8 @@ PART_BYTES, MEMORY = 8 << 20, "150MB"
 #: A beginning with more than this share of all places is dealt by one word more: at most so many are broadcast.
 THOUSANDTH = 1000
 CHUNK = 4 << 20
+#: Counters of the sketch that ends windows early: 2 MB of bits for the tasks, whatever the input.
+SKETCH_BITS = 24
 BREAKS = np.zeros(256, bool)
 BREAKS[[ord(c) for c in ".,;:!?"] + list(range(10, 14))] = True
 BLANK = np.zeros(256, bool)
@@ -162,32 +165,59 @@ def _summed(h: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[start], np.add.reduceat(m[order], start) if len(start) else m[:0]
 
 
-def heavy_beginnings(found: DataFrame) -> dict[int, np.ndarray]:
-    """Hashes of the pairs and triples that begin more than a thousandth of all places: sorted, by their number of words."""
+def survey(found: DataFrame, places: int, least: int, bits: int = SKETCH_BITS) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """What one pass over the pieces tells the next: beginnings with more than a thousandth of all places, and a sketch.
+
+    Hashes of those pairs and triples, sorted, by their number of words. The sketch has 2**bits
+    counters, to each of which all phrases of two words or more that share a hash's first
+    bits add their counts; where a counter stays below `least`, none of them is
+    frequent, and windows end before them. It loses no frequent phrase. Its size is fixed:
+    with far more phrases than counters it only saves nothing.
+    """
+    block = 1 << min(16, bits)
+    kind = np.uint8 if least < 256 else np.uint32
+    names = ["part", "j", "h", "m", "counts"]
 
     def run(batches):
-        powers, total = Powers(), 0
+        powers, counters = Powers(), np.zeros(1 << bits, np.uint32)
         for _, w, _, _, m in _read(batches, powers):
             m = m[w.row]
-            total += int(m.sum())
-            for j in (2, 3):
+            for j in range(2, LONGEST + 1):
                 at = np.flatnonzero(w.left >= j)
                 h = w.h[j - 1][at]
                 first, weight = _summed(h, m[at])
-                much = weight * 2 * THOUSANDTH >= m.sum()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(much.sum(), j), pa.int32()), pa.array(h[first[much]].view(np.int64)), pa.array(weight[much], pa.int64())], names=["j", "h", "m"])
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([total], pa.int64())], names=["j", "h", "m"])
-
-    summed = found.mapInArrow(run, "j int, h long, m long").groupBy("j", "h").agg(F.sum("m").alias("m"))
-    total = F.max(F.when(F.col("j") == 0, F.col("m"))).over(_all())
-    rows = summed.withColumn("_t", total).where((F.col("j") > 0) & (F.col("m") * THOUSANDTH > F.col("_t"))).collect()  # fewer than a thousand of each
-    return {j: np.sort(np.array([r.h for r in rows if r.j == j], np.int64).view(U64)) for j in (2, 3)}
-
-
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()  # a few thousand sums of chunks at most
+                h = h[first]
+                np.add.at(counters, (h >> U64(64 - bits)).astype(np.int64), np.minimum(weight, least).astype(np.uint32))
+                if j < LONGEST:
+                    much = weight * 2 * THOUSANDTH >= m.sum()
+                    k = int(much.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(-1 - (h[much] % U64(64)).astype(np.int64)), pa.array(np.full(k, j), pa.int32()), pa.array(h[much].view(np.int64)), pa.array(weight[much], pa.int64()), pa.nulls(k, pa.binary())], names=names)
+            np.minimum(counters, least, out=counters)
+        for k in range(0, 1 << bits, block):
+            some = counters[k : k + block]
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // block]), pa.array([0], pa.int32()), pa.array([0]), pa.array([0]), pa.array([some.astype(kind).tobytes()], pa.binary())], names=names)
+
+    def summed(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        if part >= 0:
+            counters = np.zeros(block, np.uint64)
+            for x in table.column("counts").to_pylist():
+                counters += np.frombuffer(x, kind)
+            return pa.table({"part": [part], "j": pa.array([0], pa.int32()), "h": [0], "counts": pa.array([np.packbits(counters >= least).tobytes()], pa.binary())})
+        sums = Counter()
+        for j, h, m in zip(*[table.column(c).to_pylist() for c in ("j", "h", "m")]):
+            sums[j, h] += m
+        rows = [x for x, m in sums.items() if m * THOUSANDTH > places]
+        return pa.table({"part": pa.array([part] * len(rows), pa.int64()), "j": pa.array([j for j, _ in rows], pa.int32()), "h": pa.array([h for _, h in rows], pa.int64()), "counts": pa.nulls(len(rows), pa.binary())})
+
+    # to the driver: 2**bits bits, and fewer than a thousand hashes of each length
+    rows = found.mapInArrow(run, "part long, j int, h long, m long, counts binary").groupBy("part").applyInArrow(summed, "part long, j int, h long, counts binary").collect()
+    could = np.zeros((1 << bits) // 8, np.uint8)
+    for r in rows:
+        if r.part >= 0:
+            could[r.part * (block // 8) : (r.part + 1) * (block // 8)] = np.frombuffer(r.counts, np.uint8)
+    return {j: np.sort(np.array([r.h for r in rows if r.j == j], np.int64).view(U64)) for j in (2, 3)}, could
 
 
 def _is_in(h: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -199,8 +229,13 @@ def _is_in(h: np.ndarray, known: np.ndarray) -> np.ndarray:
 RECORDS = "bucket long, lang string, size binary, m binary, least binary, text binary"
 
 
-def records(found: DataFrame, heavy: dict[int, np.ndarray], buckets: int) -> DataFrame:
+def records(found: DataFrame, heavy: dict[int, np.ndarray], could: np.ndarray, buckets: int) -> DataFrame:
     """Windows of pieces as blobs by bucket and language: lengths, weights, fewest words a window counts for, texts."""
+    shift = U64(64 - (len(could) * 8).bit_length() + 1)
+
+    def may(h: np.ndarray) -> np.ndarray:
+        at = (h >> shift).astype(np.int64)
+        return could[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0
 
     def run(batches):
         for chunk, w, names, code, m in _read(batches, Powers()):
@@ -208,10 +243,16 @@ def records(found: DataFrame, heavy: dict[int, np.ndarray], buckets: int) -> Dat
             parts = []  # (bucket's hash, place, words, fewest words, weight)
             first, weight = _summed(w.h[0], m)
             parts.append((w.h[0][first], first, np.ones(len(first), np.int64), 1, weight))
-            at = np.flatnonzero(w.left >= 2)
-            first, weight = _summed(w.h[LONGEST - 1][at], m[at])
+            # a window ends before the first beginning that can't be frequent
+            words, whole = np.ones(len(m), np.int64), w.h[0].copy()
+            for j in range(2, LONGEST + 1):
+                at = np.flatnonzero((words == j - 1) & (w.left >= j))
+                at = at[may(w.h[j - 1][at])]
+                words[at], whole[at] = j, w.h[j - 1][at]
+            at = np.flatnonzero(words >= 2)
+            first, weight = _summed(whole[at], m[at])
             first = at[first]
-            size = w.left[first]
+            size = words[first]
             deep2 = _is_in(w.h[1][first], heavy[2])
             depth = np.where(deep2, np.where(_is_in(w.h[2][first], heavy[3]), 4, 3), 2)
             depth = np.minimum(depth, size)
@@ -254,7 +295,7 @@ def _counted(batches, least: int, memory: str):
                 if not batch.num_rows:
                     continue
                 if writer is None:
-                    writer = pa.ipc.new_stream(held, batch.schema)
+                    writer = pa.ipc.new_stream(held, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
                 writer.write_batch(batch)
                 for lang, w, m, low, _ in _parts(batch, langs, powers):
                     for j in range(1, LONGEST + 1):
@@ -318,9 +359,10 @@ def _counting(w: Windows, low: np.ndarray, j: int) -> np.ndarray:
 def frequent_phrases(docs: DataFrame, least: int = LEAST, memory: str = MEMORY) -> DataFrame:
     """lang, words, phrase, f of all phrases of 1 to 4 words that occur `least` times; rows of 0 words add up to a language's words."""
     found = written(pieces(docs), "pieces")
-    size = found.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
+    words = F.length("piece") - F.length(F.replace("piece", F.lit(" "), F.lit(""))) + 1
+    size, places = found.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0)), F.coalesce(F.sum(F.col("m") * words), F.lit(0))).first()
     buckets = max(1, size // PART_BYTES)
-    out = records(found, heavy_beginnings(found), buckets * 4).repartition(buckets, "bucket")
+    out = records(found, *survey(found, places, least), buckets * 4).repartition(buckets, "bucket")
     out = written(out.mapInArrow(lambda batches: _counted(batches, least, memory), "lang string, words int, phrase string, f long"), "phrases")
     discard(found)
     return out

@@ -63,6 +63,7 @@ def test_collocations_match_brute_force(spark, monkeypatch, heavy):
     # from no beginning that is dealt by more words, over some, to nearly all
     monkeypatch.setattr(collocations, "THOUSANDTH", {10**9: 1, 40: 40, 1: 10**6}[heavy])
     monkeypatch.setattr(collocations, "PART_BYTES", 2000)
+    monkeypatch.setattr(collocations.survey, "__defaults__", (6 if heavy == 40 else 18,))
     rows = talk(heavy % 7)
     assert result(frame(spark, rows, extra=True), 25) == brute(rows, 5, 25)
 
