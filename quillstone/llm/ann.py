@@ -8,21 +8,18 @@ subspaces share a table of 256, so a scan of coded vectors is one look-up and
 addition for each byte. The best `rerank` of a shard by that sum are scored again
 on the original vectors in double precision.
 
-The quantiser is fitted on a bounded sample (by the hash of the id), and so are
-CELLS coarse centres; every row is coded once, for the cell of its nearest centre.
-A query scans the coded vectors of the `probes` cells whose centres have the largest
-inner products with it (probes = CELLS: all of them). Codes and blocks of queries meet
-in groups of bounded size, cells of many rows in several; only codes (a byte for four
-components), ids and hashes travel there, and nothing is broadcast but codebooks and
-centres, whose size is fixed. Each query's `rerank` best of all its groups are then
-joined with the original vectors by id. Equal vectors of a group share a place in its
-ranking, so ties go to the smaller ids.
-
-Vectors that are null, zero, of another length than most, or hold null or
-non-finite components take no part; rows with a null id neither. A query's own id
-is no candidate of it, repeated rows of that id included (the first of their vectors
-counts). With fewer than k candidates all come back; an empty table gives no rows;
-other columns, whatever their names, take no part.
+The quantiser is fitted on a bounded sample (by the hash of the id); every row is coded
+once. Codes (four bits a component), ids and hashes of vectors, dealt to groups of
+bounded size, meet blocks of queries; nothing is broadcast but the codebooks, whose size
+is fixed. Every query scans all codes. Its `rerank` best of all groups are then joined
+with the original vectors by id. Equal vectors of a group share a place in its ranking,
+so ties go to the smaller ids.
+
+Vectors that are null, zero, of another length than most, or hold null or non-finite
+components take no part; rows with a null id neither. A query's own id is no candidate of
+it. Rows of one id with equal vectors count once, with different ones each; a query with
+several has its least. With fewer than k candidates all come back; an empty table gives
+no rows; other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -32,16 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
-
 K, EVERY = 20, 20
-SHARD, QUERIES = 131_072, 16_384
-CELLS, PROBES = 64, 52
+#: Codes of a group (at least GROUPS of them, so a small table is no single task) and queries of a block.
+SHARD, GROUPS, QUERIES = 131_072, 8, 65_536
 SAMPLE, ROUNDS = 8_192, 8
-PER_SUBSPACE, CENTRES = 2, 16
+PER_SUBSPACE, CENTRES = 1, 16
 WEIGHT = 4.0
-#: Candidates of a query that are scored on vectors; a group of its NEAREST cells may give as many, one of the others GROUP.
-RERANK, NEAREST, GROUP = 240, 4, 40
+#: Candidates of a query that are scored on vectors.
+RERANK = 120
 
 
 class Quantiser:
@@ -130,29 +125,18 @@ def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def centres_of(x: np.ndarray, cells: int = CELLS, rounds: int = 10, seed: int = 5) -> np.ndarray:
-    """Directions of k-means clusters on the sphere."""
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    rng = np.random.default_rng(seed)
-    c = u[rng.choice(len(u), cells, replace=len(u) < cells)]
-    for _ in range(rounds):
-        near = (u @ c.T).argmax(1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, near, u)
-        size = np.linalg.norm(sums, axis=1)
-        c = np.where(size[:, None] > 0, sums / np.maximum(size, 1e-12)[:, None], u[rng.choice(len(u), cells)])
-    return c
-
-
-def search(model: Quantiser, q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, code: np.ndarray, name: np.ndarray, k: int, most: np.ndarray):
-    """The best of one group by the tables, as many as `most` allows each query: query ids, vector ids, approximate scores."""
+def search(model: Quantiser, q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, code: np.ndarray, name: np.ndarray, k: int, most: int):
+    """The `most` best of one group for each query by the tables: query ids, vector ids, hashes of vectors, approximate scores."""
     order = np.lexsort((v_id, name))
     v_id, code, name = v_id[order], code[order], name[order]
+    if len(name):  # a row that repeats counts once
+        first = np.concatenate(([True], (name[1:] != name[:-1]) | (v_id[1:] != v_id[:-1])))
+        v_id, code, name = v_id[first], code[first], name[first]
     start = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1]))) if len(name) else np.zeros(0, np.int64)
     # ids of each distinct vector, smallest first; more than k + 1 can't be among the k nearest
     size = np.minimum(np.diff(np.append(start, len(name))), k + 1)
     coded = np.ascontiguousarray(code[start].T)
-    top = min(int(most.max()), len(start))
+    top = min(most, len(start))
     out = []
     step = max(1, min(128, (8 << 20) // max(1, len(start))))
     for s in range(0, len(q), step):
@@ -163,27 +147,27 @@ def search(model: Quantiser, q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray,
         vec = pick.ravel()
         score, many = near[row, vec], size[vec]
         inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        cand = v_id[np.repeat(start[vec], many) + inner]
+        cand = np.repeat(start[vec], many) + inner
         row, score = np.repeat(row, many), np.repeat(score, many)
-        other = cand != ids[row]
+        other = v_id[cand] != ids[row]
         row, cand, score = row[other], cand[other], score[other]
-        rank = np.lexsort((cand, -score, row))
+        rank = np.lexsort((v_id[cand], -score, row))
         row, cand, score = row[rank], cand[rank], score[rank]
-        nth = np.arange(len(row)) - np.searchsorted(row, row)
-        good = nth < most[s : s + step][row]
-        out.append((ids[row[good]], cand[good], score[good]))
-    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
+        good = np.arange(len(row)) - np.searchsorted(row, row) < most
+        out.append((ids[row[good]], v_id[cand[good]], name[cand[good]], score[good]))
+    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.float32)]
 
 
 def usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """id, vec of the rows that take part."""
-    e = F.col(embedding).cast("array<double>")
+    """id, vec of the rows that take part, floats as they are and other numbers as doubles."""
+    e = F.col(embedding)
+    e = e if dict(df.dtypes)[embedding] == "array<float>" else e.cast("array<double>")
     df = df.select(F.col(vec_id).cast("long").alias("id"), e.alias("vec")).where("id is not null and vec is not null and size(vec) > 0")
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return df.where(~bad).where(F.exists("vec", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, rerank: int = RERANK, probes: int = PROBES) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id `every` divides."""
     spark = vectors.sparkSession
     good = usable(vectors, vec_id, embedding)
@@ -191,65 +175,53 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "v
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = max(sizes, key=lambda d: (sizes[d], d))
-    good = good.where(F.size("vec") == dim)
-    rows = np.array([r[0] for r in good.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(sample).select("vec").collect()])
-    books, centres = Quantiser(dim).fit(rows).books, centres_of(rows)
+    kind = dict(good.dtypes)["vec"]
+    good = good.where(F.size("vec") == dim).withColumn("name", F.xxhash64("vec"))
+    rows = np.array([r[0] for r in good.orderBy(F.xxhash64(F.lit(3), "id"), "id", "name").limit(sample).select("vec").collect()], float)
+    books = Quantiser(dim).fit(rows).books
 
     def matrix(column: pa.Array) -> np.ndarray:
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(float)
 
     def coded(batches):
         model = Quantiser(dim, books)
         for batch in batches:
             if len(batch):
-                x = matrix(batch.column(1))
-                code = model.bytes_of(model.encode(x))
-                cell = ((x / np.linalg.norm(x, axis=1)[:, None]) @ centres.T).argmax(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), batch.column(2)], names=["id", "cell", "code", "name"])
-
-    codes = written(good.select("id", "vec", F.xxhash64("vec").alias("name")).mapInArrow(coded, "id long, cell int, code binary, name long"), "ann-codes")
-    counts = {r[0]: r[1] for r in codes.groupBy("cell").count().collect()}  # CELLS rows at most
-    queries = good.where(F.col("id") % every == 0).dropDuplicates(["id"])
-    blocks = -(-max(1, queries.count()) // QUERIES)
-    # cells of many rows are dealt to several groups by the id's hash
-    parts = F.element_at(F.create_map(*[F.lit(int(x)) for c, n in counts.items() for x in (c, -(-n // SHARD))]), F.col("cell"))
-    place = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), n).cast("int")
-    v = codes.withColumn("part", place(parts, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def probed(batches):
-        for batch in batches:
-            if len(batch):
-                x = matrix(batch.column(1))
-                near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], names=["id", "vec", "cells"])
-
-    q = queries.select("id", "vec").mapInArrow(probed, "id long, vec array<float>, cells array<int>")
-    q = q.withColumn("block", place(F.lit(blocks), 2)).select("id", "vec", "block", F.posexplode("cells").alias("nth", "cell")).where(F.col("cell").isin(list(counts)))
-    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+                code = model.bytes_of(model.encode(matrix(batch.column(1))))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in code], pa.binary()), batch.column(2)], names=["id", "code", "name"])
+
+    queries = good.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec"))
+    blocks = -(-max(1, sizes[dim] // every) // QUERIES)
+    parts = max(GROUPS, -(-sizes[dim] // SHARD))
+    place = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    codes = good.select("id", "vec", "name").mapInArrow(coded, "id long, code binary, name long")
+    # by the vector too: rows of one id are dealt apart
+    v = codes.withColumn("part", place(parts, F.lit(1), "id", "name")).withColumn("block", every_one(blocks))
+    q = queries.withColumn("block", place(blocks, F.lit(2), "id")).withColumn("part", every_one(parts))
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        else:
+        out = [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        if len(left) and len(right):
             code = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(right), -1)
-            out = search(Quantiser(dim, books), left.column("id").to_numpy(), matrix(left.column("vec")).astype(float), right.column("id").to_numpy(), code, right.column("name").to_numpy(), k, np.where(left.column("nth").to_numpy() < NEAREST, rerank, max(2 * k, GROUP)))
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "near": pa.array(out[2], pa.float64())})
+            out = search(Quantiser(dim, books), left.column("id").to_numpy(), matrix(left.column("vec")), right.column("id").to_numpy(), code, right.column("name").to_numpy(), k, rerank)
+        return pa.table({n: pa.array(x, t) for n, x, t in zip(("query_id", "id", "name", "near"), out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))})
 
-    on = ["block", "cell", "part"]
-    found = q.select("id", "vec", "nth", *on).groupBy(*on).cogroup(v.select("id", "code", "name", *on).groupBy(*on)).applyInArrow(join, "query_id long, id long, near double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "id")
-    found = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= rerank).select("query_id", "id").dropDuplicates()
+    on = ["block", "part"]
+    found = q.select("id", "vec", *on).groupBy(*on).cogroup(v.select("id", "code", "name", *on).groupBy(*on)).applyInArrow(join, "query_id long, id long, name long, near double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "id", "name")
+    found = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= rerank).select("query_id", "id", "name")
     # exact scores: the candidates' vectors by id, then the queries' by theirs
-    vecs = good.groupBy("id").agg(F.min("vec").alias("vec"))
-    found = found.join(vecs, "id").join(queries.select(F.col("id").alias("query_id"), F.col("vec").alias("query")), "query_id")
+    vecs = good.groupBy("id", "name").agg(F.min("vec").alias("vec"))
+    found = found.join(vecs, ["id", "name"]).join(queries.select(F.col("id").alias("query_id"), F.col("vec").alias("query")), "query_id")
 
     def scored(batches):
         for batch in batches:
             score = exact(matrix(batch.column(2)), matrix(batch.column(3))) if len(batch) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    found = found.select("query_id", "id", "query", "vec").mapInArrow(scored, "query_id long, vec_id long, score double")
+    found = found.select("query_id", "id", F.col("query").cast(kind), "vec").mapInArrow(scored, "query_id long, vec_id long, score double")
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

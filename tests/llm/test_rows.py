@@ -248,14 +248,14 @@ def test_empty_tables(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
-def test_nearest_with_other_columns_and_every_cell(spark):
+def test_nearest_with_other_columns(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 6))
     x[200:230] = x[7]  # copies: ties go to the smaller ids
     df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
     names = ["id", "vec", "cell", "code", "name", "part", "block", "near", "rank", "score", "query_id", "nth", "cells"]
     got = {}
-    for r in ann.nearest(df.withColumns({c: F.lit("x") for c in names}), probes=ann.CELLS).collect():
+    for r in ann.nearest(df.withColumns({c: F.lit("x") for c in names})).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
     assert sorted(got) == list(range(0, 400, 20))
     hits = 0
@@ -266,3 +266,21 @@ def test_nearest_with_other_columns_and_every_cell(spark):
         ranked = [found[k] for k in range(1, 21)]
         assert ranked == sorted(ranked, key=lambda r: (-r[1], r[0]))
     assert hits >= 0.95 * 20 * len(got)
+
+
+def test_nearest_with_rows_of_one_id_and_few_groups(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERIES", 4)
+    monkeypatch.setattr(ann, "SHARD", 50)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 5)).round(1)
+    # ids repeat with other vectors and with the same one
+    rows = [(int(i), x[k].tolist()) for k, i in enumerate(rng.integers(0, 200, 300))] + [(60, x[0].tolist())] * 3
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), rerank=300).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    kinds = sorted({(i, tuple(v)) for i, v in rows})
+    for q in sorted({i for i, _ in kinds if i % 20 == 0}):
+        own = min(v for i, v in kinds if i == q)
+        score = lambda v: float(ann.exact(np.array([own]), np.array([v]))[0])
+        want = sorted((-score(v), i) for i, v in kinds if i != q)[:20]
+        assert [(v, s) for _, v, s in sorted(got[q])] == [(i, -s) for s, i in want]
