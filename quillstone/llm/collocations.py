@@ -37,7 +37,7 @@ LEAST, LONGEST, TOP, COVER = 30, 4, 2000, 80
 PART_BYTES, MEMORY = 8 << 20, "150MB"
 #: A beginning with more than this share of all places is dealt by one word more: at most so many are broadcast.
 THOUSANDTH = 1000
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Counters of the sketch that ends windows early: 2 MB of bits for the tasks, whatever the input.
 SKETCH_BITS = 24
 BREAKS = np.zeros(256, bool)
@@ -179,7 +179,7 @@ def survey(found: DataFrame, places: int, least: int, bits: int = SKETCH_BITS) -
     names = ["part", "j", "h", "m", "counts"]
 
     def run(batches):
-        powers, counters = Powers(), np.zeros(1 << bits, np.uint32)
+        powers, counters = Powers(), np.zeros(1 << bits, np.uint16 if least < 256 and bits >= 20 else np.uint64)
         for _, w, _, _, m in _read(batches, powers):
             m = m[w.row]
             for j in range(2, LONGEST + 1):
@@ -187,12 +187,12 @@ def survey(found: DataFrame, places: int, least: int, bits: int = SKETCH_BITS) -
                 h = w.h[j - 1][at]
                 first, weight = _summed(h, m[at])
                 h = h[first]
-                np.add.at(counters, (h >> U64(64 - bits)).astype(np.int64), np.minimum(weight, least).astype(np.uint32))
+                np.add.at(counters, (h >> U64(64 - bits)).astype(np.int64), np.minimum(weight, least).astype(counters.dtype))
+                np.minimum(counters, least, out=counters)
                 if j < LONGEST:
                     much = weight * 2 * THOUSANDTH >= m.sum()
                     k = int(much.sum())
                     yield pa.RecordBatch.from_arrays([pa.array(-1 - (h[much] % U64(64)).astype(np.int64)), pa.array(np.full(k, j), pa.int32()), pa.array(h[much].view(np.int64)), pa.array(weight[much], pa.int64()), pa.nulls(k, pa.binary())], names=names)
-            np.minimum(counters, least, out=counters)
         for k in range(0, 1 << bits, block):
             some = counters[k : k + block]
             if some.any():

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import Chunk, chunks, mix, small_batches
 
-LENGTH, END_ID, GROUP_DOCS = 1024, 0, 4096
+LENGTH, END_ID, GROUP_DOCS = 1024, 0, 1024
 #: A bin's free room is filled by cutting another piece only where it takes so many ids.
 LEAST_CUT = 8
 #: Segments whose ids a task keeps, and bytes that are encoded at once.
