@@ -249,11 +249,6 @@ def _last_due(dimension: DataFrame, log: DataFrame, key: str, order: list[str])
     return last.join(dimension.select(key).distinct(), key, "left_semi").select("user_id", key, "due")
 
 
-def due_items(dimension: DataFrame, log: DataFrame, key: str, today: Column, order: list[str]) -> DataFrame:
-    """Items of a user's log whose latest row's due day has come (none: due). Items never done are counted by due_counts() and listed for one user by never_done()."""
-    return _last_due(dimension, log, key, order).where(dates.is_due(F.col("due"), today))
-
-
 def due_counts(dimension: DataFrame, log: DataFrame, key: str, today: Column, order: list[str]) -> DataFrame:
     """user_id, due (items done before that are due), never (items of the dimension never done): a badge is their sum."""
     done = _last_due(dimension, log, key, order).groupBy("user_id").agg(F.count_if(dates.is_due(F.col("due"), today)).alias("due"), F.count("*").alias("_done"))

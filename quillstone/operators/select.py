@@ -10,23 +10,67 @@ from ..functions import text
 
 #: Type, number and difficulty pattern of each section that the builder fills.
 SECTIONS = [("single", 6, [1, 2, 2, 3, 2, 1]), ("multi", 6, [1, 2, 2, 3, 2, 1]), ("fill", 5, [1, 2, 2, 3, 2])]
+PICKS = sum(n for _, n, _ in SECTIONS) + 1
+
+
+#: Lists are cut at these lengths; a row goes to the first that is long enough for what its user has used.
+LEVELS = [8 * 4**k for k in range(14)]
+
+
+def _level(need: Column) -> Column:
+    """The first level that is `need` or more."""
+    return F.coalesce(*[F.when(need <= n, F.lit(n)) for n in LEVELS], F.lit(LEVELS[-1]))
 
 
 def similar(bank: DataFrame, wanted: DataFrame, counts: DataFrame, done: DataFrame, top: int = 5, seed: int = 1) -> DataFrame:
     """For each wanted question (user_id, qid) the top candidates of its topic, and one picked of them.
 
     Candidates of its type; of any type only where there are none. Variants come
-    first, then equal difficulty, then fewest attempts.
+    first, then equal difficulty, then fewest attempts, then the id.
+
+    A question's candidates are not its whole topic: of those a user never tried, the
+    order is the same for all users, so one ranked list of each topic, type and
+    difficulty serves them. With c questions of the topic done or tried, the first
+    top + c + 1 of a list hold all untried ones that can be among the top (what stands
+    before them is done, tried or the question itself). Tried ones come from the user's
+    own counts, variants by a join on their ids' beginnings.
     """
-    w = wanted.join(bank.select(F.col("id").alias("qid"), F.col("topic"), F.col("type").alias("_type"), F.col("diff").alias("_diff")), "qid")
-    c = w.join(bank.select("id", "topic", "type", "diff", "src"), "topic").where("id <> qid")
-    c = c.join(done.select("user_id", F.col("qid").alias("id")), ["user_id", "id"], "left_anti")
-    c = c.join(counts.select("user_id", F.col("qid").alias("id"), "n"), ["user_id", "id"], "left").fillna({"n": 0})
-    key = Window.partitionBy("user_id", "qid")
-    c = c.withColumn("_same", F.col("type") == F.col("_type")).withColumn("_any", F.max(F.col("_same").cast("int")).over(key)).where("_same or _any = 0")
-    variant = F.col("id").startswith(F.concat(F.lit("v-"), F.col("qid"))) | F.coalesce(F.col("src").contains("類題"), F.lit(False))
-    c = c.withColumn("rank", F.row_number().over(key.orderBy(F.desc(variant), F.desc(F.col("diff") == F.col("_diff")), "n", "id"))).where(F.col("rank") <= top)
-    pick = F.pmod(F.xxhash64(F.lit(seed), "user_id", "qid"), F.count("*").over(key)) + 1
+    b = bank.select("id", "topic", "type", "diff", "src")
+    tried = counts.where("n > 0").select("user_id", F.col("qid").alias("id"), "n").join(b, "id")
+    gone = done.select("user_id", F.col("qid").alias("id")).distinct()
+    of_topic = tried.select("user_id", "topic", "id").unionByName(gone.join(b, "id").select("user_id", "topic", "id")).distinct().groupBy("user_id", "topic").agg(F.count("*").alias("_used"))
+    of_type = gone.join(b, "id").groupBy("user_id", "topic", "type").agg(F.count("*").alias("_gone"))
+    sizes = b.groupBy("topic", "type").agg(F.count("*").alias("_size"))
+
+    w = wanted.select("user_id", "qid").distinct().join(b.select(F.col("id").alias("qid"), "topic", "type", "diff"), "qid").join(sizes, ["topic", "type"])
+    w = w.join(of_topic, ["user_id", "topic"], "left").join(of_type, ["user_id", "topic", "type"], "left").join(gone.select("user_id", F.col("id").alias("qid"), F.lit(1).alias("_self")), ["user_id", "qid"], "left")
+    others = F.col("_size") - F.coalesce("_gone", F.lit(0)) - 1 + F.coalesce("_self", F.lit(0))
+    w = w.select("user_id", "qid", "topic", F.col("type").alias("_type"), F.col("diff").alias("_diff"), (others > 0).alias("_same"), _level(top + 1 + F.coalesce("_used", F.lit(0))).alias("_level"))
+
+    # the lists: by type, and of any type (null); variants by source first, then those of the difficulty
+    of_source = F.coalesce(F.col("src").contains("類題"), F.lit(False))
+    wanted_diffs = b.select("topic", F.col("diff").alias("_diff")).distinct()
+    lists = b.withColumn("_v", of_source).withColumn("_type", F.explode(F.array(F.col("type"), F.lit(None).cast("string")))).join(wanted_diffs, "topic")
+    order = Window.partitionBy("topic", "_type", "_diff").orderBy(F.desc("_v"), F.desc(F.col("diff").eqNullSafe(F.col("_diff"))), "id")
+    lists = lists.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= LEVELS[-1]).withColumn("_level", F.explode(F.filter(F.array(*[F.lit(n) for n in LEVELS]), lambda n: n >= F.col("_r"))))
+    asked = w.select("_level", "topic", "_diff", F.when(F.col("_same"), F.col("_type")).alias("_list")).distinct()
+    lists = lists.join(asked, (lists["topic"] == asked["topic"]) & lists["_type"].eqNullSafe(asked["_list"]) & lists["_diff"].eqNullSafe(asked["_diff"]) & (lists["_level"] == asked["_level"]), "left_semi")
+    lists = lists.select(F.col("topic").alias("_topic"), F.col("_type").alias("_list"), F.col("_diff").alias("_d"), F.col("_level").alias("_l"), "id", "type", "diff", "_v")
+    key = [(F.col("topic") == F.col("_topic")), F.when(F.col("_same"), F.col("_type")).eqNullSafe(F.col("_list")), F.col("_diff").eqNullSafe(F.col("_d")), F.col("_level") == F.col("_l")]
+    names = ["user_id", "qid", "_type", "_diff", "_same", "id", "type", "diff", "_v"]
+    untried = w.join(lists, key[0] & key[1] & key[2] & key[3]).select(*names)
+    own = w.join(tried.select("user_id", "topic", "id", "type", "diff", of_source.alias("_v")), ["user_id", "topic"]).select(*names)
+    # variants are named after their question: v-<qid>...
+    base = F.substring(F.col("id").cast("string"), 3, 1 << 20)
+    made = b.where(F.col("id").cast("string").startswith("v-")).select("topic", "id", "type", "diff", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(base), F.lit(1))), lambda k: F.substring(base, F.lit(1), k))).alias("_of"))
+    named = w.join(made.select(F.col("topic").alias("_topic"), "id", "type", "diff", "_of"), (F.col("topic") == F.col("_topic")) & (F.col("qid").cast("string") == F.col("_of"))).withColumn("_v", F.lit(True)).select(*names)
+
+    c = untried.unionByName(own).unionByName(named).where("id <> qid").where((F.col("type").eqNullSafe(F.col("_type"))) | ~F.col("_same"))
+    c = c.groupBy("user_id", "qid", "_diff", "id", "diff").agg(F.bool_or("_v").alias("_v"))
+    c = c.join(gone, ["user_id", "id"], "left_anti").join(tried.select("user_id", "id", "n"), ["user_id", "id"], "left").fillna({"n": 0})
+    each = Window.partitionBy("user_id", "qid")
+    c = c.withColumn("rank", F.row_number().over(each.orderBy(F.desc("_v"), F.desc(F.col("diff") == F.col("_diff")), "n", "id"))).where(F.col("rank") <= top)
+    pick = F.pmod(F.xxhash64(F.lit(seed), "user_id", "qid"), F.count("*").over(each)) + 1
     return c.withColumn("picked", F.col("rank") == pick).select("user_id", "qid", "id", "rank", "picked")
 
 
@@ -82,53 +126,102 @@ def deduped(lists: DataFrame, by: list[str], n: int, pos: str = "pos") -> DataFr
     return g.select(*by, F.posexplode(F.slice(F.concat("_taken", rest), 1, n)).alias("rank", pos))
 
 
+#: Orders of the bank that users share by hash, and users that one group builds for.
+CLASSES, GROUP_USERS = 16, 2_000
+
+
 def build_papers(bank: DataFrame, users: DataFrame, counts: DataFrame, seed: int = 1) -> DataFrame:
     """user_id, exam_no, qid, type, diff, topic: an exam for each user by quotas and difficulty patterns.
 
-    Each pick uses up its id and group and raises its topic's use, which the next
-    pick minimises, then attempts; so picks are made in order, a user at a time.
-    The bank is cut to the least-practised candidates a user may need before that:
-    for each type, difficulty and topic no more than the quota can be taken from
-    questions of distinct groups.
+    Each pick uses up its id and group and raises its topic's use, which the next pick
+    minimises, then attempts, then a seeded order; so picks are made in order, a user at a time.
+
+    Users don't meet the whole bank. The seeded order is one of CLASSES that users share,
+    and of each type, difficulty and topic only the first groups are sent: before a pick
+    come no more groups than were used by earlier picks or tried by the user, so with t
+    questions tried the first t + PICKS groups are enough, and as many questions of each.
+    Lists are cut at LEVELS, a user's own counts say at which; tried questions come from them.
     """
-    most = max(n for _, n, _ in SECTIONS)
-    b = bank.select(F.col("id").alias("qid"), "type", "diff", "topic", F.coalesce(F.nullif("grp", F.lit("")), F.col("id")).alias("grp"))
-    pool = _pool(users, b)
-    pool = pool.join(counts, ["user_id", "qid"], "left").fillna({"n": 0}).withColumn("tie", F.xxhash64(F.lit(seed), "user_id", "qid"))
-    best = Window.partitionBy("user_id", "type", "diff", "topic", "grp").orderBy("n", "tie", "qid")
-    pool = pool.withColumn("_g", F.row_number().over(best)).where("_g = 1").drop("_g")
-    few = Window.partitionBy("user_id", "type", "diff", "topic").orderBy("n", "tie", "qid")
-    # groups may be used up by earlier sections, so allow for all picks before
-    pool = pool.withColumn("_r", F.row_number().over(few)).where(F.col("_r") <= sum(n for _, n, _ in SECTIONS) + most).drop("_r")
-    sections = SECTIONS
-
-    def build(p: pd.DataFrame) -> pd.DataFrame:
-        rows = list(p.sort_values(["n", "tie", "qid"]).itertuples(index=False))
-        ids, groups, use, out = set(), set(), {}, []
-        for kind, count, pattern in sections:
-            for k in range(count):
-                free = [r for r in rows if r.type == kind and r.qid not in ids and r.grp not in groups]
-                same = [r for r in free if r.diff == pattern[k % len(pattern)]] or free
-                if not same:
-                    break
-                r = min(same, key=lambda r: (use.get(r.topic, 0), r.n, r.tie, r.qid))
-                ids.add(r.qid)
-                groups.add(r.grp)
-                use[r.topic] = use.get(r.topic, 0) + 1
-                out.append((r.user_id, len(out) + 1, r.qid, r.type, r.diff, r.topic))
+    kinds = dict(users.dtypes) | {"qid": dict(bank.dtypes)["id"]}
+    b = bank.select(F.col("id").alias("qid"), "type", "diff", "topic", F.coalesce(F.nullif("grp", F.lit("")), F.col("id").cast("string")).alias("grp"))
+    u = users.select("user_id").distinct().withColumn("_class", F.pmod(F.xxhash64(F.lit(seed), "user_id"), F.lit(CLASSES)).cast("int"))
+    blocks = max(1, -(-u.count() // (CLASSES * GROUP_USERS)))
+    u = u.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), "user_id"), F.lit(blocks)).cast("int"))
+    tie = lambda d: d.withColumn("tie", F.xxhash64(F.lit(seed), "_class", "qid"))
+    tried = tie(counts.where("n > 0").join(b, "qid").join(u, "user_id")).select("user_id", "qid", "n", "type", "diff", "topic", "grp", "tie")
+    u = u.join(tried.groupBy("user_id").agg(F.count("*").alias("_t")), "user_id", "left").withColumn("_level", _level(F.coalesce("_t", F.lit(0)) + PICKS)).drop("_t")
+
+    cell = ["_class", "type", "diff", "topic"]
+    l = tie(b.withColumn("_class", F.explode(F.sequence(F.lit(0), F.lit(CLASSES - 1)))))
+    l = l.withColumn("_nth", F.row_number().over(Window.partitionBy(*cell, "grp").orderBy("tie", "qid"))).where(F.col("_nth") <= LEVELS[-1])
+    first = l.where("_nth = 1").withColumn("_g", F.row_number().over(Window.partitionBy(*cell).orderBy("tie", "qid"))).where(F.col("_g") <= LEVELS[-1])
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*cell, "grp")]
+    l = l.alias("a").join(first.select(*cell, "grp", "_g").alias("b"), same[0] & same[1] & same[2] & same[3] & same[4]).select("a.*", "b._g")
+    asked = u.select(*[F.col(c).alias(c) for c in ("_class", "_level", "_block")]).distinct()  # a row for each group
+    l = l.join(F.broadcast(asked), "_class").where(F.greatest("_nth", "_g") <= F.col("_level"))
+
+    def build(listed: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        cells, by_kind = {}, {}
+        for r in listed.sort_values(["tie", "qid"]).itertuples(index=False):
+            cells.setdefault((r.type, r.diff, r.topic), []).append((r.tie, r.qid, r.grp))
+        for k in cells:
+            by_kind.setdefault(k[0], []).append(k)
+        out = []
+        for user, rows in own.groupby("user_id", sort=True):
+            rows = rows[rows["qid"].notna()]
+            used, mine = set(rows["qid"]), {}
+            for r in rows.sort_values(["n", "tie", "qid"]).itertuples(index=False):
+                mine.setdefault((r.type, r.diff, r.topic), []).append((r.n, r.tie, r.qid, r.grp))
+            kinds_of = {k: list(dict.fromkeys(by_kind.get(k, []) + [x for x in mine if x[0] == k])) for k, _, _ in SECTIONS}
+            ids, groups, use, at, no = set(), set(), {}, {}, 0
+            for kind, count, pattern in SECTIONS:
+                for k in range(count):
+                    best = None
+                    for same in (True, False):
+                        for c in kinds_of[kind]:
+                            if same and c[1] != pattern[k % len(pattern)]:
+                                continue
+                            pos, items = at.get(c, 0), cells.get(c, [])
+                            # what is used or tried stays so, so a place never moves back
+                            while pos < len(items) and (items[pos][1] in used or items[pos][1] in ids or items[pos][2] in groups):
+                                pos += 1
+                            at[c] = pos
+                            if pos < len(items):
+                                found = (0, *items[pos])
+                            else:
+                                found = next((x for x in mine.get(c, []) if x[2] not in ids and x[3] not in groups), None)
+                            if found:
+                                rank = (use.get(c[2], 0), *found[:3])
+                                if best is None or rank < best[0]:
+                                    best = (rank, c, found)
+                        if best:
+                            break
+                    if not best:
+                        break
+                    _, c, found = best
+                    no += 1
+                    ids.add(found[2])
+                    groups.add(found[3])
+                    use[c[2]] = use.get(c[2], 0) + 1
+                    out.append((user, no, found[2], *c))
         return pd.DataFrame(out, columns=["user_id", "exam_no", "qid", "type", "diff", "topic"])
 
-    kinds = dict(pool.dtypes)
-    return pool.groupBy("user_id").applyInPandas(build, f"user_id {kinds['user_id']}, exam_no int, qid {kinds['qid']}, type string, diff int, topic string")
-
-
-def _pool(users: DataFrame, bank: DataFrame) -> DataFrame:
-    """Every user with every question, in the bank's partitions: the builder ranks them all."""
-    return users.select("user_id", F.lit(1).alias("_one")).join(bank.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    on = ["_class", "_level", "_block"]
+    own = u.join(tried, "user_id", "left")
+    listed = l.select(*on, "qid", "type", "diff", "topic", "grp", "tie")
+    return listed.groupBy(*on).cogroup(own.groupBy(*on)).applyInPandas(build, f"user_id {kinds['user_id']}, exam_no int, qid {kinds['qid']}, type string, diff int, topic string")
 
 
 def rotated_group(groups: DataFrame, last: DataFrame, seed: int = 1) -> DataFrame:
-    """A shared-stem group for each user, another than the last one's if there is another."""
-    j = last.join(groups.withColumn("_one", F.lit(1)), F.lit(1) == F.col("_one")).drop("_one")
-    w = Window.partitionBy("user_id").orderBy(F.coalesce(F.col("group_id") == F.col("last_group"), F.lit(False)), F.xxhash64(F.lit(seed), "user_id", "group_id"))
-    return j.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("user_id", "group_id")
+    """A shared-stem group for each user, another than the last one's if there is another.
+
+    Two neighbours in a seeded ring of groups are enough: a user takes the first, or the
+    second if the first was the last one's.
+    """
+    n = groups.select("group_id").distinct().count()
+    if not n:
+        return last.select("user_id", F.lit(None).cast(dict(groups.dtypes)["group_id"]).alias("group_id")).where("false")
+    ring = groups.select("group_id").distinct().withColumn("_at", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "group_id"), "group_id")) - 1)  # a dimension of stems
+    want = last.select("user_id", "last_group", F.explode(F.array(F.lit(0), F.lit(1))).alias("_try")).withColumn("_at", F.pmod(F.xxhash64(F.lit(seed), "user_id") + F.col("_try"), F.lit(n)))
+    j = want.join(ring, "_at").withColumn("_same", F.coalesce(F.col("group_id") == F.col("last_group"), F.lit(False)))
+    return j.groupBy("user_id").agg(F.min_by("group_id", F.struct("_same", "_try")).alias("group_id"))

@@ -22,14 +22,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
+def query_in(queries: dict, sqls: dict):
+    """A decorator that registers a query in these two, with its SQL if there is one."""
 
-    return add
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                sqls[f.__name__] = sql
+            return f
+
+        return add
+
+    return query
+
+
+query = query_in(QUERIES, ORACLE_SQL)
 
 
 def micro(c):
@@ -138,12 +146,6 @@ def _due_log(spark, sf_dir):
     return attempts(spark, sf_dir).select("user_id", "qid", "ts", "seq", F.when(F.col("seq") % 4 != 0, F.date_add("d", 2)).alias("due"))
 
 
-@query(A + f", {DUE} select user_id, qid, cast(due as varchar) as due from l where (due is null or due <= date '{TODAY}') and qid in (select qid from b)")
-def due_queue(spark, sf_dir):
-    due = analytics.due_items(bank(spark, sf_dir), _due_log(spark, sf_dir), "qid", F.lit(TODAY).cast("date"), ["ts", "seq"])
-    return due.withColumn("due", F.col("due").cast("string"))
-
-
 @query(A + f", {DUE}, k as (select * from l where qid in (select qid from b)) select user_id, count(*) filter (where due is null or due <= date '{TODAY}') as due, (select count(*) from b) - count(*) as never from k group by user_id")
 def due_badges(spark, sf_dir):
     return analytics.due_counts(bank(spark, sf_dir), _due_log(spark, sf_dir), "qid", F.lit(TODAY).cast("date"), ["ts", "seq"])
@@ -539,5 +541,5 @@ def batch_levels(spark, sf_dir):
 
 
 #: Names by which the same queries were known while the plain names read a part.
-for _name in ("due_queue", "rate_limiter", "merge_tombstone", "union_distinct", "grid_candidates"):
+for _name in ("rate_limiter", "merge_tombstone", "union_distinct", "grid_candidates"):
     QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"] = QUERIES[_name], ORACLE_SQL[_name]

@@ -5,7 +5,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from quillstone.operators import limiter
-from quillstone.plans import practice
+from quillstone.plans import learning, practice
 
 from test_queries import SF
 
@@ -29,17 +29,19 @@ def test_rate_limiter_all(spark):
     assert got == want and len(got) == len(a)
 
 
-def test_due_queue_all(spark):
-    """Brute force: every user and item, done or not."""
-    bank = {r["qid"] for r in practice.bank(spark, SF).collect()}
+def test_due_queue(spark):
+    """Brute force: every learner and item, done or not."""
+    bank = sorted(r["qid"] for r in practice.bank(spark, SF).collect())
+    users = [r["c_custkey"] for r in practice.read(spark, SF, "customer").collect()]
     last = {}
     for r in sorted(practice._due_log(spark, SF).collect(), key=lambda r: (r["ts"], r["seq"])):
         last[r["user_id"], r["qid"]] = r["due"]
-    due = {(u, q) for (u, q), d in last.items() if q in bank and (d is None or str(d) <= practice.TODAY)}
-    assert {(r["user_id"], r["qid"]) for r in practice.QUERIES["due_queue_all"](spark, SF).collect()} == due
+    due = {(u, q) for u in users for q in bank if (u, q) not in last or last[u, q] is None or str(last[u, q]) <= practice.TODAY}
+    got = {(r["user_id"], bank[k]) for r in learning.QUERIES["due_queue"](spark, SF).collect() for k in range(r["low"], r["high"] + 1)}
+    assert got == due and any(u not in {x for x, _ in last} for u, _ in due)
     for r in practice.QUERIES["due_badges"](spark, SF).collect():
         u = r["user_id"]
-        assert r["due"] == sum(x == u for x, _ in due) and r["never"] == sum((u, q) not in last for q in bank)
+        assert r["never"] == sum((u, q) not in last for q in bank) and (u not in users or r["due"] + r["never"] == sum(x == u for x, _ in due))
 
 
 def test_build_paper_uses_every_id(spark, tmp_path):
