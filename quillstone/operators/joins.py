@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import spatial
+
 
 def lookup(facts: DataFrame, dimension: DataFrame, key: str, drop_misses: bool = False, defaults: dict | None = None) -> DataFrame:
     """facts with the dimension's columns; misses go, or get defaults."""
@@ -53,23 +55,48 @@ def step_lookup(facts: DataFrame, steps: DataFrame, value: str, least: str, by:
     return joined.select(*facts.columns, *[hit[c].alias(c) for c in steps.columns])
 
 
+def nearest_asof(events: DataFrame, logs: DataFrame, by: list[str], at: str, log_at: str, tie: str, tolerance=None, chunk: int | None = None) -> DataFrame:
+    """Each event with its nearest log of the same `by` (ties: the smaller tie column); events without one go.
+
+    Both sides are united and sorted by time in one shuffle, and each event takes the
+    last log before it and the first one after it. With `chunk`, time is cut in pieces of
+    that width, so that a user with much of all rows is many tasks' work: what crosses a
+    border comes from a table with a row for each piece. Null times and keys match nothing.
+    """
+    keys = [*by, "_c"] if chunk else by
+    piece = lambda c: F.floor(F.col(c) / chunk) if chunk else F.lit(0)
+    log = F.struct(F.col(log_at).alias("t"), F.col(tie).alias("k"), F.struct(*[c for c in logs.columns if c not in by]).alias("r"))
+    l = logs.where(F.col(log_at).isNotNull()).select(*by, piece(log_at).alias("_c"), F.col(log_at).alias("_t"), F.lit(0).alias("_e"), log.alias("_l"))
+    event = F.struct(*[c for c in events.columns if c not in by])
+    e = events.where(F.col(at).isNotNull()).select(*by, piece(at).alias("_c"), F.col(at).alias("_t"), F.lit(1).alias("_e"), event.alias("_v"))
+    u = l.unionByName(e, allowMissingColumns=True)
+    for c in by:
+        u = u.where(F.col(c).isNotNull())
+    so_far = lambda *order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    u = u.withColumn("_before", F.last("_l", True).over(so_far("_t", "_e", F.desc("_l.k")))).withColumn("_after", F.last("_l", True).over(so_far(F.desc("_t"), "_e", F.desc("_l.k"))))
+    found, near = u.where("_e = 1"), [F.col("_before"), F.col("_after")]
+    if chunk:
+        first = u.where("_e = 0").groupBy(*keys).agg(F.min(F.struct("_l.t", "_l.k", "_l"))["_l"].alias("_first"), F.min(F.struct((-F.col("_l.t")).alias("t"), "_l.k", "_l"))["_l"].alias("_last"))
+        pieces = u.select(*keys).distinct().join(first, keys, "left")
+        earlier = lambda o: Window.partitionBy(*by).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+        pieces = pieces.select(*keys, F.last("_last", True).over(earlier(F.asc("_c"))).alias("_prev"), F.last("_first", True).over(earlier(F.desc("_c"))).alias("_next"))
+        found, near = found.join(pieces, keys, "left"), [*near, F.col("_prev"), F.col("_next")]
+    ranked = F.filter(F.array(*[F.when(c.isNotNull(), F.struct(F.abs(c["t"] - F.col("_t")).alias("d"), c["k"].alias("k"), c.alias("l"))) for c in near]), lambda x: x.isNotNull())
+    found = found.withColumn("_n", F.array_min(ranked)).where("_n is not null")
+    if tolerance is not None:
+        found = found.where(F.col("_n.d") <= tolerance)
+    names = [c for c in logs.columns if c not in by and c not in events.columns]
+    return found.select(*by, *[F.col("_v")[c].alias(c) for c in events.columns if c not in by], *[F.col("_n.l.r")[c].alias(c) for c in names])
+
+
 def nearest_within(events: DataFrame, logs: DataFrame, by: list[str], at: str, log_at: str, tolerance: int, tie: str) -> DataFrame:
-    """For each event the nearest log within the tolerance (ties: the earlier tie column). Buckets of the tolerance's width keep it an equi-join."""
-    e = events.withColumn("_b", F.explode(F.array(*[F.floor(F.col(at) / tolerance) + k for k in (-1, 0, 1)])))
-    l = logs.withColumn("_b", F.floor(F.col(log_at) / tolerance))
-    j = e.join(l, [*by, "_b"]).where(F.abs(F.col(at) - F.col(log_at)) <= tolerance)
-    w = Window.partitionBy(*by, at).orderBy(F.abs(F.col(at) - F.col(log_at)), tie)
-    return j.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_b")
-
-
-def grid_candidates(boxes: DataFrame, points: DataFrame, radius: str, cells: int = 40) -> DataFrame:
-    """Pairs of boxes (x, y, radius) and points (px, py) nearer than the radius, by an equi-join on grid cells."""
-    from ..functions.scoring import grid_cell
-
-    span = lambda c: F.sequence(grid_cell(F.col(c) - F.col(radius), cells), grid_cell(F.col(c) + F.col(radius), cells))
-    b = boxes.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
-    p = points.withColumn("cx", grid_cell(F.col("px"), cells)).withColumn("cy", grid_cell(F.col("py"), cells))
-    return b.join(p, ["cx", "cy"]).where(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")) <= F.col(radius)).drop("cx", "cy")
+    """For each event the nearest log within the tolerance (ties: the earlier tie column)."""
+    return nearest_asof(events, logs, by, at, log_at, tie, tolerance)
+
+
+def grid_candidates(boxes: DataFrame, points: DataFrame, radius: str) -> DataFrame:
+    """Pairs of boxes (x, y, radius) and points (px, py) nearer than the radius; cells adapt to where points are."""
+    return spatial.in_boxes(boxes, points, radius)
 
 
 def audit_changed(items: DataFrame, audits: DataFrame) -> DataFrame:

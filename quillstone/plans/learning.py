@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import analytics, due, select
-from .practice import A, DUE, TODAY, _due_log, attempts, bank, query_in, read
+from ..operators import analytics, due, joins, select
+from .practice import A, DUE, TODAY, _due_log, _epoch_ms, attempts, bank, query_in, read
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -70,3 +70,12 @@ def similar_to_missed(spark, sf_dir):
     items = bank(spark, sf_dir).select(F.col("qid").alias("id"), "topic", "type", "diff", F.lit(None).cast("string").alias("src"))
     solved = a.where("ok and seq % 3 = 0").select("user_id", "qid").distinct()
     return select.similar(items, a.where("not ok").select("user_id", "qid").distinct(), analytics.attempt_counts(a), solved).select("user_id", "qid", "id", "rank")
+
+
+@query(A + ", e as (select user_id, seq, (epoch_us(ts) // 1000) as at from a where mode = 'purchase'), l as (select user_id, seq as log, (epoch_us(ts) // 1000) as lt from a where mode = 'view'), j as (select e.user_id, e.seq, log, lt - e.at as off, row_number() over (partition by e.user_id, e.seq order by abs(e.at - lt), log) as n from e join l on e.user_id = l.user_id) select user_id, seq, log, off from j where n = 1")
+def nearest_log_any(spark, sf_dir):
+    """Each purchase with the nearest view of its user, however far: pieces of a day keep busy users apart."""
+    a = attempts(spark, sf_dir).withColumn("at", _epoch_ms(F.col("ts")))
+    logs = a.where("mode = 'view'").select("user_id", F.col("seq").alias("log"), F.col("at").alias("lt"))
+    found = joins.nearest_asof(a.where("mode = 'purchase'").select("user_id", "seq", "at"), logs, ["user_id"], "at", "lt", "log", chunk=86_400_000)
+    return found.select("user_id", "seq", "log", (F.col("lt") - F.col("at")).alias("off"))
