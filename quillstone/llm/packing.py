@@ -10,8 +10,9 @@ bins left with room for LEAST_CUT ids or more are filled with parts of the empti
 ones, and the one bin that stays open is cut at powers of two, which need no padding.
 
 Texts are tokenized in segments: a text may be cut before a single space between two
-characters that are no white space, as no token of a byte-level vocabulary spans such
-a place. Distinct segments are encoded once a task and kept for later batches.
+characters that are no white space, and between a letter and a sign, as no token of the
+vocabulary spans such a place. Distinct segments are encoded once and kept by the worker
+for later batches and tasks.
 
 Cases: a null text is an empty one and has the ending id alone. A null id, repeated
 rows and ids, and ties are rows like others; each row's ids are packed. Very long
@@ -37,8 +38,12 @@ from .common import Chunk, chunks, mix, small_batches
 LENGTH, END_ID, GROUP_DOCS = 1024, 0, 1024
 #: A bin's free room is filled by cutting another piece only where it takes so many ids.
 LEAST_CUT = 8
-#: Segments whose ids a task keeps, and bytes that are encoded at once.
-KEPT_SEGMENTS, ENCODED_AT_ONCE = 400_000, 1 << 18
+#: Segments whose ids a worker keeps, and bytes that are encoded at once.
+KEPT_SEGMENTS, ENCODED_AT_ONCE = 800_000, 1 << 18
+LETTERS, SIGNS = np.zeros(256, bool), np.zeros(256, bool)
+LETTERS[65:91] = LETTERS[97:123] = True
+#: Not the apostrophe, which begins endings of words, nor |, which stands within names of special tokens.
+SIGNS[[ord(c) for c in '!"#$%&()*+,-./:;<=>?@[\\]^_`{}~']] = True
 SCHEMA = "doc_id {0}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -119,14 +124,16 @@ def filled(bins: list[list[int]], lengths: np.ndarray, room: int, least: int = L
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """The tokenizer, bytes of each id, and ids of the segments met so far."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel unit
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
+    kept: dict[bytes, bytes] = {}
     # in a byte-level vocabulary a token's text has one character for each of its bytes
-    return t, np.array([len(t.id_to_token(i) or "") for i in range(t.get_vocab_size())], np.int64)
+    return t, np.array([len(t.id_to_token(i) or "") for i in range(t.get_vocab_size())], np.int64), kept
 
 
 def _inside(b: np.ndarray) -> np.ndarray:
@@ -138,8 +145,7 @@ class Encoder:
     """Ids of the texts of a chunk, equal to those of each whole text; distinct segments are encoded once."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.bytes_of = _tokenizer(path)
-        self.kept: dict[bytes, bytes] = {}
+        self.tokenizer, self.bytes_of, self.kept = _tokenizer(path)
         self.kind = np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32
 
     def _cuts(self, chunk: Chunk) -> np.ndarray:
@@ -150,6 +156,9 @@ class Encoder:
         # the second byte of a letter up to U+07FF; 85 and A0 after C2 are white space
         good = (_inside(before) & (before < 127) | (before >= 0x80) & (before < 0xC0) & (lead >= 0xC3) & (lead < 0xE0)) & _inside(data[space + 1])
         cut[space[good]] = True
+        sign = np.flatnonzero(SIGNS[data[2:]]) + 2 if n > 2 else np.zeros(0, np.int64)
+        before, lead = data[sign - 1], data[sign - 2]
+        cut[sign[LETTERS[before] | (lead == 0xC3) & (before != 0x97) & (before != 0xB7)]] = True  # U+00C0 to U+00FF but for the two signs
         cut[chunk.off] = True
         return np.flatnonzero(cut)
 
@@ -183,12 +192,12 @@ class Encoder:
         distinct = segments.dictionary.to_pylist()
         if len(self.kept) + len(distinct) > KEPT_SEGMENTS:
             self.kept.clear()
-        # texts begin with no space, so joined they may melt into others: they are encoded alone
+        # others than words with their spaces may melt into what stands beside them: they are encoded alone
         new = [x for x in distinct if x not in self.kept]
         self._encode([x for x in new if self._apart(x)])
-        for x in new:
-            if x not in self.kept:
-                self.kept[x] = np.array(self.tokenizer.encode_batch_fast([x.decode()], add_special_tokens=False)[0].ids, np.int64).astype(self.kind).tobytes()
+        alone = [x for x in new if x not in self.kept]
+        for x, ids in zip(alone, self.tokenizer.encode_batch_fast([x.decode() for x in alone], add_special_tokens=False)):
+            self.kept[x] = np.array(ids.ids, np.int64).astype(self.kind).tobytes()
         found = [self.kept[x] for x in distinct]
         flat = np.frombuffer(b"".join(found), self.kind)
         n = np.array([len(x) for x in found], np.int64) // np.dtype(self.kind).itemsize
