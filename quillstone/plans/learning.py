@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analytics, due, joins, select
-from .practice import A, DUE, TODAY, _due_log, _epoch_ms, attempts, bank, query_in, read
+from ..sources import requests
+from .practice import A, DUE, TODAY, _due_log, _epoch_ms, attempts, bank, query_in, read, scratch
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -79,3 +80,24 @@ def nearest_log_any(spark, sf_dir):
     logs = a.where("mode = 'view'").select("user_id", F.col("seq").alias("log"), F.col("at").alias("lt"))
     found = joins.nearest_asof(a.where("mode = 'purchase'").select("user_id", "seq", "at"), logs, ["user_id"], "at", "lt", "log", chunk=86_400_000)
     return found.select("user_id", "seq", "log", (F.col("lt") - F.col("at")).alias("off"))
+
+
+@query("select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey > 100")
+def paged_all(spark, sf_dir):
+    """All pages of a table together, by ranges of the key, with the filter in the requests."""
+    requests.register(spark)
+    pages = spark.read.format("key_pages").option("path", f"{sf_dir}/orders.parquet").option("key", "o_orderkey").load()
+    return pages.where("o_orderkey > 100").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("select event_id, user_id, event_type from events")
+def batched_upload(spark, sf_dir):
+    """Every event sent in requests of 80 rows, and read again from those that count."""
+    requests.register(spark)
+    path = scratch(spark, "requests")
+    log = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    log.write.format("request_batches").mode("append").option("path", path).save()
+    most = requests.requests_sent(spark, path).agg(F.max("n")).first()[0]
+    if most is not None and most > requests.SIZE:
+        raise ValueError(f"a request of {most} rows")
+    return requests.rows_sent(spark, path, "event_id long, user_id long, event_type string").drop("manifest")

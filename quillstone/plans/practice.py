@@ -6,6 +6,9 @@ items, customer learners, conversations logs, pages untrusted markup.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; a session without one is taken for a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(base or f'/tmp/quillstone-scratch-{os.getpid()}').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def query_in(queries: dict, sqls: dict):
     """A decorator that registers a query in these two, with its SQL if there is one."""
 

@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming import journal
-from .practice import A, attempts_of
-
-
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one; a session without one is taken for a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(base or f'/tmp/quillstone-streams-{os.getpid()}').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from .practice import A, attempts_of, scratch
 
 
 def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,7 +16,7 @@ def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
-    return journal.run_available(stream, _scratch(spark, "stream"), mode, _scratch(spark, "checkpoint"), key)
+    return journal.run_available(stream, scratch(spark, "stream"), mode, scratch(spark, "checkpoint"), key)
 
 
 def _utc(ts: str):
