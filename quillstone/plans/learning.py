@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analytics, due, joins, select
-from ..sources import requests
+from ..sources import indexed, requests
 from .practice import A, DUE, TODAY, _due_log, _epoch_ms, attempts, bank, query_in, read, scratch
 
 QUERIES: dict = {}
@@ -101,3 +101,13 @@ def batched_upload(spark, sf_dir):
     if most is not None and most > requests.SIZE:
         raise ValueError(f"a request of {most} rows")
     return requests.rows_sent(spark, path, "event_id long, user_id long, event_type string").drop("manifest")
+
+
+@query("select event_id, user_id, event_type, true as skipped from events where user_id in (3, 57, 107) and event_type = 'error'")
+def indexed_lookup(spark, sf_dir):
+    """Errors of three users from an indexed log; whether the lookup read less than half of it."""
+    path = scratch(spark, "indexed")
+    log = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    indexed.write_indexed(log, path, ["user_id", "event_id"], ["event_type"], ndv=16, files=16)
+    found = indexed.lookup(spark, path, user_id=[3, 57, 107], event_type=["error"])
+    return found.withColumn("skipped", F.lit(indexed.rows_scanned(found) * 2 < spark.read.parquet(path).count()))

@@ -291,10 +291,13 @@ def strip_tags(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.md5(text.strip_tags(F.col("html")).cast("binary")).alias("t"))
 
 
-@query("with s as (select distinct coalesce(nullif(source, ''), 'unknown') as src, count(*) as n from documents group by 1), r as (select *, row_number() over (order by src) as k from s) select src, n, lpad(cast(k as varchar), 2, '0') || '-' || substr(lower(src), 1, 28) || '-' || substr(sha256(src), 1, 8) || '.json' as file from r")
+@query("""with i as (select coalesce(nullif(source, ''), 'unknown') as src, sha256('s' || length(cast(doc_id as varchar)) || ':' || doc_id || case when text is null then 'n' else 's' || length(text) || ':' || text end) as h from documents),
+l as (select src, h[1:4] as k, sha256(string_agg(h, '' order by h)) as d, count(*) as n from i group by all), b as (select src, k[1:2] as k, sha256(string_agg(k || d, '' order by k || d)) as d, sum(n) as n from l group by src, l.k[1:2]),
+t as (select src, sha256(string_agg(k || d, '' order by k || d)) as sha256, sum(n)::bigint as n from b group by src), r as (select *, row_number() over (order by src) as nth from t)
+select src, n, lpad(cast(nth as varchar), 2, '0') || '-' || substr(lower(src), 1, 28) || '-' || substr(sha256(src), 1, 8) || '.json' as file, sha256 from r""")
 def pack_split_hash(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("q"), F.col("source").alias("src"))
-    return stores.source_packs(d).select("src", "n", "file")
+    return stores.source_packs(d)
 
 
 STROKES = "s as (select user_id, event_id as id, (epoch_us(ts) // 1000) as t0, (epoch_us(ts) // 1000) + cast(floor(value * 1000) as bigint) as t1 from events)"

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text
+from ..operators.due import dense_index
 
 SECRET_FIELDS = ["aikey", "aikeyTs"]
 
@@ -146,12 +147,33 @@ def revoked(local: DataFrame, manifest: DataFrame) -> DataFrame:
     return local.where("curated").join(manifest.select(F.col("id").alias("pack_id")), "pack_id", "left_anti")
 
 
+#: Hex digits of an item's hash that name its leaf, and of a leaf's that name its branch.
+LEAF, BRANCH = 4, 2
+
+
+def content_digest(items: DataFrame, by: list[str], *columns: str) -> DataFrame:
+    """by, n, sha256: a digest of each group's rows that doesn't depend on their order or on partitions.
+
+    A tree of hashes: rows' hashes are dealt to leaves by their first digits, and a leaf is
+    the hash of its sorted row hashes, a branch that of its sorted leaves, the digest that of
+    its branches. No array holds more than the hashes of a leaf, one in 65,536 of a group's
+    rows, and a large group's leaves are many tasks' work. Equal rows count each; a null
+    and an empty text are different.
+    """
+    field = lambda c: F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")))
+    rows = items.select(*by, F.sha2(F.concat(*[field(c) for c in columns]), 256).alias("_h"))
+    level = lambda d, key, n: d.groupBy(*by, *key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("_d"), F.sum(n).alias("n"))
+    leaves = level(rows.withColumn("_k", F.substring("_h", 1, LEAF)), ["_k"], F.lit(1))
+    named = lambda d: d.withColumn("_h", F.concat("_k", "_d"))
+    branches = level(named(leaves).withColumn("_b", F.substring("_k", 1, BRANCH)), ["_b"], F.col("n"))
+    return level(named(branches.withColumnRenamed("_b", "_k")), [], F.col("n")).select(*by, F.col("n").cast("long").alias("n"), F.col("_d").alias("sha256"))
+
+
 def source_packs(accepted: DataFrame, default: str = "unknown") -> DataFrame:
-    """src, n, file, sha256 of each source's accepted items: what a manifest lists."""
+    """src, n, file, sha256 of each source's accepted items: what a manifest lists, files numbered in order of sources."""
     src = F.coalesce(F.nullif("src", F.lit("")), F.lit(default))
-    g = accepted.groupBy(src.alias("src")).agg(F.count("*").alias("n"), F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("id", "q")))), 256).alias("sha256"))
-    w = Window.orderBy("src")
-    return g.withColumn("file", text.file_name(F.col("src"), F.row_number().over(w) - 1))
+    g = content_digest(accepted.select(src.alias("src"), "id", "q"), ["src"], "id", "q")
+    return g.join(dense_index(g, "src"), "src").select("src", "n", text.file_name(F.col("src"), F.col("idx")).alias("file"), "sha256")
 
 
 def write_packs(accepted: DataFrame, path: str, default: str = "unknown") -> None:
