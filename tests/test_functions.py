@@ -104,3 +104,23 @@ def test_dates(spark):
     assert one(spark, dates.is_due(F.lit(None).cast("date"), F.lit("2026-01-01").cast("date"))) is True
     assert one(spark, dates.display_day(F.lit("x"), F.lit(0), F.lit(1767225600000))) == "2026-01-01"
     assert one(spark, dates.clock_text(F.lit(61500))) == "01:01" and one(spark, dates.duration_text(F.lit(61500))) == "1分2秒"
+
+
+def test_raised_and_lowered_signs():
+    raised = {"⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿⁱ": "0123456789+-=()ni", "ᴬᴮᴰᴱᴳᴴᴵᴶᴷᴸᴹᴺᴼᴾᴿᵀᵁⱽᵂ": "ABDEGHIJKLMNOPRTUVW", "ᵃᵇᶜᵈᵉᶠᵍʰʲᵏˡᵐᵒᵖʳˢᵗᵘᵛʷˣʸᶻ": "abcdefghjklmoprstuvwxyz"}
+    for signs, plain in raised.items():
+        assert text.unicode_formula("x" + signs) == f"x<sup>{plain}</sup>" and text.unicode_formula(f"\\(x{signs}\\)") == f"\\(x^{{{plain}}}\\)"
+    assert text.unicode_formula("a₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎") == "a<sub>0123456789+-=()</sub>"
+    assert text.unicode_formula("ªºₐ") == "ªºₐ"  # ordinals, and letters below, are text
+
+
+def test_marks_and_symbols():
+    for mark, command in text.MARKS.items():
+        assert text.unicode_formula(f"z{mark}") == f"\\(\\{command}{{z}}\\)" and text.unicode_formula(f"\\(σ{mark}\\)") == f"\\(\\{command}{{σ}}\\)"
+    assert text.unicode_formula("x̌中̄") == "x̌中̄"
+    for c in "αωςΓΩΑΧϑϕϖϵϱϰϒµ≤≥≠≈≅≡≦≧≲≳≪≫≺≻∼≒≐⩽⩾±∓∈∉∋∌⊂⊃⊆⊇⊄⊅⊊⊋∩∪∅∖∧∨¬∀∃∴∵⇒⇔⟹⟺⇐⇑⇓⇕↔↕↦⟶⟵←↑↓↗↘↙↖∠∡∟⊾⊿⊥∥∦∣▱⌒∑∏∫∬∭∮∂∇∆∞∝∘⊕⊗⊙⋅⋆⋯⋮⋰⋱′″‴‵⁗½⅓¼¾⅞⅒⅟↉ℝℤℚℕℂℍℙℓℵ℘ℑℜℏⅆⅇⅈℋℒℱℬℰℳⅉ∛∜‖∎∙∗⨯∕⁄⌊⌋⌈⌉⟨⟩‰‱≔⊈⊉⋃⋂∁⊻∄⟸⊤⊢⊨∶∷⋚≮≯∐∯⨌⨁⇏⇎↛↺↻⇄∢⦜⟂▭◊⌢⏜⌀⬠⬡⟦⟧⏢⎧⎨⎩⎡⎣⎛⎝":
+        assert text.unicode_formula(f"a{c}b") == f"a\\({c}\\)b", c
+    for c in "→√×÷°−①✓○…·Ⅰ⚡□△+=<>|~中é":
+        assert text.unicode_formula(f"a {c} b") == f"a {c} b", c
+    assert text.unicode_formula("α≤β \\(α≤β\\)") == "\\(α≤β\\) \\(α≤β\\)"
+    assert text.unicode_formula("v→ AB→C xyz→, ABCD→ é→") == "\\(\\overrightarrow{v}\\) AB→C \\(\\overrightarrow{xyz}\\), A\\(\\overrightarrow{BCD}\\) é→"
