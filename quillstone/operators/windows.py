@@ -79,8 +79,8 @@ def previous(df: DataFrame, by: list[str], order: list[str], column: str, name:
 
 
 def last_value(logs: Column, field: str) -> Column:
-    """The last non-null field of an array of structs."""
-    return F.element_at(F.filter(F.transform(logs, lambda x: x[field]), lambda v: v.isNotNull() & (v != "")), -1)
+    """The last non-empty field of an array of structs; null if there is none."""
+    return F.try_element_at(F.filter(F.transform(logs, lambda x: x[field]), lambda v: v.isNotNull() & (v != "")), F.lit(-1))
 
 
 def running_number(df: DataFrame, by: list[str], order: list[str], name: str = "no") -> DataFrame:
