@@ -440,7 +440,13 @@ def rate_limiter(spark, sf_dir):
     return r.select("user_id", "seq", "allowed", F.col("requests").cast("long").alias("requests"), F.col("weight_used").cast("long").alias("weight_used"))
 
 
-@query()
+@query("""with recursive p as (select page_id % 5 as list, page_id as pos, array_to_string(string_split(url, '/')[1:3], '/') as k, lower(regexp_replace(regexp_replace(regexp_replace(url, '<[^>]+>', '', 'g'), '[0-9]+', '#', 'g'), '\\s+', '', 'g')) as s, row_number() over (partition by page_id % 5 order by page_id) as i from pages),
+r as (select distinct list, 0::bigint as i, []::varchar[] as ks, []::varchar[] as ss, []::bigint[] as taken from p
+ union all select list, i, case when ok then list_append(ks, k) else ks end, case when ok then list_append(ss, s) else ss end, case when ok then list_append(taken, pos) else taken end
+ from (select r.list, p.i, r.ks, r.ss, r.taken, p.k, p.s, p.pos, len(r.taken) < 12 and not list_contains(r.ks, p.k) and not (length(p.s) >= 12 and list_contains(r.ss, p.s)) as ok from r join p on p.list = r.list and p.i = r.i + 1)),
+l as (select list, arg_max(taken, i) as taken from r group by list), f as (select l.list, taken, list(pos order by pos) filter (where not list_contains(taken, pos)) as rest from l join p using (list) group by all),
+o as (select list, (taken || coalesce(rest, []))[1:12] as picked from f)
+select list, unnest(range(0, len(picked)))::int as rank, unnest(picked) as pos from o""")
 def greedy_dedupe(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select((F.col("page_id") % 5).alias("list"), F.col("page_id").alias("pos"), F.col("page_id").cast("string").alias("id"), F.col("url").alias("q"), F.lit(None).cast("string").alias("src"), F.substring_index("url", "/", 3).alias("grp"))
     return select.deduped(p, ["list"], 12)
