@@ -84,6 +84,10 @@ def labelled(each: int = 300, seed: int = 11) -> list[tuple[str, str]]:
     return out
 
 
+#: Runs that are left when a step for all of them is no longer worth it.
+FEW = 32
+
+
 class Automaton:
     """A probabilistic automaton from a sample, by state merging."""
 
@@ -163,16 +167,23 @@ class Automaton:
                     self.child[a][s] = q
 
     def score(self, symbols: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Log-likelihood a character of each run of symbols; all runs step together."""
+        """Log-likelihood a character of each run of symbols; runs step together while many are left, then long ones alone."""
         state, total = np.zeros(len(start), np.int64), np.zeros(len(start))
         live = np.arange(len(start))
         step = 0
-        while len(live):
+        while len(live) > FEW:
             s = symbols[start[live] + step]
             total[live] += self.cost[state[live], s]
             state[live] = self.next[state[live], s]
             step += 1
             live = live[length[live] > step]
+        follow, cost = self.next.tolist(), self.cost.tolist()
+        for k in live.tolist():
+            at, value = int(state[k]), float(total[k])
+            for s in symbols[start[k] + step : start[k] + length[k]].tolist():
+                value += cost[at][s]
+                at = follow[at][s]
+            total[k] = value
         return total / np.maximum(length, 1)
 
 

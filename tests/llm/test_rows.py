@@ -284,3 +284,18 @@ def test_nearest_with_rows_of_one_id_and_few_groups(spark, monkeypatch):
         score = lambda v: float(ann.exact(np.array([own]), np.array([v]))[0])
         want = sorted((-score(v), i) for i, v in kinds if i != q)[:20]
         assert [(v, s) for _, v, s in sorted(got[q])] == [(i, -s) for s, i in want]
+
+
+def test_long_runs_are_scored_in_linear_time(monkeypatch):
+    import time
+
+    rng = np.random.default_rng(13)
+    model = secrets.train()
+    symbols = secrets.SYMBOL[rng.choice(np.frombuffer(b"abcXYZ0189+/_-=", np.uint8), 300_000)]
+    start, length = np.array([0, 100_000, 5, 150_000]), np.array([100_000, 40, 200, 3_000])
+    began = time.time()
+    got = secrets.likelihood(symbols, start, length, model)
+    assert time.time() - began < 2
+    monkeypatch.setattr(secrets, "FEW", 0)
+    short = slice(1, 4)
+    assert np.array_equal(got[short], secrets.likelihood(symbols, start[short], length[short], model))
