@@ -154,16 +154,24 @@ class Phrases:
         self.vocabulary = hashes[order]
         symbol = {words[k]: s + 1 for s, k in enumerate(order)}
         self.bits = max(1, int(len(words)).bit_length())
-        found: dict[tuple, set[int]] = {}
-        for item, ws in items:
-            for k in range(max(1, len(ws) - n + 1)) if ws else ():
-                found.setdefault(tuple(symbol[w] for w in ws[k : k + n]), set()).add(index[item])
+        flat = np.array([symbol[w] for _, ws in items for w in ws], np.int32)
+        size = np.array([len(ws) for _, ws in items], np.int64)
+        owner = np.array([index[i] for i, _ in items], np.int64)
+        start = np.cumsum(size) - size
         self.by_length: dict[int, np.ndarray] = {}
-        self.owners: dict[int, list[np.ndarray]] = {}
-        for p in sorted(found):
-            self.by_length.setdefault(len(p), []).append(p)
-            self.owners.setdefault(len(p), []).append(np.array(sorted(found[p])))
-        self.by_length = {k: np.array(v) for k, v in self.by_length.items()}
+        #: Of each phrase of a length, where its items begin, and these.
+        self.owners: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for length in np.unique(np.minimum(size, n)).tolist():
+            own = np.flatnonzero((size >= n) if length == n else size == length)
+            many = size[own] - length + 1
+            if not length or not len(own):
+                continue
+            at = np.repeat(start[own] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, length)[at])
+            distinct, phrase = np.unique(rows.view(f"V{4 * length}").ravel(), return_inverse=True)
+            pairs = np.unique(phrase * len(self.items) + np.repeat(owner[own], many))
+            self.by_length[length] = np.frombuffer(distinct.tobytes(), np.int32).reshape(-1, length)
+            self.owners[length] = np.searchsorted(pairs // len(self.items), np.arange(len(distinct) + 1)), pairs % len(self.items)
         self.shortest = min(self.by_length, default=0)
 
 
@@ -202,9 +210,10 @@ def shard_hits(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray,
         lengths.append(np.full(len(word), length))
         seen = np.unique(row[word] * len(table) + phrase)
         r, p = seen // len(table), seen % len(table)
-        owners = phrases.owners[length]
-        many = np.array([len(owners[x]) for x in p])
-        pairs.append(np.repeat(r, many) * len(phrases.items) + np.concatenate([owners[x] for x in p]))
+        first, items = phrases.owners[length]
+        many = first[p + 1] - first[p]
+        own = items[np.repeat(first[p] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        pairs.append(np.repeat(r, many) * len(phrases.items) + own)
     if not firsts:
         return none
     return np.concatenate(firsts), np.concatenate(lengths), np.unique(np.concatenate(pairs))
@@ -277,7 +286,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10, block_words: int = 2_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10, block_words: int = 500_000) -> DataFrame:
     """docs and n_words, hit_spans (in words, end exclusive), hit_items (sorted ids of items with occurring phrases)."""
     context = docs.sparkSession.sparkContext
     out, shared, kept = docs, None, None
