@@ -24,6 +24,7 @@ from __future__ import annotations
 import os
 import tempfile
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -198,18 +199,26 @@ def survey(found: DataFrame, places: int, least: int, bits: int = SKETCH_BITS) -
             if some.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k // block]), pa.array([0], pa.int32()), pa.array([0]), pa.array([0]), pa.array([some.astype(kind).tobytes()], pa.binary())], names=names)
 
-    def summed(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
+    out_names = ["part", "j", "h", "counts"]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # batch by batch: a part has a row of each task that read pieces
+        counters, sums, part = np.zeros(block, np.uint64), Counter(), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch.column("part")[0].as_py()
+            if part >= 0:
+                for x in batch.column("counts").to_pylist():
+                    counters += np.frombuffer(x, kind)
+            else:
+                for j, h, m in zip(*[batch.column(c).to_pylist() for c in ("j", "h", "m")]):
+                    sums[j, h] += m
         if part >= 0:
-            counters = np.zeros(block, np.uint64)
-            for x in table.column("counts").to_pylist():
-                counters += np.frombuffer(x, kind)
-            return pa.table({"part": [part], "j": pa.array([0], pa.int32()), "h": [0], "counts": pa.array([np.packbits(counters >= least).tobytes()], pa.binary())})
-        sums = Counter()
-        for j, h, m in zip(*[table.column(c).to_pylist() for c in ("j", "h", "m")]):
-            sums[j, h] += m
-        rows = [x for x, m in sums.items() if m * THOUSANDTH > places]
-        return pa.table({"part": pa.array([part] * len(rows), pa.int64()), "j": pa.array([j for j, _ in rows], pa.int32()), "h": pa.array([h for _, h in rows], pa.int64()), "counts": pa.nulls(len(rows), pa.binary())})
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([0], pa.int32()), pa.array([0]), pa.array([np.packbits(counters >= least).tobytes()], pa.binary())], names=out_names)
+        else:
+            rows = [x for x, m in sums.items() if m * THOUSANDTH > places]
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int64()), pa.array([j for j, _ in rows], pa.int32()), pa.array([h for _, h in rows], pa.int64()), pa.nulls(len(rows), pa.binary())], names=out_names)
 
     # to the driver: 2**bits bits, and fewer than a thousand hashes of each length
     rows = found.mapInArrow(run, "part long, j int, h long, m long, counts binary").groupBy("part").applyInArrow(summed, "part long, j int, h long, counts binary").collect()
