@@ -164,7 +164,9 @@ def labelled_sample(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOW
     """(window, lang) of at most `sample` documents that training may see, by the hash of their id. Only windows go to the driver, however long the texts."""
     good = docs.where("doc_id is not null and text is not null and lang is not null").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     ids = good.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(41), "doc_id"), "doc_id").limit(sample)
-    rows = good.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id")  # bounded by sample
+    rows = good.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id")
+    # one row of each id, so rows are bounded by sample too
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("_r")).select("doc_id", "_r.text", "_r.lang")
 
     def cut(batches):
         for batch in batches:

@@ -224,7 +224,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     # text stays out of the join of ids, so only the sample's texts are read for features
     ids = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("_toxic")).orderBy(F.xxhash64(F.lit(43), "doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # bounded by sample
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    # one row of each id, so rows are bounded by sample too
+    rows = rows.groupBy("doc_id", "_toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "_toxic")
 
     def make():
         power, table = Powers(), byte_table()
