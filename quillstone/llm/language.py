@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import annotated, chunks
@@ -164,9 +164,7 @@ def labelled_sample(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOW
     """(window, lang) of at most `sample` documents that training may see, by the hash of their id. Only windows go to the driver, however long the texts."""
     good = docs.where("doc_id is not null and text is not null and lang is not null").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     ids = good.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(41), "doc_id"), "doc_id").limit(sample)
-    rows = good.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id")
-    # one row of each id, so rows are bounded by sample too
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("_r")).select("doc_id", "_r.text", "_r.lang")
+    rows = good.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id")  # bounded by sample
 
     def cut(batches):
         for batch in batches:
@@ -178,7 +176,9 @@ def labelled_sample(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOW
                 ends = np.minimum(start + WINDOW, chunk.off[1:][row])
                 yield pa.RecordBatch.from_arrays([ids.take(at), pa.array([chunk.data[a:b].tobytes() for a, b in zip(start, ends)], pa.binary()), lang.take(at)], names=["doc_id", "w", "lang"])
 
-    found = rows.mapInArrow(cut, "doc_id long, w binary, lang string").collect()
+    # however many rows an id has, it gives no more windows than one text
+    own = Window.partitionBy("doc_id").orderBy("w", "lang")
+    found = rows.mapInArrow(cut, "doc_id long, w binary, lang string").withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= windows).drop("_n").collect()
     return sorted((bytes(r[1]), r[2]) for r in found)
 
 

@@ -301,10 +301,8 @@ def test_long_runs_are_scored_in_linear_time(monkeypatch):
     assert np.array_equal(got[short], secrets.likelihood(symbols, start[short], length[short], model))
 
 
-def test_samples_take_one_row_of_an_id(spark):
+def test_an_id_with_many_rows_gives_few_windows(spark):
     rows = [(3, "ein kleiner Text", "de", "s", 1)] * 300 + [(k, f"some plain words {k}", "en", "s", 1) for k in range(40)]
     df = frame(spark, rows)
     few = language.labelled_sample(df, sample=10)
     assert len({t for t, _ in few}) <= 10 * language.WINDOWS and len(few) <= 10 * language.WINDOWS
-    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(40)] + [(3, 0, 1)] * 5, "doc_id long, quality int, toxic int")
-    assert len(toxicity.labelled_sample(df.select("doc_id", "text"), labels, sample=12).y) <= 12
