@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import MIX_1, U64, Chunk, Powers, Words, byte_table, chunks, discard, groups, mix, small_batches, written
 
 LEAST, LONGEST, TOP, COVER = 30, 4, 2000, 80
-#: Bytes of different pieces for each part that duckdb counts, and its memory before it uses files.
-PART_BYTES, MEMORY = 8 << 20, "150MB"
+#: Bytes of different pieces for each part that duckdb counts, the most parts (they grow beyond), and its memory before it uses files.
+PART_BYTES, PARTS, MEMORY = 8 << 20, 20_000, "150MB"
 #: A beginning with more than this share of all places is dealt by one word more: at most so many are broadcast.
 THOUSANDTH = 1000
 CHUNK = 2 << 20
@@ -370,8 +370,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, memory: str = MEMORY)
     found = written(pieces(docs), "pieces")
     words = F.length("piece") - F.length(F.replace("piece", F.lit(" "), F.lit(""))) + 1
     size, places = found.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0)), F.coalesce(F.sum(F.col("m") * words), F.lit(0))).first()
-    buckets = max(1, size // PART_BYTES)
-    out = records(found, *survey(found, places, least), buckets * 4).repartition(buckets, "bucket")
+    parts = max(1, min(PARTS, size // PART_BYTES))
+    # several buckets a part even out small numbers of parts
+    out = records(found, *survey(found, places, least), max(parts, min(4 * parts, 4000))).repartition(parts, "bucket")
     out = written(out.mapInArrow(lambda batches: _counted(batches, least, memory), "lang string, words int, phrase string, f long"), "phrases")
     discard(found)
     return out

@@ -69,7 +69,7 @@ def test_collocations_match_brute_force(spark, monkeypatch, heavy):
 
 
 def test_collocations_of_the_corpus(spark):
-    rows = [(i, t, lang, s, n) for i, t, lang, s, n in corpus() if t is None or "\x00" not in t] + [(700, "word " * 20_000, "en", "s", 1)]
+    rows = corpus() + [(i, "a\x00b \x00 c. " * 6, "en", "s", 1) for i in (800, 801)] + [(700, "word " * 20_000, "en", "s", 1)]
     assert result(frame(spark, rows), 2000) == brute(rows, 5, 2000)
 
 
