@@ -504,8 +504,10 @@ def strokes_compacted(spark, sf_dir):
     k = F.col("event_id")
     point = F.array(F.lit(0.0), F.lit(0.0))
     stroke = F.struct(k.cast("string").alias("id"), F.when(k % 5 == 0, 1).otherwise(0).alias("dead"), F.when(k % 3 == 0, F.array(point)).otherwise(F.array(point, point)).alias("pts"))
-    e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(stroke).alias("strokes")).withColumn("deleted", F.lit(None).cast("array<string>"))
-    return merge.compacted(e).select("user_id", F.size("strokes").cast("long").alias("live"), F.size("deleted").cast("long").alias("deleted"))
+    # a payload is a page of a bounded number of strokes, not all of a user's
+    pages = read(spark, sf_dir, "events").groupBy("user_id", F.floor(k / 1000).alias("page"))
+    e = pages.agg(F.collect_list(stroke).alias("strokes")).withColumn("deleted", F.lit(None).cast("array<string>"))
+    return merge.compacted(e).groupBy("user_id").agg(F.sum(F.size("strokes")).cast("long").alias("live"), F.sum(F.size("deleted")).cast("long").alias("deleted"))
 
 
 # --- roll-ups and windows

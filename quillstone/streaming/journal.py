@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -128,9 +129,26 @@ def both_sinks(first: str, second: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def compact(spark: SparkSession, path: str, to: str, key: list[str], order: str) -> None:
-    """One file set of the last rows for all batches so far."""
-    latest_of(spark, path, key, order).write.mode("overwrite").parquet(to)
+def compact(spark: SparkSession, path: str, key: list[str], order: str) -> None:
+    """Makes the last rows of all batches so far one batch, and removes those; their numbers stay with the rows, so later batches still win.
+
+    The new batch is written beside and renamed; what a reader finds in between are the
+    same last rows. It must not run while the stream writes.
+    """
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("batch=")]
+    rows = spark.read.parquet(path).drop("batch")
+    rest = [c for c in rows.columns if c not in key]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("_batch", order)).alias("_r")).select(*key, "_r.*")
+    new = jvm.org.apache.hadoop.fs.Path(folder, f"_compacting-{uuid.uuid4().hex}")
+    last.write.parquet(new.toString())
+    # batches are numbered from 0, so this number is none of the stream's
+    number = min([0, *[int(p.getName().partition("=")[2]) for p in old]]) - 1
+    fs.rename(new, jvm.org.apache.hadoop.fs.Path(folder, f"batch={number}"))
+    for p in old:
+        fs.delete(p, True)
 
 
 def recovered(a: DataFrame, b: DataFrame) -> DataFrame:

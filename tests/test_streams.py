@@ -41,3 +41,20 @@ def test_sink_is_safe_to_repeat(spark, tmp_path):
     for batch, n in ((a, 0), (b, 1), (a, 0)):
         write(batch, n)
     assert {r["k"]: r["v"] for r in journal.latest_of(spark, path, ["k"], "t").collect()} == {"x": "new", "y": "y"}
+
+
+def test_compaction_keeps_the_last_rows_only(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    write = journal.upsert_sink(path, ["k"], "t")
+    frame = lambda r: spark.createDataFrame(r, "k string, t long, v string")
+    last = lambda: {r["k"]: r["v"] for r in journal.latest_of(spark, path, ["k"], "t").collect()}
+    write(frame([("x", 1, "a"), ("y", 1, "y")]), 0)
+    write(frame([("x", 9, "b")]), 1)
+    for number in range(2, 5):
+        journal.compact(spark, path, ["k"], "t")
+        assert [p.name.startswith("batch=-") for p in (tmp_path / "sink").iterdir() if p.name.startswith("batch=")] == [True]
+        assert spark.read.parquet(path).count() == len(last()) and last()["y"] == "y"
+        write(frame([("x", 2, f"c{number}")]), number)  # a later batch wins whatever its time
+        assert last()["x"] == f"c{number}"
+    write(frame([("x", 9, "b")]), 1)  # an old batch that is repeated changes nothing
+    assert last() == {"x": "c4", "y": "y"}
