@@ -6,6 +6,7 @@ buffer; a text is never cut, so a chunk holds at least one row however long it i
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 import uuid
@@ -236,6 +237,14 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, rows, first
 
 
+def release() -> None:
+    """Gives freed memory back at a task's end: Python workers are used again, and what they keep adds up over the stages of a job."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries have none
+    if trim:
+        trim(0)
+
+
 def annotated(df: DataFrame, make, fields: list[tuple[str, pa.DataType, str]]) -> DataFrame:
     """All columns of df and new ones, in one pass without a shuffle.
 
@@ -258,6 +267,8 @@ def annotated(df: DataFrame, make, fields: list[tuple[str, pa.DataType, str]]) -
             new = [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, (_, t, _) in zip(work(batch), fields, strict=True)]
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in keep] + new
             yield pa.RecordBatch.from_arrays(arrays, names=keep + names)
+        del work
+        release()
 
     return df.mapInArrow(run, schema)
 
