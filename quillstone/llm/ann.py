@@ -5,15 +5,23 @@ are fitted so that the part of the residual parallel to the vector costs `weight
 times the part across it: it is the parallel part that moves a large inner
 product. A query makes a table of 16 inner products for each subspace; two
 subspaces share a table of 256, so a scan of coded vectors is one look-up and
-addition for each byte. The best `rerank` of a shard by that sum are scored again
-on the original vectors in double precision.
+addition for each byte. The best `rerank` of a group by that sum are scored again
+on the original vectors in double precision; the kth of these scores is one that the
+group's k nearest reach.
+
+An exact check follows, as codes tell little of vectors that the sample did not show
+(outliers) or that lie closer than codewords (tight clusters): a vector's residual r is
+known, so its inner product differs from the sum by at most |q| |r|. All vectors that
+may reach the kth score by this bound are scored too, so no near one is missed,
+whatever the data; on data that suit the codes these are few. The residual along the
+mean vector is held exactly and taken out of the bound, or a common offset of all
+vectors would widen it.
 
 The quantiser is fitted on a bounded sample (by the hash of the id); every row is coded
-once. Codes (four bits a component), ids and hashes of vectors, dealt to groups of
-bounded size, meet blocks of queries; nothing is broadcast but the codebooks, whose size
-is fixed. Every query scans all codes. Its `rerank` best of all groups are then joined
-with the original vectors by id. Equal vectors of a group share a place in its ranking,
-so ties go to the smaller ids.
+once. Codes (four bits a component), vectors, ids and hashes of vectors, dealt to groups
+of bounded size, meet blocks of queries; nothing is broadcast but the codebooks and the
+mean, whose size is fixed. Every query scans all codes, and a group returns its k nearest.
+Equal vectors of a group share a place in its ranking, so ties go to the smaller ids.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part; rows with a null id neither. A query's own id is no candidate of
@@ -29,14 +37,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import groups
+
 K, EVERY = 20, 20
-#: Codes of a group (at least GROUPS of them, so a small table is no single task) and queries of a block.
-SHARD, GROUPS, QUERIES = 131_072, 8, 65_536
+#: Vectors of a group (at least GROUPS of them, so a small table is no single task) and queries of a block, if no wider than WIDTH.
+SHARD, GROUPS, QUERIES, WIDTH = 65_536, 8, 131_072, 64
 SAMPLE, ROUNDS = 8_192, 8
 PER_SUBSPACE, CENTRES = 1, 16
 WEIGHT = 4.0
-#: Candidates of a query that are scored on vectors.
-RERANK = 120
+#: Candidates of a query in a group that are scored on vectors before the bound is known.
+RERANK = 40
+#: Of a group's vectors within the bound of a query, the share from which all are scored at once, and vectors scored at once.
+DENSE, SCORED = 0.25, 8_192
+
+
+def directions(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; the largest component is taken out first, as squares may be beyond a float's range."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 class Quantiser:
@@ -55,7 +73,7 @@ class Quantiser:
     def encode(self, x: np.ndarray, sweeps: int = 2) -> np.ndarray:
         """Codes that minimise |r|^2 + (WEIGHT - 1) (r . x/|x|)^2, a subspace at a time."""
         p = self.parts(x)
-        u = p / np.linalg.norm(x, axis=1)[:, None, None]
+        u = self.parts(directions(x))
         codes = np.empty((len(x), self.subspaces), np.uint8)
         parallel = np.zeros((len(x), self.subspaces))
         for sweep in range(sweeps + 1):
@@ -77,7 +95,7 @@ class Quantiser:
     def fit(self, x: np.ndarray, seed: int = 9) -> Quantiser:
         rng = np.random.default_rng(seed)
         p = self.parts(x)
-        u = p / np.linalg.norm(x, axis=1)[:, None, None]
+        u = self.parts(directions(x))
         self.books = np.stack([p[rng.choice(len(x), CENTRES, replace=len(x) < CENTRES), m] for m in range(self.subspaces)])
         for _ in range(ROUNDS):
             codes = self.encode(x, 1)
@@ -125,37 +143,83 @@ def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(model: Quantiser, q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, code: np.ndarray, name: np.ndarray, k: int, most: int):
-    """The `most` best of one group for each query by the tables: query ids, vector ids, hashes of vectors, approximate scores."""
+def decoded(model: Quantiser, code: np.ndarray) -> np.ndarray:
+    """The vectors that packed codes stand for."""
+    half = np.stack([code >> 4, code & 15], 2).reshape(len(code), -1)[:, : model.subspaces]
+    return model.books[np.arange(model.subspaces)[None], half].reshape(len(code), -1)[:, : model.dim]
+
+
+def rounding(dim: int, kind: type) -> float:
+    """The share of |q| |v| by which an inner product in that arithmetic may be off, with room to spare."""
+    return 4 * (dim + 8) * float(np.finfo(kind).eps)
+
+
+def search(model: Quantiser, mean: np.ndarray, q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, code: np.ndarray, name: np.ndarray, k: int, most: int):
+    """The k nearest of one group for each query: query ids, vector ids, scores. mean: a direction of length 1."""
     order = np.lexsort((v_id, name))
-    v_id, code, name = v_id[order], code[order], name[order]
-    if len(name):  # a row that repeats counts once
-        first = np.concatenate(([True], (name[1:] != name[:-1]) | (v_id[1:] != v_id[:-1])))
-        v_id, code, name = v_id[first], code[first], name[first]
-    start = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1]))) if len(name) else np.zeros(0, np.int64)
+    v_id, name = v_id[order], name[order]
+    first = np.ones(len(name), bool)  # a row that repeats counts once
+    first[1:] = (name[1:] != name[:-1]) | (v_id[1:] != v_id[:-1])
+    order, v_id, name = order[first], v_id[first], name[first]
+    start, size = groups(name)
+    v, code = v[order[start]], code[order[start]]
     # ids of each distinct vector, smallest first; more than k + 1 can't be among the k nearest
-    size = np.minimum(np.diff(np.append(start, len(name))), k + 1)
-    coded = np.ascontiguousarray(code[start].T)
-    top = min(most, len(start))
+    size = np.minimum(size, k + 1)
+    # all in one scale, so that no square is beyond a float's range
+    pieces = [slice(a, a + SCORED) for a in range(0, len(v), SCORED)]
+    scale = max(max(np.abs(v[p]).max(), np.abs(decoded(model, code[p])).max()) for p in pieces)
+    scaled = lambda rows: v[rows].astype(float) / scale
+    along, across, long = (np.empty(len(v)) for _ in range(3))
+    for p in pieces:
+        x, y = scaled(p), decoded(model, code[p]) / scale
+        r = x - y
+        along[p] = r @ mean
+        across[p] = np.linalg.norm(r - np.outer(along[p], mean), axis=1)
+        long[p] = np.linalg.norm(x, axis=1) + np.linalg.norm(y, axis=1)
+    slack, fine = long * rounding(model.dim, np.float32) + 1e-36, long * rounding(model.dim, np.float64) + 1e-300
+    coded = np.ascontiguousarray(code.T)
+    small = Quantiser(model.dim, model.books / scale)
+    top = min(max(most, k + 1), len(start))
+
+    def kth(score: np.ndarray, rows: np.ndarray, own: int) -> float:
+        """A score that k other rows reach."""
+        score = (score - fine[rows])[(size[rows] > 1) | (v_id[start[rows]] != own)]
+        return np.partition(score, len(score) - k)[-k] if len(score) >= k else -np.inf
+
     out = []
-    step = max(1, min(128, (8 << 20) // max(1, len(start))))
+    step = max(1, min(128, (8 << 20) // len(start)))
     for s in range(0, len(q), step):
         ids, x = q_id[s : s + step], q[s : s + step]
-        near = scan(model.tables(x), coded)
-        pick = np.argpartition(-near, top - 1, 1)[:, :top] if top < len(start) else np.broadcast_to(np.arange(len(start)), (len(x), len(start)))
-        row = np.repeat(np.arange(len(x)), pick.shape[1])
-        vec = pick.ravel()
-        score, many = near[row, vec], size[vec]
-        inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        cand = np.repeat(start[vec], many) + inner
+        unit, most_of = directions(x), np.abs(x).max(1)
+        part = unit @ mean
+        rest = np.linalg.norm(unit - np.outer(part, mean), axis=1)
+        near = scan(small.tables(unit), coded) + np.outer(part, along).astype(np.float32)
+        pick = np.argpartition(-near, top - 1, 1)[:, :top] if top < len(start) else np.broadcast_to(np.arange(len(start)), near.shape)
+        found = []
+        for i in range(len(ids)):
+            # products near a double's limits tie where scaled ones don't
+            plain = 1e-280 < scale * most_of[i] < 1e280
+            least = kth(scaled(pick[i]) @ unit[i], pick[i], ids[i]) if plain else -np.inf
+            # what may reach that score by the bound
+            cand = np.flatnonzero(~(near[i] + rest[i] * across + slack < least))
+            if len(cand) > DENSE * len(start):
+                score = np.concatenate([scaled(p) @ unit[i] for p in pieces])[cand]
+            else:
+                score = scaled(cand) @ unit[i]
+            least = kth(score, cand, ids[i]) if plain else -np.inf
+            found.append(cand[score + fine[cand] >= least])
+        row, vec = np.repeat(np.arange(len(ids)), [len(c) for c in found]), np.concatenate(found)
+        score = np.concatenate([exact(x[row[a : a + SCORED]], v[vec[a : a + SCORED]].astype(float)) for a in range(0, len(row), SCORED)])
+        many = size[vec]
+        place = np.repeat(start[vec], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
         row, score = np.repeat(row, many), np.repeat(score, many)
-        other = v_id[cand] != ids[row]
-        row, cand, score = row[other], cand[other], score[other]
-        rank = np.lexsort((v_id[cand], -score, row))
-        row, cand, score = row[rank], cand[rank], score[rank]
-        good = np.arange(len(row)) - np.searchsorted(row, row) < most
-        out.append((ids[row[good]], v_id[cand[good]], name[cand[good]], score[good]))
-    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.float32)]
+        other = v_id[place] != ids[row]
+        row, place, score = row[other], place[other], score[other]
+        rank = np.lexsort((v_id[place], -score, row))
+        row, place, score = row[rank], place[rank], score[rank]
+        good = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append((ids[row[good]], v_id[place[good]], score[good]))
+    return [np.concatenate(c) for c in zip(*out)]
 
 
 def usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -179,49 +243,43 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "v
     good = good.where(F.size("vec") == dim).withColumn("name", F.xxhash64("vec"))
     rows = np.array([r[0] for r in good.orderBy(F.xxhash64(F.lit(3), "id"), "id", "name").limit(sample).select("vec").collect()], float)
     books = Quantiser(dim).fit(rows).books
+    mean = (rows / np.abs(rows).max()).mean(0)
+    mean = mean / np.linalg.norm(mean) if mean.any() else np.eye(1, dim)[0]
 
-    def matrix(column: pa.Array) -> np.ndarray:
+    def plain(column: pa.Array) -> np.ndarray:
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(float)
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return plain(column).astype(float)
 
     def coded(batches):
         model = Quantiser(dim, books)
         for batch in batches:
             if len(batch):
                 code = model.bytes_of(model.encode(matrix(batch.column(1))))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in code], pa.binary()), batch.column(2)], names=["id", "code", "name"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in code], pa.binary()), batch.column(2)], names=["id", "vec", "code", "name"])
 
     queries = good.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec"))
-    blocks = -(-max(1, sizes[dim] // every) // QUERIES)
-    parts = max(GROUPS, -(-sizes[dim] // SHARD))
+    wide = max(1, -(-dim // WIDTH))
+    blocks = -(-max(1, sizes[dim] // every) * wide // QUERIES)
+    parts = max(GROUPS, -(-sizes[dim] * wide // SHARD))
     place = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
     every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    codes = good.select("id", "vec", "name").mapInArrow(coded, "id long, code binary, name long")
+    codes = good.select("id", "vec", "name").mapInArrow(coded, f"id long, vec {kind}, code binary, name long")
     # by the vector too: rows of one id are dealt apart
     v = codes.withColumn("part", place(parts, F.lit(1), "id", "name")).withColumn("block", every_one(blocks))
     q = queries.withColumn("block", place(blocks, F.lit(2), "id")).withColumn("part", every_one(parts))
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        out = [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
         if len(left) and len(right):
             code = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(right), -1)
-            out = search(Quantiser(dim, books), left.column("id").to_numpy(), matrix(left.column("vec")), right.column("id").to_numpy(), code, right.column("name").to_numpy(), k, rerank)
-        return pa.table({n: pa.array(x, t) for n, x, t in zip(("query_id", "id", "name", "near"), out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))})
+            out = search(Quantiser(dim, books), mean, left.column("id").to_numpy(), matrix(left.column("vec")), right.column("id").to_numpy(), plain(right.column("vec")), code, right.column("name").to_numpy(), k, rerank)
+        return pa.table({n: pa.array(x, t) for n, x, t in zip(("query_id", "vec_id", "score"), out, (pa.int64(), pa.int64(), pa.float64()))})
 
     on = ["block", "part"]
-    found = q.select("id", "vec", *on).groupBy(*on).cogroup(v.select("id", "code", "name", *on).groupBy(*on)).applyInArrow(join, "query_id long, id long, name long, near double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "id", "name")
-    found = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= rerank).select("query_id", "id", "name")
-    # exact scores: the candidates' vectors by id, then the queries' by theirs
-    vecs = good.groupBy("id", "name").agg(F.min("vec").alias("vec"))
-    found = found.join(vecs, ["id", "name"]).join(queries.select(F.col("id").alias("query_id"), F.col("vec").alias("query")), "query_id")
-
-    def scored(batches):
-        for batch in batches:
-            score = exact(matrix(batch.column(2)), matrix(batch.column(3))) if len(batch) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    found = found.select("query_id", "id", F.col("query").cast(kind), "vec").mapInArrow(scored, "query_id long, vec_id long, score double")
+    found = q.select("id", "vec", *on).groupBy(*on).cogroup(v.select("id", "vec", "code", "name", *on).groupBy(*on)).applyInArrow(join, "query_id long, vec_id long, score double")
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -306,3 +306,24 @@ def test_an_id_with_many_rows_gives_few_windows(spark):
     df = frame(spark, rows)
     few = language.labelled_sample(df, sample=10)
     assert len({t for t, _ in few}) <= 10 * language.WINDOWS and len(few) <= 10 * language.WINDOWS
+
+
+def test_nearest_misses_none_where_codes_say_little(spark):
+    rng = np.random.default_rng(6)
+    normal = lambda n: rng.normal(size=(n, 16))
+    kinds = {
+        "clusters closer than codewords": normal(3)[rng.integers(0, 3, 1200)] + 1e-4 * normal(1200),
+        "a common offset": 5 + 0.01 * normal(1200),
+        "few large ones": normal(1200) * np.where(rng.random(1200) < 0.02, 1e3, 1)[:, None],
+        "heavy tails": rng.standard_cauchy((1200, 16)),
+        "components of many scales": normal(1200) * np.logspace(-6, 6, 16),
+        "near a float's least": 1e-170 * normal(1200),
+    }
+    for name, x in kinds.items():
+        got = {}
+        for r in ann.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), sample=500).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+        for q in range(0, 1200, 20):
+            score = ann.exact(np.repeat(x[q : q + 1], 1200, 0), x)
+            want = [k for k in np.lexsort((np.arange(1200), -score)) if k != q][:20]
+            assert [got[q][k] for k in range(1, 21)] == [(k, score[k]) for k in want], name
