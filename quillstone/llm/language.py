@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import annotated, chunks
+from .common import annotated, chunks, release
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -157,6 +157,8 @@ def train(rows: list[tuple[str | bytes, str]], windows: int = WINDOWS) -> ByteNe
     row, start = spread(off, windows)
     net = ByteNet(labels)
     net.fit(bytes_of(data, off, row, start), np.array([labels.index(lang) for _, lang in raw])[row])
+    del raw, data
+    release()  # the driver keeps the network only
     return net
 
 

@@ -127,6 +127,13 @@ def test_language(spark):
     assert none and all(t is not None for t, _ in none)
 
 
+def test_training_gives_its_memory_back(monkeypatch):
+    # the driver goes on with the network only; what it kept of training added up to its limit over a session's runs
+    given = []
+    monkeypatch.setattr(language, "release", lambda: given.append(1))
+    assert language.train([("some words here", "en"), ("einige worte hier", "de")]) is not None and given
+
+
 def test_fast_and_plain_convolutions_agree():
     net = language.ByteNet(["a", "b"])
     x = np.random.default_rng(1).integers(0, 256, (5, language.WINDOW)).astype(np.uint8)
