@@ -163,6 +163,23 @@ def test_recall_of_passages_with_words_changed(spark, share):
     assert all(abs(a - b) == 1 and min(a, b) % 2 == 0 for a, b in got)
 
 
+def test_all_pairs_of_families(spark):
+    # ten texts share a passage of 60 words, each with a tenth of them changed
+    rng = random.Random(8)
+    some = words(rng, 4000).split()
+    texts, copies = [], []
+    for _ in range(12):
+        p = rng.choices(some, k=60)
+        for _ in range(10):
+            copies.append([rng.choice(some) if rng.random() < 0.1 else w for w in p])
+            texts.append(" ".join(rng.choices(some, k=rng.randint(5, 40)) + copies[-1] + rng.choices(some, k=rng.randint(5, 40))))
+    want = {(a, b) for a in range(120) for b in range(a + 1, a - a % 10 + 10) if sum(x == y for x, y in zip(copies[a], copies[b])) >= 0.78 * 60}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {(min(r["doc_id"], r["other_id"]), max(r["doc_id"], r["other_id"])) for r in chaining.passages(df).collect()}
+    # what is missing has no sampled seed
+    assert len(want) > 350 and len(want & got) >= 0.97 * len(want) and all(a // 10 == b // 10 for a, b in got)
+
+
 def test_token_buckets_have_no_upper_bound():
     token = np.random.default_rng(0).integers(0, 2**63, 400_000).astype(np.uint64)
     bucket = jaccard._token_bucket(token, 200_000)
