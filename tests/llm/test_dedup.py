@@ -39,6 +39,17 @@ def test_suffix_dedup_is_exact(spark, monkeypatch, hot):
     assert sorted(map(tuple, got.collect())) == brute_repeats(rows, 400)
 
 
+@pytest.mark.parametrize("hot", [100_000, 3])
+def test_suffix_dedup_of_rows_without_an_id(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    rng = random.Random(8)
+    shared = [words(rng, 100) for _ in range(4)]
+    texts = [(1, f"one {shared[0]} end"), (-9, f"two {shared[0]}"), (-9, f"{shared[1]} three"), (-9, shared[2]), (-9, shared[2]), (0, shared[3]), (-9, shared[3]), (-9, None), (-9, None), (-9, ""), (-9, "short"), (-9, words(rng, 200))]
+    texts += [(-9, f"{k} {shared[1]}") for k in range(5)]
+    got = suffixes.digest(suffixes.repeats(frame(spark, [(None if i == -9 else i, t, "en", "s", 1) for i, t in texts], extra=True)))
+    assert sorted((-9 if i is None else i, *rest) for i, *rest in got.collect()) == brute_repeats(texts, 400)
+
+
 def test_suffix_rounds_match_brute_force():
     rng = np.random.default_rng(0)
     texts = [bytes(rng.choice(list(b"ab"), 60)) for _ in range(12)]
