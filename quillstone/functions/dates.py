@@ -50,9 +50,10 @@ def updated_at(updated: Column, created: Column, fallback: Column) -> Column:
     return F.coalesce(ms(updated), ms(created), fallback, F.lit(0))
 
 
-def duration_text(ms: Column) -> Column:
+def duration_text(ms: Column, by_seconds: bool = True) -> Column:
+    """Rounded seconds; with minutes from 60 of them on, or else from 60,000 ms on (59,500 to 59,999 ms differ)."""
     s = F.floor(ms / 1000 + 0.5)
-    return F.when(s >= 60, F.format_string("%d分%d秒", F.floor(s / 60), s % 60)).otherwise(F.format_string("%d秒", s))
+    return F.when(s >= 60 if by_seconds else ms >= 60_000, F.format_string("%d分%d秒", F.floor(s / 60), s % 60)).otherwise(F.format_string("%d秒", s))
 
 
 def clock_text(ms: Column) -> Column:
