@@ -42,7 +42,9 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = attempts_of(_stream(spark, sf_dir, "events")).select(F.col("user_id").cast("string").alias("qid"), F.col("qid").cast("string").alias("id"), F.col("ms").alias("t1"), "seq", (~F.col("ok") & (F.col("seq") % 5 == 0)).alias("deleted"))
-    return _run(spark, journal.latest_strokes(e), "update", ["qid", "id"]).where("not deleted").select("qid", "id", "t1", "seq")
+    with ordered.rocksdb_state(spark):  # a key's state stays, so it should not be on the heap
+        r = _run(spark, journal.latest_strokes(e), "update", ["qid", "id"])
+    return r.where("not deleted").select("qid", "id", "t1", "seq")
 
 
 QUERIES = {f.__name__: f for f in (stream_daily, stream_dedup, stream_sessions, stream_strokes)}

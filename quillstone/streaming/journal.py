@@ -41,9 +41,15 @@ def first_seen(stream: DataFrame, key: list[str], late: str | None = None) -> Da
 def latest_strokes(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """qid, id, t1, seq, deleted: each stroke's last state. Later t1 wins (ties: later seq), a tombstone for good.
 
-    State is kept without limit, as late events must find it; ttl_ms drops a key's
-    state after that long without events.
+    State is kept without limit, as late events must find it: an aggregate in the state
+    store, no call for each key. ttl_ms drops a key's state after that long without
+    events, which takes a timer for each key, so a function in Python.
     """
+    if not ttl_ms:
+        gone = F.coalesce("deleted", F.lit(False))
+        last = stream.groupBy("qid", "id").agg(F.max(F.when(~gone, F.struct("t1", "seq"))).alias("_l"), F.bool_or(gone).alias("deleted"))
+        none = F.struct(F.lit(-1).cast("long").alias("t1"), F.lit(-1).cast("long").alias("seq"))
+        return last.withColumn("_l", F.coalesce("_l", none)).select("qid", "id", F.col("_l.t1").cast("long").alias("t1"), F.col("_l.seq").cast("long").alias("seq"), "deleted")
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
         if state.hasTimedOut:
@@ -57,12 +63,10 @@ def latest_strokes(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
                 best = max(zip(live["t1"], live["seq"]))
                 t1, seq = max((t1, seq), (int(best[0]), int(best[1])))
         state.update((t1, seq, deleted))
-        if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
+        state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"qid": [key[0]], "id": [key[1]], "t1": [t1], "seq": [seq], "deleted": [deleted]})
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    return stream.groupBy("qid", "id").applyInPandasWithState(update, "qid string, id string, t1 long, seq long, deleted boolean", "t1 long, seq long, deleted boolean", "update", timeout)
+    return stream.groupBy("qid", "id").applyInPandasWithState(update, "qid string, id string, t1 long, seq long, deleted boolean", "t1 long, seq long, deleted boolean", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def limited(stream: DataFrame) -> DataFrame:

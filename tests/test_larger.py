@@ -22,3 +22,16 @@ def test_day_rules_between_59500_and_60000(spark, tmp_path):
     names, want = rows_of_sql("day_rules", tmp_path)
     got = registry.queries()["day_rules"](spark, str(tmp_path)).select(*names).collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(want) == 26
+
+
+def test_strokes_need_no_python_for_each_key(spark, tmp_path):
+    from quillstone.streaming import journal
+
+    rows = [("p", "a", 5, 1, False), ("p", "b", -7, 2, None), ("p", "c", 1, 3, True), ("q", None, 9, 4, False), ("q", None, 9, 5, False)]
+    schema = "qid string, id string, t1 long, seq long, deleted boolean"
+    for part in (rows[:3], rows[3:], [("p", "a", 2, 9, True)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    s = journal.latest_strokes(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    assert "Python" not in s._jdf.queryExecution().toString() and "Pandas" not in s._jdf.queryExecution().toString()
+    got = journal.run_available(s, f"{tmp_path}/out", "update", f"{tmp_path}/checkpoint", ["qid", "id"]).collect()
+    assert sorted(map(tuple, got), key=str) == [("p", "a", 5, 1, True), ("p", "b", -7, 2, False), ("p", "c", -1, -1, True), ("q", None, 9, 5, False)]
