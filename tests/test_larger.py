@@ -35,3 +35,28 @@ def test_strokes_need_no_python_for_each_key(spark, tmp_path):
     assert "Python" not in s._jdf.queryExecution().toString() and "Pandas" not in s._jdf.queryExecution().toString()
     got = journal.run_available(s, f"{tmp_path}/out", "update", f"{tmp_path}/checkpoint", ["qid", "id"]).collect()
     assert sorted(map(tuple, got), key=str) == [("p", "a", 5, 1, True), ("p", "b", -7, 2, False), ("p", "c", -1, -1, True), ("q", None, 9, 5, False)]
+
+
+def test_limits_keep_a_state_for_many_users(spark, tmp_path):
+    """More users than buckets, ids that floats can't hold, and none: the rows of the whole log, by fewer states than user days."""
+    from quillstone.operators import limiter
+    from quillstone.streaming import journal, ordered
+
+    schema, start = "user_id long, ts timestamp, seq long, weight int", datetime.datetime(2026, 1, 1, 15, 50)
+    users = [None, 0, 7, *range(2**60, 2**60 + 9)]
+    rows = [(users[k % 12], start + datetime.timedelta(seconds=97 * k // 12), k, (k * 7) % 25) for k in range(1200)]
+    late = sorted(rows, key=lambda r: r[1] + datetime.timedelta(seconds=r[2] * 7919 % 3600))
+    for part in (late[:400], late[400:800], late[800:], [(-1, start + datetime.timedelta(days=9), 9999, 1)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    with ordered.rocksdb_state(spark):
+        got = journal.run_available(ordered.limited(stream, "2 hours", buckets=3), f"{tmp_path}/out", "append", f"{tmp_path}/checkpoint").where("seq < 9999")
+    want = {}
+    for user in users:
+        for day in (1, 2):
+            mine = [r for r in rows if r[0] == user and (r[1] + datetime.timedelta(hours=8)).day == day]
+            done, _ = limiter.decide([(int(r[1].replace(tzinfo=datetime.timezone.utc).timestamp() * 1000), r[3]) for r in mine])
+            want |= {r[2]: (user, datetime.date(2026, 1, day), *d) for r, d in zip(mine, done)}
+    assert {r["seq"]: (r["user_id"], r["usage_date"], r["allowed"], r["reason"], r["requests"], r["weight_used"]) for r in got.collect()} == want and len(want) == 1200 and len({w[1] for w in want.values()}) == 2
+    keys = spark.read.format("statestore").option("stateVarName", "state").load(f"{tmp_path}/checkpoint")
+    assert keys.count() <= 3
