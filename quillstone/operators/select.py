@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,37 +143,50 @@ def build_papers(bank: DataFrame, users: DataFrame, counts: DataFrame, seed: int
     come no more groups than were used by earlier picks or tried by the user, so with t
     questions tried the first t + PICKS groups are enough, and as many questions of each.
     Lists are cut at LEVELS, a user's own counts say at which; tried questions come from them.
+    Users of a class who tried nothing have one exam, made once.
+
+    Joins by user, question or group are sort-merge joins whatever the files' sizes say, as
+    a compressed table of a few MB is more than the driver should build a hash table of.
     """
     kinds = dict(users.dtypes) | {"qid": dict(bank.dtypes)["id"]}
     b = bank.select(F.col("id").alias("qid"), "type", "diff", "topic", F.coalesce(F.nullif("grp", F.lit("")), F.col("id").cast("string")).alias("grp"))
     u = users.select("user_id").distinct().withColumn("_class", F.pmod(F.xxhash64(F.lit(seed), "user_id"), F.lit(CLASSES)).cast("int"))
-    blocks = max(1, -(-u.count() // (CLASSES * GROUP_USERS)))
-    u = u.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), "user_id"), F.lit(blocks)).cast("int"))
     tie = lambda d: d.withColumn("tie", F.xxhash64(F.lit(seed), "_class", "qid"))
-    tried = tie(counts.where("n > 0").join(b, "qid").join(u, "user_id")).select("user_id", "qid", "n", "type", "diff", "topic", "grp", "tie")
-    u = u.join(tried.groupBy("user_id").agg(F.count("*").alias("_t")), "user_id", "left").withColumn("_level", _level(F.coalesce("_t", F.lit(0)) + PICKS)).drop("_t")
-
-    cell = ["_class", "type", "diff", "topic"]
-    l = tie(b.withColumn("_class", F.explode(F.sequence(F.lit(0), F.lit(CLASSES - 1)))))
-    l = l.withColumn("_nth", F.row_number().over(Window.partitionBy(*cell, "grp").orderBy("tie", "qid"))).where(F.col("_nth") <= LEVELS[-1])
-    first = l.where("_nth = 1").withColumn("_g", F.row_number().over(Window.partitionBy(*cell).orderBy("tie", "qid"))).where(F.col("_g") <= LEVELS[-1])
+    tried = tie(counts.where("n > 0").hint("merge").join(b.hint("merge"), "qid").hint("merge").join(u.hint("merge"), "user_id")).select("user_id", "_class", "qid", "n", "type", "diff", "topic", "grp", "tie")
+    busy = tried.groupBy("user_id", "_class").agg(_level(F.count("*") + PICKS).alias("_level"))
+    found = busy.agg(F.count("*"), F.max("_level")).first()
+    blocks, most = max(1, -(-found[0] // (CLASSES * GROUP_USERS))), found[1] or 0
+    plain = next((n for n in LEVELS if n >= PICKS), LEVELS[-1])
+    most = max(most, plain)
+    busy = busy.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), "user_id"), F.lit(blocks)).cast("int"))
+
+    # the first groups of a class and cell by the least tie of each; equal ties are all taken, as an order by id comes later
+    cell = ["type", "diff", "topic"]
+    least = b.groupBy(*cell, "grp").agg(*[F.min(F.xxhash64(F.lit(seed), F.lit(k), "qid")).alias(f"_{k}") for k in range(CLASSES)])
+    least = least.select(*cell, "grp", F.posexplode(F.array(*[f"_{k}" for k in range(CLASSES)])).alias("_class", "_tie"))
+    first = least.withColumn("_g", F.rank().over(Window.partitionBy("_class", *cell).orderBy("_tie"))).where(F.col("_g") <= most)
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*cell, "grp")]
-    l = l.alias("a").join(first.select(*cell, "grp", "_g").alias("b"), same[0] & same[1] & same[2] & same[3] & same[4]).select("a.*", "b._g")
-    asked = u.select(*[F.col(c).alias(c) for c in ("_class", "_level", "_block")]).distinct()  # a row for each group
-    l = l.join(F.broadcast(asked), "_class").where(F.greatest("_nth", "_g") <= F.col("_level"))
+    l = tie(b.alias("a").hint("merge").join(first.alias("b").hint("merge"), same[0] & same[1] & same[2] & same[3]).select("a.*", "b._class", "b._g"))
+    l = l.withColumn("_nth", F.row_number().over(Window.partitionBy("_class", *cell, "grp").orderBy("tie", "qid"))).where(F.col("_nth") <= most)
+    asked = busy.select("_class", "_level", "_block").distinct()  # a row for each group
+    none = users.sparkSession.range(CLASSES).select(F.col("id").cast("int").alias("_class"), F.lit(plain).alias("_level"), F.lit(-1).alias("_block"))
+    l = l.join(F.broadcast(asked.unionByName(none)), "_class").where(F.greatest("_nth", "_g") <= F.col("_level"))
 
     def build(listed: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         cells, by_kind = {}, {}
-        for r in listed.sort_values(["tie", "qid"]).itertuples(index=False):
-            cells.setdefault((r.type, r.diff, r.topic), []).append((r.tie, r.qid, r.grp))
+        listed = listed.sort_values(["tie", "qid"])
+        for kind, diff, topic, *item in zip(*[listed[c].tolist() for c in (*cell, "tie", "qid", "grp")]):
+            cells.setdefault((kind, diff, topic), []).append(item)
         for k in cells:
             by_kind.setdefault(k[0], []).append(k)
         out = []
-        for user, rows in own.groupby("user_id", sort=True):
-            rows = rows[rows["qid"].notna()]
-            used, mine = set(rows["qid"]), {}
-            for r in rows.sort_values(["n", "tie", "qid"]).itertuples(index=False):
-                mine.setdefault((r.type, r.diff, r.topic), []).append((r.n, r.tie, r.qid, r.grp))
+        own = own.sort_values(["user_id", "n", "tie", "qid"])
+        for user, rows in groupby(zip(*[own[c].tolist() for c in ("user_id", *cell, "n", "tie", "qid", "grp")]), lambda r: r[0]):
+            used, mine = set(), {}
+            for _, kind, diff, topic, *item in rows:
+                if not pd.isna(item[2]):  # a class's exam has a row without a question
+                    used.add(item[2])
+                    mine.setdefault((kind, diff, topic), []).append(item)
             kinds_of = {k: list(dict.fromkeys(by_kind.get(k, []) + [x for x in mine if x[0] == k])) for k, _, _ in SECTIONS}
             ids, groups, use, at, no = set(), set(), {}, {}, 0
             for kind, count, pattern in SECTIONS:
@@ -206,10 +221,16 @@ def build_papers(bank: DataFrame, users: DataFrame, counts: DataFrame, seed: int
                     out.append((user, no, found[2], *c))
         return pd.DataFrame(out, columns=["user_id", "exam_no", "qid", "type", "diff", "topic"])
 
-    on = ["_class", "_level", "_block"]
-    own = u.join(tried, "user_id", "left")
-    listed = l.select(*on, "qid", "type", "diff", "topic", "grp", "tie")
-    return listed.groupBy(*on).cogroup(own.groupBy(*on)).applyInPandas(build, f"user_id {kinds['user_id']}, exam_no int, qid {kinds['qid']}, type string, diff int, topic string")
+    on, schema = ["_class", "_level", "_block"], f"exam_no int, qid {kinds['qid']}, type string, diff int, topic string"
+    own = tried.hint("merge").join(busy.drop("_class").hint("merge"), "user_id")
+    listed = l.select(*[F.col(c).alias(c) for c in (*on, "qid", *cell, "grp", "tie")])
+    exams = listed.where("_block >= 0").groupBy(*on).cogroup(own.groupBy(*on)).applyInPandas(build, f"user_id {kinds['user_id']}, {schema}")
+    # who tried nothing: a class stands for its users
+    empty = none.withColumn("user_id", F.col("_class")).withColumns({c: F.lit(None).cast(k) for c, k in tried.select("qid", "n", *cell, "grp", "tie").dtypes})
+    of_class = listed.where("_block < 0").groupBy(*on).cogroup(empty.groupBy(*on)).applyInPandas(build, f"user_id int, {schema}").withColumnRenamed("user_id", "_class")
+    rest = u.hint("merge").join(busy.select("user_id").hint("merge"), "user_id", "left_anti")
+    # PICKS rows of each class at most
+    return exams.unionByName(rest.join(F.broadcast(of_class), "_class").drop("_class").select(*exams.columns))
 
 
 def rotated_group(groups: DataFrame, last: DataFrame, seed: int = 1) -> DataFrame:

@@ -60,3 +60,28 @@ def test_limits_keep_a_state_for_many_users(spark, tmp_path):
     assert {r["seq"]: (r["user_id"], r["usage_date"], r["allowed"], r["reason"], r["requests"], r["weight_used"]) for r in got.collect()} == want and len(want) == 1200 and len({w[1] for w in want.values()}) == 2
     keys = spark.read.format("statestore").option("stateVarName", "state").load(f"{tmp_path}/checkpoint")
     assert keys.count() <= 3
+
+
+def test_exams_send_no_table_to_the_driver(spark):
+    """Small files can hold many rows, so only what a class bounds is broadcast; learners who tried nothing get an exam, one without an id too."""
+    import re
+
+    from quillstone.operators import select
+
+    kinds, diffs = ["single", "multi", "fill"], [1, 2, 3]
+    bank = spark.createDataFrame([(f"q{k}", kinds[k % 3], diffs[k // 3 % 3], "abcd"[k % 4], f"g{k // 2}") for k in range(300)], "id string, type string, diff int, topic string, grp string")
+    users = spark.createDataFrame([(k,) for k in (*range(40), None)], "user_id long")
+    counts = spark.createDataFrame([(u, f"q{k}", 1) for u in range(3) for k in range(u, 300, 7)], "user_id long, qid string, n long")
+    got = select.build_papers(bank, users, counts)
+    joins = re.findall(r"BroadcastHashJoin \[([^\]]*)\]", got._jdf.queryExecution().executedPlan().toString())
+    assert joins and all(re.fullmatch(r"_class#\d+", j) for j in joins), joins
+    papers = {}
+    for r in got.collect():
+        papers.setdefault(r["user_id"], []).append((r["exam_no"], r["qid"]))
+    assert len(papers) == 41 and None in papers and all(len(p) == 17 for p in papers.values())
+    classes = {r["user_id"]: r["c"] for r in users.selectExpr("user_id", f"pmod(xxhash64(1, user_id), {select.CLASSES}) as c").collect()}
+    exams = {}
+    for u, p in papers.items():
+        if u is None or u >= 3:
+            exams.setdefault(classes[u], set()).add(tuple(sorted(p)))
+    assert all(len(p) == 1 for p in exams.values()) and len({q for _, q in papers[0]} & {f"q{k}" for k in range(0, 300, 7)}) < 17
