@@ -57,7 +57,8 @@ def paper_rules(spark, sf_dir):
     pattern = F.array(*[F.lit(d) for _, n, diffs in select.SECTIONS for d in diffs[:n]])
     kind = lambda k: F.count_if(F.col("type") == k).alias(k)
     group = F.floor(F.col("qid") / 2)
-    return p.groupBy("user_id").agg(F.count("*").alias("picks"), F.count_distinct("qid").alias("questions"), F.count_distinct(group).alias("groups"), kind("single"), kind("multi"), kind("fill"), F.count_if(F.col("diff") == F.element_at(pattern, F.col("exam_no"))).alias("by_pattern"))
+    different = lambda c: F.size(F.collect_set(c)).cast("long")  # noqa: E731  an exam is short
+    return p.groupBy("user_id").agg(F.count("*").alias("picks"), different("qid").alias("questions"), different(group).alias("groups"), kind("single"), kind("multi"), kind("fill"), F.count_if(F.col("diff") == F.element_at(pattern, F.col("exam_no"))).alias("by_pattern"))
 
 
 WANTED = ", w as (select distinct user_id, qid as want from a where not ok), k as (select user_id, qid, count(*) as n from a group by all), s as (select distinct user_id, qid from a where ok and seq % 3 = 0)"
