@@ -4,7 +4,8 @@ The tree splits where the sample is dense, so clusters get small cells and empty
 large ones; runs of cells in Z order become parts of about equal weight. A cell that
 can't be split (many points at one place) is dealt to several parts by a hash. Points go
 to one part, boxes to each part they meet, so a pair is found once; within a part
-points are sorted by x and a box looks at those of its own width.
+points are sorted by x and a box looks at those of its own width. A task holds the points
+of one part; boxes pass by in batches, and pairs leave in batches, however many they are.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Levels of the tree, rows of a part, and the most parts (a part's share of the sample must tell it from others).
-DEPTH, PART_ROWS, PARTS, SAMPLE = 15, 50_000, 4_096, 131_072
-#: Candidate pairs that a part looks at in one step.
-STEP = 1 << 20
+DEPTH, PART_ROWS, PARTS, SAMPLE = 15, 10_000, 4_096, 131_072
+#: Candidate pairs that a part looks at in one step, and pairs of a batch that leaves it.
+STEP, BATCH = 1 << 18, 1 << 16
 
 
 @dataclass
@@ -103,9 +104,13 @@ def in_boxes(boxes: DataFrame, points: DataFrame, radius: str, parts: int | None
     """
     finite = lambda *c: F.reduce(F.array(*[F.col(n).cast("double") for n in c]), F.lit(True), lambda a, v: a & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     points, boxes = points.where(finite("px", "py")), boxes.where(finite("x", "y", radius))
-    parts = parts or int(min(PARTS, max(1, -(-points.count() // PART_ROWS))))
-    taken = points.select(F.col("px").cast("double"), F.col("py").cast("double")).orderBy(F.xxhash64("px", "py", F.lit(1)), "px", "py").limit(sample) if parts > 1 else None
-    sampled = np.array(taken.collect(), float).reshape(-1, 2) if taken is not None else np.zeros((0, 2))
+    n = points.count() if parts is None or parts > 1 else 0
+    parts = parts or int(min(PARTS, max(1, -(-n // PART_ROWS))))
+    sampled = np.zeros((0, 2))
+    if parts > 1 and n:
+        # rows, not places: what many points share must be in the sample by its weight
+        taken = points.select(F.col("px").cast("double"), F.col("py").cast("double")).sample(fraction=min(1.0, sample / n), seed=1).toArrow()
+        sampled = np.column_stack([taken.column(c).to_numpy() for c in ("px", "py")])
     tree = build_parts(sampled[:, 0], sampled[:, 1], parts)
 
     @F.pandas_udf("long")
@@ -128,27 +133,46 @@ def in_boxes(boxes: DataFrame, points: DataFrame, radius: str, parts: int | None
     b = b.withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), deals.cast("long") - 1)))
     names = [c for c in boxes.columns if c not in points.columns]
     schema = ", ".join([f"`{c}` {dict(boxes.dtypes)[c]}" for c in names] + [f"`{c}` {k}" for c, k in points.dtypes])
-
     point_names = points.columns
-
-    def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        number = lambda t, c: t.column(c).cast(pa.float64()).to_numpy()
-        right = right.take(pa.array(np.argsort(number(right, "px"), kind="stable")))
-        px, py = number(right, "px"), number(right, "py")
-        x, y, r = number(left, "x"), number(left, "y"), number(left, radius)
+    # one stream of both sides, a part's points before its boxes
+    place = lambda *c: [F.col(k).cast("double").alias(f"_{n}") for k, n in zip(c, "xyr")]
+    p = p.select("_part", "_deal", F.lit(0).alias("_side"), *place("px", "py"), F.struct(*point_names).alias("_p"))
+    b = b.select("_part", "_deal", F.lit(1).alias("_side"), *place("x", "y", radius), F.struct(*[F.col(c) for c in names], F.lit(0).alias("_none")).alias("_b"))
+    both = p.unionByName(b, allowMissingColumns=True).repartition("_part", "_deal").sortWithinPartitions("_part", "_deal", "_side", "_x")
+
+    def join(batches):
+        part, held, points = None, [], None
+        for batch in batches:
+            keys = np.column_stack([batch.column(c).to_numpy() for c in ("_part", "_deal", "_side")])
+            cuts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))) if len(keys) else []
+            for start, end in zip(cuts, [*cuts[1:], len(keys)]):
+                rows, now = batch.slice(start, end - start), tuple(keys[start, :2])
+                if now != part:
+                    part, held, points = now, [], None
+                if keys[start, 2] == 0:
+                    held.append(pa.table({c: rows.column(c) for c in ("_x", "_y", "_p")}))
+                elif held:
+                    points = pa.concat_tables(held).combine_chunks() if points is None else points
+                    yield from pairs(rows, points)
+
+    def pairs(boxes, points):
+        number = lambda t, c: t.column(c).to_numpy()
+        column = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+        (px, py), (x, y, r) = (number(points, c) for c in ("_x", "_y")), (boxes.column(c).to_numpy() for c in ("_x", "_y", "_r"))
+        left, right = column(boxes.column("_b")), column(points.column("_p"))
         start, end = np.searchsorted(px, x - r * (1 + 1e-12)), np.searchsorted(px, x + r * (1 + 1e-12), "right")
         size = np.maximum(end - start, 0)
-        done, a, found = np.cumsum(size), 0, [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        done, a = np.cumsum(size), 0
         while a < len(x):
             z = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + STEP, "right")))
             n = size[a:z]
             box = np.repeat(np.arange(a, z), n)
             point = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + start[box]
             good = np.sqrt((x[box] - px[point]) ** 2 + (y[box] - py[point]) ** 2) <= r[box]
-            found.append((box[good], point[good]))
+            box, point = box[good], point[good]
+            for k in range(0, len(box), BATCH):
+                l, q = left.take(pa.array(box[k : k + BATCH])), right.take(pa.array(point[k : k + BATCH]))
+                yield pa.RecordBatch.from_arrays([l.field(c) for c in names] + [q.field(c) for c in point_names], names=names + point_names)
             a = z
-        box, point = (pa.array(np.concatenate(c)) for c in zip(*found))
-        return pa.table({c: left.column(c).take(box) for c in names} | {c: right.column(c).take(point) for c in point_names})
 
-    on = ["_part", "_deal"]
-    return b.groupBy(*on).cogroup(p.groupBy(*on)).applyInArrow(join, schema)
+    return both.mapInArrow(join, schema)

@@ -85,3 +85,19 @@ def test_exams_send_no_table_to_the_driver(spark):
         if u is None or u >= 3:
             exams.setdefault(classes[u], set()).add(tuple(sorted(p)))
     assert all(len(p) == 1 for p in exams.values()) and len({q for _, q in papers[0]} & {f"q{k}" for k in range(0, 300, 7)}) < 17
+
+
+def test_pairs_of_a_part_are_never_held_together(spark, monkeypatch):
+    """Pairs leave a part in batches, so no group of it may be gathered; the sample weighs rows, so that one place is dealt apart."""
+    from quillstone.operators import spatial
+
+    monkeypatch.setattr(spatial, "STEP", 100)
+    monkeypatch.setattr(spatial, "BATCH", 7)
+    points = [(k, 0.5, 0.5) if k % 2 else (k, k / 400, 1 - k / 400) for k in range(400)]
+    boxes = [(k, k / 60, 0.5, [0.0, 0.05, 2.0][k % 3], f"n{k}") for k in range(60)] + [(60, 0.5, 0.5, 0.0, None)]
+    want = sorted((b, k, n) for b, x, y, r, n in boxes for k, px, py in points if ((x - px) ** 2 + (y - py) ** 2) ** 0.5 <= r)
+    df, pf = spark.createDataFrame(boxes, "b int, x double, y double, radius double, name string"), spark.createDataFrame(points, "id int, px double, py double")
+    for parts in (1, 6):
+        got = spatial.in_boxes(df, pf, "radius", parts)
+        assert "CoGroups" not in got._jdf.queryExecution().toString()
+        assert sorted(((r["b"], r["id"], r["name"]) for r in got.collect()), key=str) == sorted(want, key=str) and len(want) > 8000
