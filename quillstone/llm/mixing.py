@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import cut, discard, written
 
 BLOCK = 128
 SLOTS = 4096
@@ -162,13 +162,15 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     """(documents, slots, pieces): doc_id, source, size, its source's shares and start; the output's slots; the documents' pieces by block.
 
     Words are counted first and kept in the shared folder (three numbers a document), so texts are read once and never shuffled.
+    The streams are kept too: as one query with what reads them, their shuffles would all be the driver's to plan and track at once.
     """
     d = written(sized(docs.select(doc_id, source, text), text).select(doc_id, source, "size"), "sizes")
     prefix, rows = 1, d.count()
     while 16**prefix * ROWS_PER_PREFIX < rows:
         prefix += 1
     table = cut(shares(d, source))
-    stream = streamed(d, table, doc_id, source, prefix)
+    stream = written(streamed(d, table, doc_id, source, prefix), "streams")
+    discard(d)
     return stream, slots(table), pieces(stream)
 
 
@@ -180,7 +182,7 @@ def blocks_of(chosen: DataFrame, parts: DataFrame) -> DataFrame:
 def taken(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words that the mix takes of it, repeats counted): a row for each document."""
     stream, chosen, parts = mixed(docs, doc_id, source, text)
-    copies = chosen.groupBy("rank", "block").agg(F.count("*").alias("_copies"))
+    copies = written(chosen.groupBy("rank", "block").agg(F.count("*").alias("_copies")), "copies")
     sums = parts.join(copies, ["rank", "block"]).groupBy("rank", "start").agg(F.sum(F.col("n_words") * F.col("_copies")).alias("_taken"))
     sums = sums.select(F.col("rank").alias("_rank"), F.col("start").alias("_start"), "_taken")
     out = stream.join(sums, (stream["rank"] == sums["_rank"]) & (stream["start"] == sums["_start"]) & (stream["size"] > 0), "left")

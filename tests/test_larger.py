@@ -101,3 +101,15 @@ def test_pairs_of_a_part_are_never_held_together(spark, monkeypatch):
         got = spatial.in_boxes(df, pf, "radius", parts)
         assert "CoGroups" not in got._jdf.queryExecution().toString()
         assert sorted(((r["b"], r["id"], r["name"]) for r in got.collect()), key=str) == sorted(want, key=str) and len(want) > 8000
+
+
+def test_the_mix_is_no_single_plan(spark):
+    """The driver plans and tracks all shuffles of a query at once, so each part of the mix is written before the next."""
+    from quillstone.llm import mixing
+
+    docs = spark.createDataFrame([(k, "a b c " * (k % 50), "s" + str(k % 4)) for k in range(400)], "doc_id long, text string, source string")
+    got = mixing.taken(docs)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 5 and "Window" not in plan
+    rows = got.collect()
+    assert len(rows) == 400 and all(r["taken"] <= 2 * r["size"] for r in rows) and sum(r["taken"] for r in rows) > 1.2 * sum(r["size"] for r in rows)
